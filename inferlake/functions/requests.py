@@ -27,7 +27,8 @@ def page_request(model: str, content: Column, prompt: str | None = None,
                  max_tokens: int = 4096, temperature: float = 0.2, top_p: float = 0.9,
                  mime: str = "image/png") -> Column:
     """One page as a data URL, after an optional instruction."""
-    url = F.concat(F.lit(f"data:{mime};base64,"), F.base64(content))
+    encoded = F.translate(F.base64(content), "\r\n", "")   # Spark may break the lines
+    url = F.concat(F.lit(f"data:{mime};base64,"), encoded)
     no_text = F.lit(None).cast("string").alias("text")
     no_url = F.lit(None).cast("struct<url:string>").alias("image_url")
     items = [F.struct(F.lit("image_url").alias("type"), no_text,

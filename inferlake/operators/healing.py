@@ -25,17 +25,21 @@ def healed(df: DataFrame, id_column: str = "row_id", attempt: str = "attempt",
 def healed_files(records: DataFrame, include_errors: bool = False) -> DataFrame:
     """The same rule over part files, moving no payload.
 
-    Losers are found on narrow columns (id, error flag, attempt, position) and removed
-    from the scan by an anti-join on the position. A healthy run has few losers, and
-    then the join side is small enough for Spark to broadcast it by itself.
+    Narrow columns are folded per id, on the map side first; only ids with several
+    records have losers, and those positions are removed from the scan by an anti-join.
+    A healthy run has few, and then Spark broadcasts both joins by itself.
     """
     at = records.select(
-        "row_id", "attempt", F.col("error").isNotNull().alias("failed"),
+        "row_id", F.col("error").isNotNull().alias("failed"), (-F.col("attempt")).alias("age"),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    pick = Window.partitionBy("row_id").orderBy(
-        "failed", F.col("attempt").desc(), "_file", "_row")
-    losers = (at.withColumn("_pick", F.row_number().over(pick))
-              .where("_pick > 1").select("_file", "_row"))
+    best = (at.groupBy("row_id")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.min(F.struct("failed", "age", "_file", "_row")).alias("best"))
+            .where("n > 1").select("row_id", "best"))
+    losers = (at.join(best, "row_id")
+              .where((F.col("_file") != F.col("best._file"))
+                     | (F.col("_row") != F.col("best._row")))
+              .select("_file", "_row"))
     data = records if include_errors else records.where(F.col("error").isNull())
     return (data.withColumn("_file", F.col("_metadata.file_path"))
             .withColumn("_row", F.col("_metadata.row_index"))

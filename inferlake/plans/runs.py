@@ -190,7 +190,13 @@ def _staged_work(plan: RunPlan) -> DataFrame:
     never cleans, numbers or batches the source again."""
     spark, path = plan.spark, f"{plan.spec.output}/_work/units"
     if not exists(spark, f"{path}/_SUCCESS"):
-        plan.work().write.mode("overwrite").partitionBy("wave").parquet(path)
+        work, waves = plan.work(), (plan.spec.num_examples or 0) // plan.wave_units + 1
+        if plan.spec.task == "generation" and waves > 1:
+            # joined by row id, so each task holds every wave: bring waves together first
+            tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            spread = F.pmod(F.xxhash64("row_id"), F.lit(tasks // waves + 1))
+            work = work.repartition(max(tasks, waves), "wave", spread)
+        work.write.mode("overwrite").partitionBy("wave").parquet(path)
     units = spark.read.parquet(path)
     return units.withColumn("wave", F.col("wave").cast("bigint"))
 
