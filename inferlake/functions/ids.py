@@ -11,13 +11,10 @@ def content_id(text: Column) -> Column:
     return F.coalesce(F.sha2(text, 256), F.lit("null"))
 
 
-def path_id(path: Column, root: str) -> Column:
-    """File path relative to the corpus root, whatever the URI scheme looks like."""
-    tail = root.split("://", 1)[-1].removeprefix("file:").strip("/")
-    # instr finds the root inside e.g. file:/root/x or scheme://host/root/x
-    start = F.locate(f"{tail}/", path) + F.lit(len(tail) + 1)
-    return F.when(F.locate(f"{tail}/", path) > 0,
-                  F.substring(path, start, F.length(path))).otherwise(path)
+def path_below(path: Column, root: str) -> Column:
+    """File path relative to the absolute folder ``root``, whatever scheme or host precedes it."""
+    head = root.rstrip("/") + "/"
+    return F.substring(path, F.locate(head, path) + F.lit(len(head)), F.length(path))
 
 
 def batch_id(first_member: Column) -> Column:

@@ -31,21 +31,23 @@ def content_dedup(df: DataFrame, column: str, id_column: str) -> DataFrame:
     return df.join(distinct_contents(df, column, id_column), id_column)
 
 
-def attach_to_all_rows(df: DataFrame, column: str, results: DataFrame,
-                       copies: DataFrame, total: int) -> DataFrame:
+def attach_to_all_rows(df: DataFrame, column: str, id_column: str, results: DataFrame,
+                       copies: DataFrame, total: int,
+                       hot_copies: int = HOT_COPIES) -> DataFrame:
     """Every row of ``df`` with the result of its content (``results`` keyed by row_id).
 
     ``copies`` is (row_id, n_copies). Contents above a threshold are salted: their
-    result row is repeated and their source rows spread over the repeats. The
-    threshold makes the hot list at most MAX_HOT long, so it may be broadcast.
+    result row is repeated and their source rows spread over the repeats by their own
+    id. Of ``total`` rows at most MAX_HOT contents can pass the threshold, so the hot
+    list may be broadcast.
     """
-    threshold = max(HOT_COPIES, total // MAX_HOT)
+    threshold = max(hot_copies, total // MAX_HOT)
     hot = (copies.where(F.col("n_copies") > threshold)
            .select("row_id", F.lit(SPREAD).alias("spread")))
     keyed = (df.withColumn("row_id", content_id(F.col(column)))
              .join(F.broadcast(hot), "row_id", "left")
              .withColumn("salt", F.when(F.col("spread").isNotNull(),
-                                        (F.rand(7) * F.col("spread")).cast("int"))
+                                        F.pmod(F.xxhash64(id_column), F.col("spread")))
                          .otherwise(0)).drop("spread"))
     salted = (results.join(F.broadcast(hot), "row_id", "left")
               .withColumn("salt", F.explode(

@@ -150,7 +150,8 @@ def generate_all_rows(spark, sf_dir):
     plan = _generation_plan(spark, sf_dir)
     results = plan.apply(plan.work()).select("row_id", "response", "error")
     copies = dedup.distinct_contents(docs, "text", "doc_id").select("row_id", "n_copies")
-    return dedup.attach_to_all_rows(docs, "text", results, copies, plan.spec.num_examples).select(
+    return dedup.attach_to_all_rows(docs, "text", "doc_id", results, copies,
+                                    plan.spec.num_examples).select(
         "doc_id", "row_id", "response", "error")
 
 

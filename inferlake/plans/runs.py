@@ -149,10 +149,11 @@ class RunPlan:
         if spec.task == "generation":
             return inference.generate_rows(units, spec.column, spec.model, self.factory,
                                            spec.max_tokens, spec.temperature)
-        paths = [r["path"] for r in units.select("path").collect()]   # one wave of paths
+        # one wave of paths, so the driver and the broadcast hold at most wave_units of them
+        paths = [r["path"] for r in units.select("path").collect()]
         content = pages.read_pages(self.spark, paths)
         return inference.read_pages(
-            units.join(content, "path"), "content", spec.model, self.factory,
+            content.join(F.broadcast(units), "path"), "content", spec.model, self.factory,
             s.get("prompt"), spec.max_tokens, spec.temperature, s.get("top_p", 0.9)).drop("path")
 
 

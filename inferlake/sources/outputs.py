@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inferlake.functions.ids import path_below
 from inferlake.functions.files import RUN_RECORD, STATS, TELEMETRY, file_kind
-from inferlake.sources.storage import exists
+from inferlake.sources.storage import absolute, exists
 
 LISTING_SCHEMA = ("run string, rel_path string, kind string, part string, "
                   "rank int, epoch bigint")
@@ -27,30 +28,34 @@ RECORD_SCHEMA = (
     "created_at timestamp")
 
 
-def _root_of(output: str) -> tuple[str, str]:
-    """(folder to load, folder the run names and relative paths start from)."""
+def _root_of(spark: SparkSession, output: str) -> tuple[str, str]:
+    """(folder to load, absolute folder the run names and relative paths start from)."""
     output = output.rstrip("/")
     if output.endswith("/*"):
-        return output, output[:-2]
-    return output, output.rsplit("/", 1)[0]
+        return output, absolute(spark, output[:-2])
+    return output, absolute(spark, output).rsplit("/", 1)[0]
 
 
 def _located(path: Column, base: str) -> Column:
     """struct(run, rel_path) of an absolute path below ``base``/<run>/."""
-    tail = base.split("://", 1)[-1].removeprefix("file:").rstrip("/") + "/"
-    below = F.substring(path, F.locate(tail, path) + F.lit(len(tail)), F.length(path))
+    below = path_below(path, base)
     return F.struct(F.substring_index(below, "/", 1).alias("run"),
                     F.substring(below, F.locate("/", below) + 1, F.length(below))
                     .alias("rel_path"))
 
 
+def _file_path() -> Column:
+    """The file a row comes from, without URI escapes."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
 def list_outputs(spark: SparkSession, output: str) -> DataFrame:
     """(run, rel_path, kind, part, rank, epoch) for every file of the run or runs.
 
     A missing folder gives no rows. Spark skips names that start with ``_``, so the
     sidecar folder is listed by its own path.
     """
-    folder, base = _root_of(output)
+    folder, base = _root_of(spark, output)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     found = [reader.load(p).select("path")
              for p in (folder, f"{folder}/_manifest") if exists(spark, p)]
@@ -70,12 +75,12 @@ def _text_of(spark: SparkSession, glob: str, whole: bool) -> DataFrame | None:
 
 def read_stats(spark: SparkSession, output: str) -> DataFrame:
     """(run, rank, stats fields); the rank is in the file name, unreadable files are left out."""
-    folder, base = _root_of(output)
+    folder, base = _root_of(spark, output)
     text = _text_of(spark, f"{folder}/completions/stats-*.json", whole=True)
     fields = [f.split()[0] for f in STATS_SCHEMA.split(", ")]
     if text is None:
         return spark.createDataFrame([], f"run string, rank int, {STATS_SCHEMA}")
-    at = _located(F.col("_metadata.file_path"), base)
+    at = _located(_file_path(), base)
     return (text.select(at.alias("at"), F.from_json(
                 "value", f"{STATS_SCHEMA}, _bad string",
                 {"columnNameOfCorruptRecord": "_bad"}).alias("s"))
@@ -90,7 +95,7 @@ def read_ticks(spark: SparkSession, output: str) -> DataFrame:
     Files are read by line, so a long log is split over tasks; (block, row) keeps the
     order of lines within a file. One bad line removes its whole file.
     """
-    folder, base = _root_of(output)
+    folder, base = _root_of(spark, output)
     text = _text_of(spark, f"{folder}/telemetry-shard*.jsonl", whole=False)
     fields = ["t", "limit", "inflight", "waiting", "running", "bp", "ok",
               "input_bound", "tok_s"]
@@ -99,7 +104,7 @@ def read_ticks(spark: SparkSession, output: str) -> DataFrame:
             [], "run string, rank int, epoch bigint, rel_path string, "
                 f"line struct<block:bigint,row:bigint>, {TICK_SCHEMA}")
     lines = (text.select(
-        "value", _located(F.col("_metadata.file_path"), base).alias("at"),
+        "value", _located(_file_path(), base).alias("at"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("line"))
         .where(F.col("at.rel_path").rlike(TELEMETRY) & (F.trim("value") != "")))
@@ -117,13 +122,13 @@ def read_ticks(spark: SparkSession, output: str) -> DataFrame:
 
 def read_run_records(spark: SparkSession, output: str) -> DataFrame:
     """(run, record fields, spec and resolved as JSON text); unreadable records are left out."""
-    folder, base = _root_of(output)
+    folder, base = _root_of(spark, output)
     text = _text_of(spark, f"{folder}/run.json", whole=True)
     fields = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
     if text is None:
         return spark.createDataFrame(
             [], f"run string, {RECORD_SCHEMA}, spec string, resolved string")
-    at = _located(F.col("_metadata.file_path"), base)
+    at = _located(_file_path(), base)
     schema = f"{RECORD_SCHEMA}, spec string, resolved string, _bad string"
     return (text.select(at.alias("at"), F.from_json(
                 "value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferlake.functions.ids import path_id
+from inferlake.functions.ids import path_below
+from inferlake.sources.storage import absolute
 
 _WILDCARD = re.compile(r"[*?\[{]")
 
@@ -43,10 +44,12 @@ def list_pages(spark: SparkSession, glob: str) -> DataFrame:
     folder, pattern = split_glob(glob)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .load(folder).select("path"))
-    return (files.select(path_id(F.col("path"), folder).alias("row_id"), "path")
+    return (files.select(path_below(F.col("path"), absolute(spark, folder)).alias("row_id"),
+                         "path")
             .where(F.col("row_id").rlike(glob_regex(pattern))))
 
 
 def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of the given files."""
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+    """(path, content) of the given files; names are taken literally."""
+    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(literal).select("path", "content")

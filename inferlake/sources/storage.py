@@ -12,6 +12,12 @@ def _open(spark: SparkSession, path: str):
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
 
 
+def absolute(spark: SparkSession, path: str) -> str:
+    """Path without scheme and authority, made absolute by its file system."""
+    fs, jpath = _open(spark, path)
+    return jpath.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri().getPath()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path, or anything matching a glob, is there."""
     fs, jpath = _open(spark, path)
