@@ -176,7 +176,10 @@ SQL_MARKDOWN = "regexp_replace(html, '<[^>]*>', '', 'g')"
 def embed_run(spark, sf_dir):
     """A launched run over two shards, interrupted after the first wave, resumed and read."""
     output = shared_path(spark, "embed-run")
-    options = dict(output=output, id_column="doc_id", column="text", world=2, wave_units=4)
+    # a quarter of the batches per commit
+    wave_units = -(-documents(spark, sf_dir).count() // (4 * BATCH))
+    options = dict(output=output, id_column="doc_id", column="text", world=2,
+                   wave_units=wave_units)
     plan = runs.embed(spark, f"{sf_dir}/documents.parquet", launch=False, **options)
     work = plan.work().where("wave = 0")
     sinks.commit(plan.apply(work).withColumn("attempt", F.lit(0).cast("bigint")),
@@ -190,7 +193,7 @@ SQL_EMBED_RUN = f"""WITH {SQL_BATCHED}
 SELECT row_id, CAST(batch_no % 2 AS INTEGER) AS rank, CAST(n_texts AS INTEGER) AS n_texts,
        CAST(len(list_filter(string_split(array_to_string(texts, ' '), ' '), lambda t: t <> ''))
             AS BIGINT) AS prompt_tokens,
-       batch_no < 4 AS from_first_attempt
+       batch_no < (SELECT ceil(count(*) / (4.0 * {BATCH})) FROM documents) AS from_first_attempt
 FROM batched"""
 
 

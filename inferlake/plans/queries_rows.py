@@ -208,21 +208,18 @@ def page_folder(spark, sf_dir):
     """One file per row of ``pages``."""
     root = shared_path(spark, "pages")
     (table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value"))
-     .write.partitionBy("page_id").text(root))
+     .repartition("page_id").write.partitionBy("page_id").text(root))
     return root
 
 
 def page_files(spark, sf_dir):
     root = page_folder(spark, sf_dir)
-    listed = page_source.list_pages(spark, f"{root}/**/*.txt")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = page_source.list_pages(spark, f"{root}/**/*.txt", "content")
     text = F.decode(F.col("content"), "UTF-8")
     html = F.substring(text, F.lit(1), F.length(text) - 1)   # the writer ends the file with \n
-    return (listed.join(content.select("path", "content"), "path")
-            .select(F.regexp_extract("row_id", r"page_id=(\d+)/", 1).cast("bigint")
-                    .alias("page_id"),
-                    F.length(html).cast("bigint").alias("n_chars"),
-                    F.sha2(html, 256).alias("sha")))
+    page = F.regexp_extract("row_id", r"page_id=(\d+)/", 1).cast("bigint")
+    return listed.select(page.alias("page_id"), F.length(html).cast("bigint").alias("n_chars"),
+                         F.sha2(html, 256).alias("sha"))
 
 
 _PROFILE_SQL = """SELECT {i} AS ordinal, '{c}' AS name,

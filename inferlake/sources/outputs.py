@@ -6,13 +6,19 @@ or ``parent/*`` for all runs below a folder.
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferlake.functions.ids import path_below
 from inferlake.functions.files import RUN_RECORD, STATS, TELEMETRY, file_kind
+from inferlake.functions.ids import path_below
 from inferlake.sources.storage import absolute, exists
 
+CONTROL_FILES = ("completions/*", "telemetry-shard*.jsonl")
+CONTROL_KINDS = ("marker", "stats", "telemetry")
+
 LISTING_SCHEMA = ("run string, rel_path string, kind string, part string, "
                   "rank int, epoch bigint")
 STATS_SCHEMA = (
@@ -53,7 +59,8 @@ def list_outputs(spark: SparkSession, output: str) -> DataFrame:
     """(run, rel_path, kind, part, rank, epoch) for every file of the run or runs.
 
     A missing folder gives no rows. Spark skips names that start with ``_``, so the
-    sidecar folder is listed by its own path.
+    sidecar folder is listed by its own path. A scan also skips empty files; markers and
+    fresh telemetry may be empty, so those few are taken from the file index instead.
     """
     folder, base = _root_of(spark, output)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -61,10 +68,18 @@ def list_outputs(spark: SparkSession, output: str) -> DataFrame:
              for p in (folder, f"{folder}/_manifest") if exists(spark, p)]
     if not found:
         return spark.createDataFrame([], LISTING_SCHEMA)
-    paths = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return (paths.select(_located(F.col("path"), base).alias("at"))
-            .select("at.run", "at.rel_path", file_kind(F.col("at.rel_path")).alias("k"))
-            .select("run", "rel_path", "k.kind", "k.part", "k.rank", "k.epoch"))
+    control = [unquote(name) for pattern in CONTROL_FILES if exists(spark, f"{folder}/{pattern}")
+               for name in reader.load(f"{folder}/{pattern}").inputFiles()]
+
+    def classified(paths: DataFrame) -> DataFrame:
+        return (paths.select(_located(F.col("path"), base).alias("at"))
+                .select("at.run", "at.rel_path", file_kind(F.col("at.rel_path")).alias("k"))
+                .select("run", "rel_path", "k.kind", "k.part", "k.rank", "k.epoch"))
+
+    scanned = classified(reduce(DataFrame.unionByName, found))
+    indexed = classified(spark.createDataFrame([(c,) for c in control], "path string"))
+    return (scanned.where(~F.col("kind").isin(*CONTROL_KINDS))
+            .unionByName(indexed.where(F.col("kind").isin(*CONTROL_KINDS))))
 
 
 def _text_of(spark: SparkSession, glob: str, whole: bool) -> DataFrame | None:

@@ -37,15 +37,16 @@ def glob_regex(pattern: str) -> str:
     return "^" + "".join(one(m.group(0)) for m in token.finditer(pattern)) + "$"
 
 
-def list_pages(spark: SparkSession, glob: str) -> DataFrame:
-    """(row_id, path): the id is the path below the fixed part of the glob."""
+def list_pages(spark: SparkSession, glob: str, *columns: str) -> DataFrame:
+    """(row_id, path, and the named file columns): the id is the path below the fixed part
+    of the glob. Files are opened only if ``content`` is named."""
     if ".pdf" in glob.lower():
         raise ValueError("pdf files must be rendered to page images first")
     folder, pattern = split_glob(glob)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .load(folder).select("path"))
+             .load(folder).select("path", *columns))
     return (files.select(path_below(F.col("path"), absolute(spark, folder)).alias("row_id"),
-                         "path")
+                         "path", *columns)
             .where(F.col("row_id").rlike(glob_regex(pattern))))
 
 
