@@ -6,7 +6,8 @@ model is built once per task. A unit that fails becomes a row with ``error`` set
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,11 @@ CHAT_RESULT = ("response string, prompt_tokens bigint, "
                "completion_tokens bigint, error string")
 
 
-def _answers(model, requests: list[dict]) -> Iterator[tuple[dict | None, str | None]]:
+def _answers(model, requests: Iterable[dict]) -> Iterator[tuple[dict | None, str | None]]:
     """One (body, error) per request. A failing group is repeated one by one, so one
-    bad request does not spoil its neighbours."""
-    size = max(1, getattr(model, "group_size", 1))
-    for start in range(0, len(requests), size):
-        group = requests[start:start + size]
+    bad request does not spoil its neighbours. Requests are built a group at a time."""
+    requests, size = iter(requests), max(1, getattr(model, "group_size", 1))
+    while group := list(islice(requests, size)):
         try:
             bodies = model.predict(group)
             if len(bodies) != len(group):
@@ -69,7 +69,7 @@ def embed_column(texts: Column, name: str, factory: Callable) -> Column:
         for batch in batches:
             inputs = batch.to_pylist()
             vectors, counts, tokens, errors = [], [], [], []
-            answers = _answers(model, [{"model": name, "input": t} for t in inputs])
+            answers = _answers(model, ({"model": name, "input": t} for t in inputs))
             for given, (body, error) in zip(inputs, answers):
                 try:
                     if error is None:
@@ -99,9 +99,8 @@ def chat_column(content: Column, factory: Callable, to_request: Callable) -> Col
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
         for batch in batches:
-            requests = [to_request(v) for v in batch.to_pylist()]
             rows = []
-            for body, error in _answers(model, requests):
+            for body, error in _answers(model, (to_request(v.as_py()) for v in batch)):
                 row = {"response": None, "prompt_tokens": None, "completion_tokens": None}
                 if error is None:
                     try:

@@ -53,26 +53,30 @@ def storage_counts(files: DataFrame) -> DataFrame:
         F.count_if(F.col("written") & ~F.col("listed")).alias("orphans"))
 
 
-def seen_ranks(files: DataFrame, stats: DataFrame) -> DataFrame:
-    """Distinct (run, rank) that left a marker, telemetry or readable stats."""
-    traces = files.where(F.col("kind").isin("marker", "telemetry")).select("run", "rank")
-    return traces.unionByName(stats.select("run", "rank")).distinct()
+def shard_traces(files: DataFrame, stats: DataFrame) -> DataFrame:
+    """(run, rank, done, stats) for every rank with a marker, telemetry or readable stats."""
+    marks = (files.where(F.col("kind").isin("marker", "telemetry")).groupBy("run", "rank")
+             .agg(F.bool_or(F.col("kind") == "marker").alias("done")))
+    fields = [c for c in stats.columns if c not in ("run", "rank")]
+    packed = stats.select("run", "rank", F.struct(*fields).alias("stats"))
+    return (marks.join(packed, ["run", "rank"], "full")
+            .select("run", "rank", F.coalesce("done", F.lit(False)).alias("done"), "stats"))
 
 
 def world_size(files: DataFrame, stats: DataFrame, records: DataFrame) -> DataFrame:
     """(run, world, world_inferred): lowest rank's stats, else the run record (even when it
     has no world), else one more than the highest rank seen, flagged."""
-    from_stats = stats.groupBy("run").agg(F.min_by("world", "rank").alias("by_stats"))
-    highest = seen_ranks(files, stats).groupBy("run").agg(F.max("rank").alias("top"))
+    with_stats = F.when(F.col("stats").isNotNull(), F.col("rank"))
+    seen = shard_traces(files, stats).groupBy("run").agg(
+        F.min_by("stats.world", with_stats).alias("by_stats"), F.max("rank").alias("top"))
     intent = records.select("run", F.col("world").alias("by_record"),
                             F.lit(True).alias("has_record"))
     has_record = F.coalesce("has_record", F.lit(False))
     guess = F.when(~has_record, F.col("top") + 1)
-    return (highest.join(from_stats, "run", "full").join(intent, "run", "full")
-            .select("run",
-                    F.coalesce("by_stats", F.when(has_record, F.col("by_record")), guess)
-                    .alias("world"),
-                    (F.col("by_stats").isNull() & guess.isNotNull()).alias("world_inferred")))
+    return seen.join(intent, "run", "full").select(
+        "run",
+        F.coalesce("by_stats", F.when(has_record, F.col("by_record")), guess).alias("world"),
+        (F.col("by_stats").isNull() & guess.isNotNull()).alias("world_inferred"))
 
 
 def _runs(*tables: DataFrame) -> DataFrame:
@@ -114,12 +118,7 @@ def shard_roster(files: DataFrame, stats: DataFrame, world: DataFrame) -> DataFr
     """(run, rank, done, stats): every rank that left a trace or is below the world size."""
     planned = (world.where("world > 0")
                .select("run", F.explode(F.sequence(F.lit(0), F.col("world") - 1)).alias("rank")))
-    ranks = seen_ranks(files, stats).unionByName(planned).distinct()
-    marked = (files.where(F.col("kind") == "marker").select("run", "rank").distinct()
-              .withColumn("done", F.lit(True)))
-    kept = [c for c in stats.columns if c not in ("run", "rank")]
-    packed = stats.select("run", "rank", F.struct(*kept).alias("stats"))
-    return (ranks.join(marked, ["run", "rank"], "left").join(packed, ["run", "rank"], "left")
+    return (shard_traces(files, stats).join(planned, ["run", "rank"], "full")
             .select("run", "rank", F.coalesce("done", F.lit(False)).alias("done"), "stats"))
 
 

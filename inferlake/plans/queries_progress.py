@@ -43,16 +43,24 @@ def _records(spark, sf_dir):
 
 def _files(spark, sf_dir):
     """Paths a run would hold, then classified by name alone."""
-    ticks = _ticks(spark, sf_dir)
-    shards = ticks.select("run", "rank").distinct()
-    days = ticks.select("run", "rank", "epoch").distinct()
-    part = F.format_string("part-%d-%05d.parquet", "epoch", "rank")
-    paths = (ticks.select("run", "rel_path").distinct()
-             .unionByName(shards.where("rank <= 1").select(
-                 "run", F.format_string("completions/shard-%d.done", "rank").alias("rel_path")))
-             .unionByName(days.select("run", part.alias("rel_path")))
-             .unionByName(days.where("rank <> 3").select(
-                 "run", F.concat(F.lit("_manifest/ids-"), part).alias("rel_path"))))
+    shards = _ticks(spark, sf_dir).groupBy("run", "rank").agg(
+        F.collect_set("epoch").alias("days"))       # at most 31 days of a month
+
+    def path(pattern, *columns):
+        return F.format_string(pattern, *columns)
+
+    def per_day(pattern, *, day_first=False):
+        return F.transform("days", lambda day: path(
+            pattern, *((day, F.col("rank")) if day_first else (F.col("rank"), day))))
+
+    none = F.array().cast("array<string>")
+    paths = shards.select("run", F.explode(F.concat(
+        per_day("telemetry-shard%d-%d.jsonl"),
+        per_day("part-%d-%05d.parquet", day_first=True),
+        F.when(F.col("rank") != 3, per_day("_manifest/ids-part-%d-%05d.parquet", day_first=True))
+        .otherwise(none),
+        F.when(F.col("rank") <= 1, F.array(path("completions/shard-%d.done", F.col("rank"))))
+        .otherwise(none))).alias("rel_path"))
     return (paths.select("run", "rel_path", file_kind(F.col("rel_path")).alias("k"))
             .select("run", "rel_path", "k.*"))
 

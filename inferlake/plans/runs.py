@@ -21,6 +21,7 @@ from inferlake.sources.storage import exists, read_json, write_json
 from inferlake.spec import JobSpec, SpecError
 
 WAVE_UNITS = {"embeddings": 1_000_000, "generation": 5_000_000, "ocr": 20_000}
+UNIT_GROUP_BYTES = 8 << 20
 RESULT_COLUMNS = {
     "embeddings": ("texts", "embeddings", "n_texts", "prompt_tokens"),
     "generation": ("response", "prompt_tokens", "completion_tokens"),
@@ -197,7 +198,9 @@ def _staged_work(plan: RunPlan) -> DataFrame:
             tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
             spread = F.pmod(F.xxhash64("row_id"), F.lit(tasks // waves + 1))
             work = work.repartition(max(tasks, waves), "wave", spread)
-        work.write.mode("overwrite").partitionBy("wave").parquet(path)
+        # small row groups, so that a later read of one wave splits over all cores
+        (work.write.mode("overwrite").option("parquet.block.size", UNIT_GROUP_BYTES)
+         .partitionBy("wave").parquet(path))
     units = spark.read.parquet(path)
     return units.withColumn("wave", F.col("wave").cast("bigint"))
 
@@ -232,6 +235,7 @@ def launch(plan: RunPlan) -> Run:
     done = sinks.done_ids(spark, spec.output)
     attempt, started = time.time_ns() // 1_000_000, time.monotonic()
 
+    ticks: dict[int, list[dict]] = {}
     todo = (pending(work.select("row_id", "wave"), done).groupBy("wave").count()
             .orderBy("wave").collect())                      # one row per wave
     for row in todo:
@@ -239,7 +243,9 @@ def launch(plan: RunPlan) -> Run:
         units = pending(work.where(F.col("wave") == wave),
                         done.where(F.col("wave") == wave))
         results = plan.apply(units).withColumn("attempt", F.lit(attempt))
-        sinks.commit(results, spec.output, sinks.part_name(attempt, wave), plan.rows_per_file)
+        part = sinks.part_name(attempt, wave)
+        sinks.commit(results, spec.output, part, plan.rows_per_file)
+        _tick(spark, spec.output, part, attempt, time.monotonic() - started, ticks)
 
     stats = _rank_stats(spark, spec, work, attempt, time.monotonic() - started)
     sinks.write_completions(spark, spec.output, stats)
@@ -249,6 +255,20 @@ def launch(plan: RunPlan) -> Run:
     return run
 
 
+def _tick(spark: SparkSession, output: str, part: str, attempt: int, elapsed: float,
+          ticks: dict[int, list[dict]]) -> None:
+    """One telemetry line per shard of the commit, so that progress shows while a run is on."""
+    tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
+    counts = sinks.read_sidecar(spark, output, part).groupBy("rank").agg(
+        F.count_if("ok").alias("ok"), F.sum(tokens).alias("tokens")).collect()   # <= world rows
+    for row in counts:
+        log = ticks.setdefault(row["rank"], [])
+        since = elapsed - (log[-1]["t"] if log else 0.0)
+        log.append({"t": round(elapsed, 3), "ok": row["ok"],
+                    "tok_s": round(row["tokens"] / max(since, 1e-3), 1)})
+        sinks.write_ticks(spark, output, row["rank"], attempt, log)
+
+
 def _rank_stats(spark: SparkSession, spec: JobSpec, work: DataFrame, attempt: int,
                 elapsed: float) -> list[dict]:
     """Counts per rank from the work ids and the manifest; at most ``world`` rows."""

@@ -26,7 +26,7 @@ STATS_SCHEMA = (
     "rows_deduped bigint, prompt_tokens bigint, completion_tokens bigint, elapsed_s double, "
     "final_limit int, input_bound boolean, breaker_opens int, hints array<string>, "
     "tokens_per_sec double, world int")
-TICK_SCHEMA = ("t bigint, `limit` bigint, inflight bigint, waiting bigint, running bigint, "
+TICK_SCHEMA = ("t double, `limit` bigint, inflight bigint, waiting bigint, running bigint, "
                "bp bigint, ok bigint, input_bound boolean, tok_s double")
 RECORD_SCHEMA = (
     "version int, task string, run_id string, slug string, expected_rows bigint, "

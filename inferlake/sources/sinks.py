@@ -8,6 +8,8 @@ repeating it replaces it.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,11 @@ def read_manifest(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).parquet(pattern)
 
 
+def read_sidecar(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The ids of one commit."""
+    return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/_manifest/ids-{name}")
+
+
 def done_ids(spark: SparkSession, root: str) -> DataFrame:
     """Ids with a good record; failed ones are tried again on the next run."""
     return read_manifest(spark, root).where("ok").select("row_id", "wave")
@@ -89,6 +96,13 @@ def adopt_orphans(spark: SparkSession, root: str, files: DataFrame) -> list[str]
     return kept
 
 
+def write_ticks(spark: SparkSession, root: str, rank: int, epoch: int,
+                ticks: list[dict]) -> None:
+    """The telemetry file of a shard, written anew with each tick (stores cannot append)."""
+    write_text(spark, f"{root}/telemetry-shard{rank}-{epoch}.jsonl",
+               "".join(json.dumps(t) + "\n" for t in ticks))
+
+
 def write_completions(spark: SparkSession, root: str, stats: list[dict]) -> None:
     """``stats-N.json`` and then ``shard-N.done`` per rank (world rows at most)."""
     for row in stats:

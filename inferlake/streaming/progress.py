@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from inferlake.sources.sinks import MANIFEST_SCHEMA
+
+
+def committed(spark: SparkSession, output: str) -> DataFrame:
+    """Stream of finished units of a run, from the id sidecars that each commit adds."""
+    ids = spark.readStream.schema(MANIFEST_SCHEMA).parquet(f"{output}/_manifest/ids-*.parquet")
+    return ids.select(F.lit(output.rstrip("/").rsplit("/", 1)[-1]).alias("run"), "rank",
+                      F.when(F.col("ok"), 1).otherwise(0).cast("bigint").alias("ok"))
+
 
 def running_totals(ticks: DataFrame) -> DataFrame:
     """(run, rows_ok, ticks) of a stream of ticks; the state is one row per run."""

@@ -51,6 +51,17 @@ def test_run_leaves_the_contract_files(spark, docs, tmp_path):
     assert record.run_id == done.run_id and '"column":"detected"' in record.resolved
 
 
+def test_progress_shows_before_the_end(spark, docs, tmp_path):
+    out = str(tmp_path / "out")
+    run(spark, docs, out)
+    shutil.rmtree(f"{out}/completions")                   # as if it were still on
+    s = status(spark, out)
+    p = s.progress.head()
+    assert (p.exact, p.rows_ok, p.rows_failed) == (False, 24, None)
+    assert {(r["rank"], r.ok) for r in s.telemetry.collect()} == {(0, 2), (1, 2), (2, 2)}
+    assert s.telemetry.count() == 12 and not s.complete()
+
+
 def test_interrupted_run_equals_a_clean_one(spark, docs, tmp_path):
     clean = plain(run(spark, docs, str(tmp_path / "clean")).results())
     out = str(tmp_path / "out")

@@ -62,6 +62,23 @@ def test_bounded_state_needs_a_time_column(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_commits_can_be_followed(spark, tmp_path):
+    folder, out, target, check = (str(tmp_path / n) for n in ("in", "out", "totals", "check"))
+    spec = JobSpec(task="generation", dataset="stream", model="echo", output=out)
+
+    def totals():
+        progress.start(progress.committed(spark, out), target, check).awaitTermination()
+        updates = spark.read.option("recursiveFileLookup", "true").parquet(target)
+        return [tuple(r) for r in progress.latest(updates).select("run", "rows_ok").collect()]
+
+    add(spark, folder, 0, 25)
+    inference.start(stream(spark, folder), spec, str(tmp_path / "c")).awaitTermination()
+    assert totals() == [("out", 25)]
+    add(spark, folder, 20, 15)
+    inference.start(stream(spark, folder), spec, str(tmp_path / "c")).awaitTermination()
+    assert totals() == [("out", 35)]
+
+
 def test_live_totals(spark, tmp_path):
     folder, target, check = (str(tmp_path / n) for n in ("in", "totals", "check"))
     schema = "run string, ok bigint"
