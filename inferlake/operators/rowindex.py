@@ -79,12 +79,12 @@ def build_index(df: DataFrame, id_column: str, align: int = 1,
 
     ``df`` must read the same rows each time (a table snapshot or closed files).
     """
-    spark = df.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Range partitioning reads its input twice (sample, then shuffle), so the ids are
     # staged before it; it brings equal ids together, so the count adds no shuffle.
-    ranged = (stage(df.select(id_column), "source-ids")
-              .repartitionByRange(partitions, id_column)
+    source_ids = stage(df.select(id_column), "source-ids")
+    ranges = min(MAX_SLICES, math.ceil(source_ids.count() / slice_rows) or 1)
+    ranged = (source_ids
+              .repartitionByRange(ranges, id_column)
               .groupBy(id_column).agg(F.count(F.lit(1)).alias("copies"))
               .sortWithinPartitions(id_column)
               .withColumn("pos", F.monotonically_increasing_id()))
@@ -107,7 +107,9 @@ def build_index(df: DataFrame, id_column: str, align: int = 1,
     position = F.col("pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     table = staged.select(id_column, (offset + position).alias("idx"))
 
-    slices = min(MAX_SLICES, max(4 * partitions, math.ceil(total / slice_rows)))
+    # small tables still get enough slices to keep every core busy
+    cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = min(MAX_SLICES, max(4 * cores, ranges))
     chunk = max(1, math.ceil(math.ceil(total / slices) / align)) * align
     starts = [r[0] for r in
               table.where((F.col("idx") % chunk == 0) & (F.col("idx") > 0))

@@ -209,7 +209,7 @@ def page_run(spark, sf_dir):
 def _stream(spark, sf_dir, name):
     # a glob, since a file stream watches folders
     schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", 64 << 30).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def stream_dedup(spark, sf_dir):
@@ -236,7 +236,10 @@ def stream_embed(spark, sf_dir):
                    id_column="doc_id", batch=BATCH)
     stream_inference.start(_stream(spark, sf_dir, "documents"), spec,
                            shared_path(spark, "stream-checkpoint")).awaitTermination()
-    return sinks.read_healed(spark, output).select("row_id", "n_texts")
+    members = explode_batches(sinks.read_healed(spark, output), "embeddings")
+    tokens = F.aggregate("embeddings", F.lit(0.0).cast("float"), lambda acc, x: acc + x)
+    return members.select(F.col("member_id").alias("doc_id"),
+                          tokens.cast("bigint").alias("n_tokens"))
 
 
 def stream_progress(spark, sf_dir):
@@ -280,8 +283,8 @@ QUERIES = {
                      f"SELECT DISTINCT {SQL_ROW_ID} AS row_id, text FROM documents"),
     "stream_generate": (stream_generate, f"""SELECT DISTINCT {SQL_ROW_ID} AS row_id,
         'echo: ' || text AS response FROM documents"""),
-    "stream_embed": (stream_embed, f"""WITH {SQL_BATCHED}
-        SELECT row_id, CAST(n_texts AS INTEGER) AS n_texts FROM batched"""),
+    "stream_embed": (stream_embed, f"""WITH {SQL_CLEANED} SELECT doc_id,
+        len(list_filter(string_split(text, ' '), lambda t: t <> '')) AS n_tokens FROM cleaned"""),
     "stream_progress": (stream_progress, """SELECT event_type AS run,
         CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS rows_ok, count(*) AS ticks
         FROM events GROUP BY event_type"""),

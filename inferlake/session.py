@@ -7,13 +7,15 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+# Distinct-id state of a long stream outgrows the heap; RocksDB spills to disk.
+DISK_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Distinct-id state of a long stream outgrows the heap; RocksDB spills to disk.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    STATE_STORE: DISK_STATE,
 }
 
 
@@ -27,6 +29,11 @@ def get_session(app_name: str = "inferlake", master: str | None = None,
     return builder.getOrCreate()
 
 
+def use_disk_state(spark: SparkSession) -> None:
+    """For streams started from a session that ``get_session`` did not make."""
+    spark.conf.set(STATE_STORE, DISK_STATE)
+
+
 def shared_base(spark: SparkSession) -> str:
     """The folder every executor sees: the session's ``spark.checkpoint.dir``.
 

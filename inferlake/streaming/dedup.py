@@ -6,17 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inferlake.functions.ids import content_id
+from inferlake.session import use_disk_state
+
+
+WAYS = 16   # tasks that share the copies of one content
 
 
 def dedup_stream(stream: DataFrame, column: str, time_column: str | None = None,
                  delay: str = "1 day") -> DataFrame:
     """``stream`` plus row_id, first occurrence of each content.
 
-    The state holds one id per distinct content. With a time column the ids older than
-    ``delay`` leave the state, and a copy that comes later than that passes again.
+    A stream has no map-side folding, so the copies of a content are first reduced in
+    WAYS groups, chosen by the other columns, and then to one. The state holds ids only.
+    With a time column the ids older than ``delay`` leave the state, and a copy that
+    comes later than that passes again.
     """
+    use_disk_state(stream.sparkSession)
+    others = [c for c in stream.columns if c != column]
     keyed = stream.withColumn("row_id", content_id(F.col(column)))
-    if time_column is None:
-        return keyed.dropDuplicates(["row_id"])
-    return (keyed.withWatermark(time_column, delay)
-            .dropDuplicatesWithinWatermark(["row_id"]))
+    if time_column is not None:
+        keyed = keyed.withWatermark(time_column, delay)
+    steps = [["row_id"]]
+    if others:
+        keyed = keyed.withColumn("_way", F.pmod(F.xxhash64(*others), F.lit(WAYS)))
+        steps.insert(0, ["row_id", "_way"])
+    for key in steps:
+        keyed = (keyed.dropDuplicates(key) if time_column is None
+                 else keyed.dropDuplicatesWithinWatermark(key))
+    return keyed.drop("_way")
