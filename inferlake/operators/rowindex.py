@@ -111,8 +111,8 @@ def build_index(df: DataFrame, id_column: str, align: int = 1,
     cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = min(MAX_SLICES, max(4 * cores, ranges))
     chunk = max(1, math.ceil(math.ceil(total / slices) / align)) * align
-    starts = [r[0] for r in
-              table.where((F.col("idx") % chunk == 0) & (F.col("idx") > 0))
-              .select(F.col(id_column).cast("string"), "idx")
-              .orderBy("idx").collect()]        # at most MAX_SLICES - 1 rows
+    firsts = (table.where((F.col("idx") % chunk == 0) & (F.col("idx") > 0))
+              .select("idx", F.col(id_column).cast("string"))
+              .collect())                       # at most MAX_SLICES - 1 rows
+    starts = [first for _, first in sorted(map(tuple, firsts))]
     return RowIndex(table, id_column, df.schema[id_column].dataType, total, chunk, starts)

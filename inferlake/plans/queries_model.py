@@ -163,6 +163,26 @@ SELECT {SQL_ROW_ID} AS row_id, CAST(min(idx) % {WORLD} AS INTEGER) AS rank,
 FROM n GROUP BY text"""
 
 
+def _generation_run(spark, sf_dir):
+    return runs.launch(_generation_plan(spark, sf_dir, shared_path(spark, "generation-run")))
+
+
+def run_status(spark, sf_dir):
+    """Progress of a launched run, read back from its files."""
+    found = _generation_run(spark, sf_dir).status()
+    return found.progress.join(found.storage, "run").drop("run")
+
+
+def run_shards(spark, sf_dir):
+    """Shard stats, markers and telemetry of a launched run, read back from its files."""
+    found = _generation_run(spark, sf_dir).status()
+    ticks = found.telemetry.groupBy("rank").agg(F.sum("ok").alias("ticked_ok"))
+    return found.shards.join(ticks, "rank", "left").select(
+        "rank", "done", "stats.rows_total", "stats.rows_done_prior", "stats.rows_processed",
+        "stats.rows_failed", "stats.rows_deduped", "stats.prompt_tokens",
+        "stats.completion_tokens", "ticked_ok")
+
+
 def pages_to_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select(
         "page_id", F.encode("html", "UTF-8").alias("content"))
@@ -271,6 +291,20 @@ QUERIES = {
     "embed_docs": (embed_docs, SQL_EMBED_DOCS),
     "embed_errors": (embed_errors, SQL_EMBED_ERRORS),
     "generate_prompts": (generate_prompts, SQL_GENERATE),
+    "run_status": (run_status, f"""WITH g AS ({SQL_GENERATE}), n AS (
+        SELECT count(*) AS rows_ok, (SELECT count(*) FROM documents) AS total FROM g)
+        SELECT rows_ok, CAST(0 AS BIGINT) AS rows_failed, total AS expected_rows,
+               rows_ok::DOUBLE / total AS pct, true AS exact, 1 AS items_per_row,
+               rows_ok AS items_ok, total AS expected_items, true AS has_run_json,
+               CAST(1 AS BIGINT) AS parts, CAST(0 AS BIGINT) AS orphans, {WORLD} AS world,
+               false AS world_inferred FROM n"""),
+    "run_shards": (run_shards, f"""WITH g AS ({SQL_GENERATE})
+        SELECT rank, true AS done, count(*) AS rows_total, CAST(0 AS BIGINT) AS rows_done_prior,
+               count(*) AS rows_processed, CAST(0 AS BIGINT) AS rows_failed,
+               CAST(sum(n_copies - 1) AS BIGINT) AS rows_deduped,
+               CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens,
+               CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
+               count(*) AS ticked_ok FROM g GROUP BY rank"""),
     "generate_all_rows": (generate_all_rows, f"""SELECT doc_id, {SQL_ROW_ID} AS row_id,
         'echo: ' || text AS response, CAST(NULL AS VARCHAR) AS error FROM documents"""),
     "pages_to_text": (pages_to_text, f"""SELECT page_id, {SQL_MARKDOWN} AS markdown,

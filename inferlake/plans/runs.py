@@ -231,17 +231,16 @@ def launch(plan: RunPlan) -> Run:
     plan.record["wave_units"] = plan.wave_units
     record = _open_run(plan)
     work = _staged_work(plan)
-    sinks.adopt_orphans(spark, spec.output, outputs.list_outputs(spark, spec.output))
+    if exists(spark, f"{spec.output}/part-*"):
+        sinks.adopt_orphans(spark, spec.output, outputs.list_outputs(spark, spec.output))
     done = sinks.done_ids(spark, spec.output)
     attempt, started = time.time_ns() // 1_000_000, time.monotonic()
 
     ticks: dict[int, list[dict]] = {}
-    todo = (pending(work.select("row_id", "wave"), done).groupBy("wave").count()
-            .orderBy("wave").collect())                      # one row per wave
-    for row in todo:
-        wave = row["wave"]
-        units = pending(work.where(F.col("wave") == wave),
-                        done.where(F.col("wave") == wave))
+    for wave, untouched in _open_waves(work, done):
+        units = work.where(F.col("wave") == wave)
+        if not untouched:
+            units = pending(units, done.where(F.col("wave") == wave))
         results = plan.apply(units).withColumn("attempt", F.lit(attempt))
         part = sinks.part_name(attempt, wave)
         sinks.commit(results, spec.output, part, plan.rows_per_file)
@@ -255,6 +254,18 @@ def launch(plan: RunPlan) -> Run:
     return run
 
 
+def _open_waves(work: DataFrame, done: DataFrame) -> list[tuple[int, bool]]:
+    """(wave, nothing of it is done) for waves with work left; one row per wave is collected.
+
+    Ids alone are compared, and a wave nobody has touched then needs no join at all.
+    """
+    ids = work.select("row_id", "wave")
+    left = pending(ids, done).groupBy("wave").agg(F.count(F.lit(1)).alias("left"))
+    size = ids.groupBy("wave").agg(F.count(F.lit(1)).alias("size"))
+    rows = left.join(size, "wave").orderBy("wave").collect()
+    return [(r["wave"], r["left"] == r["size"]) for r in rows]
+
+
 def _tick(spark: SparkSession, output: str, part: str, attempt: int, elapsed: float,
           ticks: dict[int, list[dict]]) -> None:
     """One telemetry line per shard of the commit, so that progress shows while a run is on."""
