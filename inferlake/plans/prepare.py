@@ -12,7 +12,7 @@ from inferlake.functions.ids import content_id, shard_rank
 from inferlake.functions.text import clean_text
 from inferlake.operators.batching import micro_batch
 from inferlake.operators.dedup import distinct_contents
-from inferlake.operators.rowindex import build_index
+from inferlake.operators.rowindex import RowIndex, build_index
 from inferlake.sources.pages import list_pages
 from inferlake.sources.tables import first_rows
 from inferlake.spec import JobSpec
@@ -22,22 +22,31 @@ def _wave(index: str, units: int):
     return F.expr(f"{index} div {units}").alias("wave")
 
 
-def _distinct_texts(df: DataFrame, column: str, limit: int | None) -> DataFrame:
-    """(row_id, text, n_copies) for sources without an id column: the content is the id."""
-    texts = (df.groupBy(column).agg(F.count(F.lit(1)).alias("n_copies"))
-             .withColumn("row_id", content_id(F.col(column))))
-    return first_rows(texts, "row_id", limit) if limit else texts
+def _keyed_by_content(df: DataFrame, spec: JobSpec) -> DataFrame:
+    """(row_id, text) for sources without an id column: the content is the id. Copies stay;
+    a cap keeps the first distinct ids."""
+    rows = df.select(content_id(F.col(spec.column)).alias("row_id"), spec.column)
+    if not spec.limit:
+        return rows
+    return _content_index(rows).first(rows, spec.limit)
+
+
+def _content_index(rows: DataFrame, align: int = 1) -> RowIndex:
+    """Numbers of the distinct contents; only hashes are shuffled for it."""
+    return build_index(rows.select("row_id").distinct(), "row_id", align)
 
 
 def embedding_work(df: DataFrame, spec: JobSpec, wave_units: int) -> DataFrame:
     """Batches of cleaned texts. The cap counts input rows, before empty ones are dropped."""
-    id_column = spec.id_column or "row_id"
     if spec.id_column is None:
-        rows = _distinct_texts(df, spec.column, spec.limit)
+        rows = clean_text(_keyed_by_content(df, spec), spec.column, spec.truncate)
+        units = micro_batch(rows.distinct(), "row_id", spec.column, spec.batch,
+                            _content_index(rows, spec.batch))
     else:
-        rows = first_rows(df, id_column, spec.limit) if spec.limit else df
-    rows = clean_text(rows.select(id_column, spec.column), spec.column, spec.truncate)
-    units = micro_batch(rows, id_column, spec.column, spec.batch)
+        rows = df.select(spec.id_column, spec.column)
+        rows = first_rows(rows, spec.id_column, spec.limit) if spec.limit else rows
+        rows = clean_text(rows, spec.column, spec.truncate)
+        units = micro_batch(rows, spec.id_column, spec.column, spec.batch)
     return units.select("row_id", shard_rank(F.col("batch_no"), spec.world).alias("rank"),
                         _wave("batch_no", wave_units),
                         F.lit(1).cast("bigint").alias("n_copies"), "member_ids", "texts")
@@ -49,14 +58,15 @@ def generation_work(df: DataFrame, spec: JobSpec, wave_units: int) -> DataFrame:
     Hashes and ids meet first; the prompts themselves are shuffled once, on the row id.
     """
     if spec.id_column is None:
-        rows = _distinct_texts(df, spec.column, spec.limit)
-        kept = build_index(rows, "row_id").attach(rows)
+        rows = _keyed_by_content(df, spec)
+        prompts = rows.groupBy("row_id", spec.column).agg(F.count(F.lit(1)).alias("n_copies"))
+        kept = _content_index(rows).attach(prompts)
     else:
-        rows = first_rows(df, spec.id_column, spec.limit) if spec.limit else df
+        rows = df.select(spec.id_column, spec.column)
+        rows = first_rows(rows, spec.id_column, spec.limit) if spec.limit else rows
         index = build_index(rows, spec.id_column)
         firsts = distinct_contents(rows, spec.column, spec.id_column)
-        kept = (rows.select(spec.id_column, spec.column)
-                .join(index.table.join(firsts, spec.id_column), spec.id_column))
+        kept = rows.join(index.table.join(firsts, spec.id_column), spec.id_column)
     return kept.select("row_id", shard_rank(F.col("idx"), spec.world).alias("rank"),
                        _wave("idx", wave_units), "n_copies", spec.column)
 

@@ -119,6 +119,18 @@ def test_short_answers_never_count_as_success(spark, docs, tmp_path):
     assert all(r.embeddings is None and r.n_texts is None for r in rows)
 
 
+def test_embedding_without_ids_takes_each_content_once(spark, tmp_path):
+    texts = ["same "] * 30 + [f"t{i}" for i in range(20)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    done = embed(spark, df, output=str(tmp_path / "out"), batch=8)
+    rows = done.results().collect()
+    assert sorted(t for r in rows for t in r.texts) == sorted(["same"] + [f"t{i}" for i in range(20)])
+    order = [i for r in sorted(rows, key=lambda r: r.member_ids) for i in r.member_ids]
+    assert order == sorted(order) and sorted(r.n_texts for r in rows) == [5, 8, 8]
+    capped = embed(spark, df, output=str(tmp_path / "few"), batch=8, limit=10)
+    assert 8 <= sum(r.n_texts for r in capped.results().collect()) <= 10
+
+
 def test_limit_counts_input_rows(spark, docs, tmp_path):
     done = run(spark, docs, str(tmp_path / "out"), limit=97)
     assert done.results().agg(F.sum("n_texts")).head()[0] == 95      # two of them are empty
