@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sys
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,15 +14,8 @@ WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace
 
 
 def stripped(text: Column) -> Column:
-    """Null becomes "", then Unicode whitespace goes from both ends.
-
-    ``btrim`` with a character list walks the whole text, so it runs only where a blank
-    is found at an end; that test looks at a few bytes.
-    """
-    text = F.coalesce(text, F.lit(""))
-    blank_end = reduce(or_, (F.startswith(text, F.lit(c)) | F.endswith(text, F.lit(c))
-                             for c in WHITESPACE))
-    return F.when(blank_end, F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
+    """Null becomes "", then Unicode whitespace goes from both ends."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
 
 
 def clean_text(df: DataFrame, column: str, truncate: int = TRUNCATE_CHARS) -> DataFrame:
