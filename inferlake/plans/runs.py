@@ -16,6 +16,7 @@ from inferlake.operators import inference, progress as prog
 from inferlake.operators.resume import pending
 from inferlake.plans import prepare
 from inferlake.plans.resolve import resolve_table
+from inferlake.session import temporary_stages
 from inferlake.sources import outputs, pages, sinks, tables
 from inferlake.sources.storage import exists, read_json, write_json
 from inferlake.spec import JobSpec, SpecError
@@ -192,15 +193,16 @@ def _staged_work(plan: RunPlan) -> DataFrame:
     never cleans, numbers or batches the source again."""
     spark, path = plan.spark, f"{plan.spec.output}/_work/units"
     if not exists(spark, f"{path}/_SUCCESS"):
-        work, waves = plan.work(), (plan.spec.num_examples or 0) // plan.wave_units + 1
-        if plan.spec.task == "generation" and waves > 1:
-            # joined by row id, so each task holds every wave: bring waves together first
-            tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            spread = F.pmod(F.xxhash64("row_id"), F.lit(tasks // waves + 1))
-            work = work.repartition(max(tasks, waves), "wave", spread)
-        # small row groups, so that a later read of one wave splits over all cores
-        (work.write.mode("overwrite").option("parquet.block.size", UNIT_GROUP_BYTES)
-         .partitionBy("wave").parquet(path))
+        with temporary_stages(spark):
+            work, waves = plan.work(), (plan.spec.num_examples or 0) // plan.wave_units + 1
+            if plan.spec.task == "generation" and waves > 1:
+                # joined by row id, so each task holds every wave: bring waves together first
+                tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+                spread = F.pmod(F.xxhash64("row_id"), F.lit(tasks // waves + 1))
+                work = work.repartition(max(tasks, waves), "wave", spread)
+            # small row groups, so that a later read of one wave splits over all cores
+            (work.write.mode("overwrite").option("parquet.block.size", UNIT_GROUP_BYTES)
+             .partitionBy("wave").parquet(path))
     units = spark.read.parquet(path)
     return units.withColumn("wave", F.col("wave").cast("bigint"))
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,9 +56,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_SCOPE: ContextVar[list[str] | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def temporary_stages(spark: SparkSession):
+    """Staged tables made inside are deleted at the end; for work whose result is
+    written out before that."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        made = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in made:
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends
     there, so losing an executor never recomputes what lies before."""
     path = shared_path(df.sparkSession, name)
+    if _SCOPE.get() is not None:
+        _SCOPE.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from inferlake import models
 from inferlake.functions.text import clean_text
 from inferlake.operators import inference
 from inferlake.operators.batching import micro_batch
-from inferlake.session import stage
+from inferlake.session import stage, temporary_stages
 from inferlake.sources import sinks
 from inferlake.spec import JobSpec
 from inferlake.streaming.dedup import dedup_stream
@@ -46,10 +46,11 @@ def start(stream: DataFrame, spec: JobSpec, checkpoint: str, model: Callable | N
         stream = dedup_stream(stream, spec.column)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
-        results = (_results(batch, spec, factory)
-                   .withColumn("rank", F.lit(0)).withColumn("wave", F.lit(batch_id).cast("bigint"))
-                   .withColumn("attempt", F.lit(batch_id).cast("bigint")))
-        sinks.commit(results, spec.output, sinks.part_name(0, batch_id))
+        number = F.lit(batch_id).cast("bigint")
+        with temporary_stages(batch.sparkSession):
+            results = (_results(batch, spec, factory).withColumn("rank", F.lit(0))
+                       .withColumn("wave", number).withColumn("attempt", number))
+            sinks.commit(results, spec.output, sinks.part_name(0, batch_id))
 
     return (stream.writeStream.foreachBatch(commit)
             .option("checkpointLocation", checkpoint)

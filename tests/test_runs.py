@@ -137,6 +137,13 @@ def test_limit_counts_input_rows(spark, docs, tmp_path):
     assert done.status().progress.head().expected_rows == 25
 
 
+def test_launch_leaves_no_staged_tables(spark, docs, tmp_path):
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = set(os.listdir(base))
+    run(spark, docs, str(tmp_path / "out"))
+    assert set(os.listdir(base)) == before
+
+
 def test_plan_without_launch_writes_nothing(spark, docs, tmp_path):
     out = str(tmp_path / "out")
     plan = run(spark, docs, out, launch=False)
