@@ -228,8 +228,9 @@ def page_run(spark, sf_dir):
 
 def _stream(spark, sf_dir, name):
     # a glob, since a file stream watches folders
-    schema = table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("maxBytesPerTrigger", 64 << 30).parquet(f"{sf_dir}/{name}.parque[t]")
+    reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+    return (reader.option("maxBytesPerTrigger", 64 << 30)
+            .parquet(f"{sf_dir}/{name}.parque[t]"))
 
 
 def stream_dedup(spark, sf_dir):

@@ -113,10 +113,12 @@ s AS (SELECT run, CAST(sum(rows_done_prior + rows_processed) AS BIGINT) AS n,
              CAST(sum(rows_failed) AS BIGINT) AS failed FROM {stats} GROUP BY run),
 t AS (SELECT run, CAST(sum(ok) AS BIGINT) AS n FROM ticks GROUP BY run),
 p AS (SELECT runs.run, coalesce(s.n, t.n, 0) AS rows_ok, s.failed AS rows_failed,
-             s.run IS NOT NULL AS exact, k.* EXCLUDE (run, world), k.run IS NOT NULL AS has_run_json
+             s.run IS NOT NULL AS exact, k.* EXCLUDE (run, world),
+             k.run IS NOT NULL AS has_run_json
       FROM runs LEFT JOIN s USING (run) LEFT JOIN t USING (run) LEFT JOIN records k USING (run))
 SELECT run, rows_ok, rows_failed, expected_rows,
-       CASE WHEN expected_rows <> 0 THEN least(1.0::DOUBLE, rows_ok::DOUBLE / expected_rows) END AS pct,
+       CASE WHEN expected_rows <> 0
+            THEN least(1.0::DOUBLE, rows_ok::DOUBLE / expected_rows) END AS pct,
        exact, items_per_row, rows_ok * items_per_row AS items_ok, expected_items, has_run_json
 FROM p"""
 
@@ -213,32 +215,38 @@ QUERIES = {
     "runs_complete": (runs_complete, f"""WITH {SQL_TABLES}, {SQL_ROSTER}
         SELECT run, bool_and(done) AS complete FROM roster GROUP BY run"""),
     "orphans": (orphans, f"""WITH {SQL_TABLES}
-        SELECT run, printf('part-%d-%05d.parquet', epoch, rank) AS part FROM days WHERE rank = 3"""),
+        SELECT run, printf('part-%d-%05d.parquet', epoch, rank) AS part
+        FROM days WHERE rank = 3"""),
     "storage_counts": (storage_counts, f"""WITH {SQL_TABLES}
-        SELECT run, count(*) AS parts, CAST(count_if(rank = 3) AS BIGINT) AS orphans FROM days GROUP BY run"""),
+        SELECT run, count(*) AS parts, CAST(count_if(rank = 3) AS BIGINT) AS orphans
+        FROM days GROUP BY run"""),
     "file_kinds": (file_kinds, f"""WITH {SQL_TABLES}
         SELECT run, 'telemetry' AS kind, count(*) AS n, max(rank) AS max_rank,
                max(epoch) AS max_epoch FROM days GROUP BY run
         UNION ALL SELECT run, 'part', count(*), NULL, NULL FROM days GROUP BY run
-        UNION ALL SELECT run, 'manifest', count(*), NULL, NULL FROM days WHERE rank <> 3 GROUP BY run
+        UNION ALL SELECT run, 'manifest', count(*), NULL, NULL
+        FROM days WHERE rank <> 3 GROUP BY run
         UNION ALL SELECT run, 'marker', count(*), max(rank), NULL
         FROM (SELECT DISTINCT run, rank FROM ticks WHERE rank <= 1) GROUP BY run"""),
     "tick_window": (tick_window, f"""WITH {SQL_TABLES}, {SQL_WINDOW}
         SELECT run, rank, epoch, line, ok FROM tail WHERE n <= 120"""),
     "shard_stats": (shard_stats, """SELECT event_type AS run, CAST(user_id % 4 AS INTEGER) AS rank,
         count(*) AS rows_total, CAST(count_if(event_id % 3 = 0) AS BIGINT) AS rows_done_prior,
-        CAST(count_if(event_id % 3 <> 0) AS BIGINT) AS rows_processed, CAST(count_if(value > 100) AS BIGINT) AS rows_failed,
+        CAST(count_if(event_id % 3 <> 0) AS BIGINT) AS rows_processed,
+        CAST(count_if(value > 100) AS BIGINT) AS rows_failed,
         CAST(sum(event_id % 2) AS BIGINT) AS rows_deduped,
         CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS prompt_tokens,
         CAST(sum(CASE WHEN event_id % 5 <> 0 THEN user_id END) AS BIGINT) AS completion_tokens,
         60.0::DOUBLE AS elapsed_s,
-        (sum(CAST(floor(value) AS BIGINT)) + sum(CASE WHEN event_id % 5 <> 0 THEN user_id ELSE 0 END))
-          ::DOUBLE / 60.0 AS tokens_per_sec
+        (sum(CAST(floor(value) AS BIGINT))
+         + sum(CASE WHEN event_id % 5 <> 0 THEN user_id ELSE 0 END))::DOUBLE / 60.0
+          AS tokens_per_sec
         FROM events GROUP BY event_type, user_id % 4"""),
     "progress_document": (progress_document, f"""WITH {SQL_TABLES}, {SQL_ROSTER}, {SQL_WINDOW},
         s AS (SELECT run, sum(rows_done_prior + rows_processed) AS n FROM stats GROUP BY run),
         t AS (SELECT run, sum(ok) AS n FROM ticks GROUP BY run),
-        d AS (SELECT run, count(*) AS parts, CAST(count_if(rank = 3) AS BIGINT) AS orphans FROM days GROUP BY run),
+        d AS (SELECT run, count(*) AS parts, CAST(count_if(rank = 3) AS BIGINT) AS orphans
+              FROM days GROUP BY run),
         r AS (SELECT run, count(*) AS n_shards FROM roster GROUP BY run),
         w AS (SELECT run, sum(ok) AS n FROM tail WHERE n <= 120 GROUP BY run)
         SELECT run, 1 AS version, CAST(coalesce(s.n, t.n) AS BIGINT) AS rows_ok, n_shards,

@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from inferlake import models
+from inferlake.functions.ids import path_below
 from inferlake.functions.text import clean_text
 from inferlake.operators import inference
 from inferlake.operators.batching import micro_batch
 from inferlake.session import stage, temporary_stages
 from inferlake.sources import sinks
+from inferlake.sources.pages import split_glob
+from inferlake.sources.storage import absolute
 from inferlake.spec import JobSpec
 from inferlake.streaming.dedup import dedup_stream
 
@@ -23,7 +26,8 @@ def _results(batch: DataFrame, spec: JobSpec, factory: Callable) -> DataFrame:
         return inference.generate_rows(batch.select("row_id", spec.column), spec.column,
                                        spec.model, factory, spec.max_tokens, spec.temperature)
     if spec.task == "ocr":
-        rows = batch.select(F.col("path").alias("row_id"), "content")
+        folder = absolute(batch.sparkSession, split_glob(spec.dataset)[0])
+        rows = batch.select(path_below(F.col("path"), folder).alias("row_id"), "content")
         return inference.read_pages(rows, "content", spec.model, factory,
                                     max_tokens=spec.max_tokens, temperature=spec.temperature)
     # numbering reads its input more than once; the staged copy also fixes batch membership

@@ -34,6 +34,20 @@ def test_generation_continues_after_a_restart(spark, tmp_path):
     assert all(r.response == "echo: " + r.text for r in rows)
 
 
+def test_pages_arrive_as_a_stream(spark, tmp_path):
+    scans, out = tmp_path / "scans", str(tmp_path / "out")
+    scans.mkdir()
+    spec = JobSpec(task="ocr", dataset=f"{scans}/*.png", model="tag-stripper", output=out)
+    for i in range(2):
+        (scans / f"{i}.png").write_text(f"<p>page {i}</p>")
+        pages = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.png") \
+            .schema("path string, modificationTime timestamp, length bigint, content binary") \
+            .load(str(scans))
+        inference.start(pages, spec, str(tmp_path / "check")).awaitTermination()
+        rows = {r.row_id: r.markdown for r in sinks.read_healed(spark, out).collect()}
+        assert rows == {f"{j}.png": f"page {j}" for j in range(i + 1)}
+
+
 def test_replayed_batch_replaces_its_part(spark, tmp_path):
     folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
     spec = JobSpec(task="embeddings", dataset="stream", model="hash-embedder", output=out,
