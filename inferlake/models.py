@@ -12,20 +12,27 @@ import base64
 import hashlib
 import re
 from collections.abc import Callable
-from functools import lru_cache, partial
+from functools import partial
 
 DIMENSIONS = 16
 
 
-@lru_cache(maxsize=65_536)
-def _bucket(token: str) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[0], 16)
-
-
 class HashEmbedder:
     """Counts of blank-separated tokens by the first hex digit of their md5."""
 
     group_size = 8
+    known_tokens = 65_536
+
+    def __init__(self):
+        self._buckets: dict[str, int] = {}
+
+    def _bucket(self, token: str) -> int:
+        bucket = self._buckets.get(token)
+        if bucket is None:
+            bucket = int(hashlib.md5(token.encode()).hexdigest()[0], 16)
+            if len(self._buckets) < self.known_tokens:
+                self._buckets[token] = bucket
+        return bucket
 
     def predict(self, requests):
         return [self._one(r["input"]) for r in requests]
@@ -36,7 +43,7 @@ class HashEmbedder:
             counts = [0.0] * DIMENSIONS
             for token in text.split(" "):
                 if token:
-                    counts[_bucket(token)] += 1.0
+                    counts[self._bucket(token)] += 1.0
                     total += 1
             data.append({"embedding": counts})
         return {"data": data, "usage": {"prompt_tokens": total}}
