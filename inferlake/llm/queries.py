@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_mixing
+from . import queries_mixing, queries_quality
 
-QUERIES = {**queries_mixing.QUERIES}
+QUERIES = {**queries_mixing.QUERIES, **queries_quality.QUERIES}
