@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from . import queries_mixing, queries_quality
+from . import queries_mixing, queries_near, queries_quality
 
-QUERIES = {**queries_mixing.QUERIES, **queries_quality.QUERIES}
+QUERIES = {**queries_mixing.QUERIES, **queries_near.QUERIES, **queries_quality.QUERIES}
