@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_mixing, queries_near, queries_quality
+from . import queries_decontam, queries_mixing, queries_near, queries_quality
 
-QUERIES = {**queries_mixing.QUERIES, **queries_near.QUERIES, **queries_quality.QUERIES}
+_MODULES = (queries_decontam, queries_mixing, queries_near, queries_quality)
+QUERIES = {name: entry for module in _MODULES for name, entry in module.QUERIES.items()}
