@@ -1,19 +1,54 @@
-"""Documents to token files, in stages of the training-data operators."""
+"""Documents to token files, in five stages of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inferlake.llm import mixing
+from inferlake.llm import decontam, huffman, hyperminhash, mixing, quality
+from inferlake.llm.queries_tokens import END, TOKENIZER
 
+#: SQL has no tokenizer; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.quality(docs).filter("QR_kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the smallest id."""
+    return hyperminhash.drop_near_duplicates(docs, percent=80)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out so that their sources meet their targets."""
     return mixing.mix(docs)
 
 
-STAGES = [("mix", mix)]
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files; the rows read back from them, one for each copy of a document."""
+    ids = docs.select(F.col("doc_id"), F.col("text"))
+    return huffman.written_and_read(ids, public_tokenizers.path(TOKENIZER), END)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mix_sources", mix_sources),
+    ("token_output", token_output),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
