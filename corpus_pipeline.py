@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from inferlake.llm import decontam, huffman, hyperminhash, mixing, quality
 from inferlake.llm.queries_tokens import END, TOKENIZER
+from inferlake.llm.tables import staged
 
 #: SQL has no tokenizer; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
@@ -52,7 +53,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every stage's rows are written to the shared folder and read back by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
