@@ -43,6 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .packing import batch_of, buckets, ddl, groups, pack, pack_sorted, unpack, unpack_sorted
 from .tables import release, staged
 from .words import mix, slices, words
 
@@ -55,27 +56,6 @@ END, START = _U(0x7C0F5E2D91A3B846), _U(0x1B56D4A39E0C77F3)
 _STEP = _U(0xC2B2AE3D27D4EB4F)
 
 
-# --- packing -------------------------------------------------------------------------------
-
-def pack(numbers: np.ndarray) -> bytes:
-    """Numbers as planes of bytes: the high planes of small numbers compress to nothing."""
-    width = numbers.dtype.itemsize
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes()
-
-
-def unpack(data: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
-
-
-def pack_sorted(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=_U(0)))
-
-
-def unpack_sorted(data: bytes) -> np.ndarray:
-    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
-
-
 # --- discounts -----------------------------------------------------------------------------
 
 class Discounts:
@@ -189,14 +169,6 @@ class Chunk:
         return out
 
 
-def _buckets(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
-    """Sorted keys by their leading bits."""
-    number = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-    starts = np.flatnonzero(np.diff(number, prepend=-1))
-    for a, b in zip(starts, [*starts[1:], len(keys)]):
-        yield int(number[a]), slice(int(a), int(b))
-
-
 def _ask(order: int, bits: int):
     """Chunks to questions (order, bucket, chunk, keys, counts)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,8 +182,8 @@ def _ask(order: int, bits: int):
                         chunk.next_order()
                     keys, back = np.unique(chunk.key, return_inverse=True)
                     counts = np.bincount(back, chunk.training, minlength=len(keys)).astype(np.uint32)
-                    rows += [(n, b, row[0], pack_sorted(keys[s]), pack(counts[s])) for b, s in _buckets(keys, bits)]
-                yield _batch(rows, _QUESTION)
+                    rows += [(n, b, row[0], pack_sorted(keys[s]), pack(counts[s])) for b, s in buckets(keys, bits)]
+                yield batch_of(rows, _QUESTION)
     return run
 
 
@@ -220,35 +192,9 @@ _COUNTED = {"kind": pa.string(), "order": pa.int32(), "bucket": pa.int32(), "chu
             "keys": pa.binary(), "counts": pa.binary(), "own": pa.binary(), "stats": pa.list_(pa.int64())}
 
 
-def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[] for _ in kinds]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=list(kinds))
-
-
-def _ddl(kinds: dict) -> str:
-    names = {pa.int32(): "int", pa.int64(): "long", pa.binary(): "binary", pa.string(): "string",
-             pa.list_(pa.int64()): "array<long>"}
-    return ", ".join(f"`{k}` {names[t]}" for k, t in kinds.items())
-
-
-def _groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple, list[list]]]:
-    """Rows that follow each other with equal first ``width`` columns."""
-    key, held = None, []
-    for batch in batches:
-        for k in range(batch.num_rows):
-            row = [c[k].as_py() for c in batch.columns]
-            if tuple(row[:width]) != key:
-                if held:
-                    yield key, held
-                key, held = tuple(row[:width]), []
-            held.append(row[width:])
-    if held:
-        yield key, held
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Questions of a bucket to totals: for each chunk, for the model, and counts of counts."""
-    for (order, bucket), rows in _groups(batches, 2):
+    for (order, bucket), rows in groups(batches, 2):
         keys = [unpack_sorted(r[1]) for r in rows]
         counts = np.concatenate([unpack(r[2], np.uint32) for r in rows]).astype(np.int64)
         flat = np.concatenate(keys)
@@ -265,7 +211,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_counts = np.bincount(total[seen & (total <= MAX_COUNT + 1)], minlength=MAX_COUNT + 2)
         out.append(("model", order, bucket, None, pack_sorted(used[seen]), pack(total[seen].astype(np.uint64)), None, None))
         out.append(("stats", order, bucket, None, None, None, None, [*of_counts.tolist(), int(total.sum()), int(seen.sum())]))
-        yield _batch(out, _COUNTED)
+        yield batch_of(out, _COUNTED)
 
 
 class Model:
@@ -324,7 +270,7 @@ def _meeting(chunks: DataFrame, answers: DataFrame, contexts: list[DataFrame]) -
 
 def _chunks(batches: Iterator[pa.RecordBatch], order: int):
     """(chunk number, chunk, totals by order, owned by order, alphas by order)."""
-    for (number,), rows in _groups(batches, 1):
+    for (number,), rows in groups(batches, 1):
         body, totals, owned, alphas = None, [[] for _ in range(order)], [[] for _ in range(order)], {}
         for kind, n, _, doc_ids, held, sizes, tokens, words_, counts, own in rows:
             if kind == 0:
@@ -369,15 +315,15 @@ def _ask_contexts(model: Model, order: int, bits: int):
             lower = np.bincount(place[mine], p[mine], len(contexts))
             count = above[known][where].astype(np.uint64)
             rows = [(b, number, pack_sorted(contexts[s]), pack(count[s]), pack(lost[s]), pack(lower[s]))
-                    for b, s in _buckets(contexts, bits)]
-            yield _batch(rows, _CONTEXT_QUESTION)
+                    for b, s in buckets(contexts, bits)]
+            yield batch_of(rows, _CONTEXT_QUESTION)
     return run
 
 
 def _backoff(order: int):
     """Questions of a bucket of contexts to alpha, negative where the context's count is raised by one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), rows in _groups(batches, 1):
+        for (bucket,), rows in groups(batches, 1):
             keys = [unpack_sorted(r[1]) for r in rows]
             used, back = np.unique(np.concatenate(keys), return_inverse=True)
             lost, lower = (np.bincount(back, np.concatenate([unpack(r[k], np.float64) for r in rows]), len(used))
@@ -391,7 +337,7 @@ def _backoff(order: int):
             out = [("answer", order, bucket, r[0], None, None, alpha[back[e - len(k):e]].tobytes())
                    for r, k, e in zip(rows, keys, ends)]
             out.append(("model", order, bucket, None, pack_sorted(used), pack(above), alpha.tobytes()))
-            yield _batch(out, _CONTEXT)
+            yield batch_of(out, _CONTEXT)
     return run
 
 
@@ -428,8 +374,8 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 2, doc_id: str =
     tokens = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
     bits = max(0, int(tokens // 4 // BUCKET_KEYS)).bit_length()
     counted = staged(
-        chunks.mapInArrow(_ask(order, bits), _ddl(_QUESTION)).repartition("order", "bucket")
-        .sortWithinPartitions("order", "bucket", "chunk").mapInArrow(_count, _ddl(_COUNTED)),
+        chunks.mapInArrow(_ask(order, bits), ddl(_QUESTION)).repartition("order", "bucket")
+        .sortWithinPartitions("order", "bucket", "chunk").mapInArrow(_count, ddl(_COUNTED)),
         "katz-counts", "kind", "order")
     release(spark)
     width = MAX_COUNT + 4
@@ -439,9 +385,9 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 2, doc_id: str =
     answers = counted.filter("kind = 'answer'").select("chunk", "order", "bucket", "counts", "own")
     contexts: list[DataFrame] = []
     for k in range(2, order + 1):
-        asked = _meeting(chunks, answers, contexts).mapInArrow(_ask_contexts(model, k, bits), _ddl(_CONTEXT_QUESTION))
+        asked = _meeting(chunks, answers, contexts).mapInArrow(_ask_contexts(model, k, bits), ddl(_CONTEXT_QUESTION))
         found = staged(asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")
-                       .mapInArrow(_backoff(k), _ddl(_CONTEXT)), "katz-contexts", "kind", "order")
+                       .mapInArrow(_backoff(k), ddl(_CONTEXT)), "katz-contexts", "kind", "order")
         release(spark)
         contexts.append(found.filter("kind = 'answer'").select("chunk", "order", "bucket", "counts"))
     return _meeting(chunks, answers, contexts).mapInArrow(_score(model), SCORES)
