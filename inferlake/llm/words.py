@@ -8,8 +8,10 @@ and carriage return; a null text has no words.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,15 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IN_WORD = np.ones(256, dtype=bool)
 _IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
-_powers: dict[str, np.ndarray] = {}
+
+
+def process_cache() -> dict:
+    """What a Python process keeps from one task to the next.
+
+    Functions of this package travel to the executors by value, each time with globals of
+    their own; only a module of the process outlives a task.
+    """
+    return sys.modules.setdefault("inferlake_llm_cache", ModuleType("inferlake_llm_cache")).__dict__
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,14 +53,15 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+    cache = process_cache()
+    if len(cache.get("up", ())) < n:
         size = max(n, SLICE_BYTES + (1 << 16))
         inverse = _U(pow(int(_BASE), -1, 1 << 64))
         for name, factor in (("up", _BASE), ("down", inverse)):
             steps = np.full(size, factor, dtype=np.uint64)
             steps[0] = 1
-            _powers[name] = np.cumprod(steps)
-    return _powers["up"], _powers["down"]
+            cache[name] = np.cumprod(steps)
+    return cache["up"], cache["down"]
 
 
 @dataclass
