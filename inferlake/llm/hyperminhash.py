@@ -28,7 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .bitmap import bitmap, passes
 from .components import components
 from .tables import release, staged
 from .words import SHINGLE, mix, shingles, slices, words
@@ -112,19 +114,38 @@ def _sets(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "sets" if with_sets else "regs"])
 
 
-def _bands(nodes: DataFrame) -> DataFrame:
-    """(band, node): the band's number and its registers in one binary."""
-    width = 2 * ROWS
-    return nodes.select("node", F.explode(F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda k: F.xxhash64(k, F.substring("regs", 1 + k * width, F.lit(width))))).alias("band"))
+def _schema(docs: DataFrame, doc_id: str, last: str) -> T.StructType:
+    return T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("node", T.BinaryType()),
+                         T.StructField("n", T.LongType()), T.StructField(last, T.BinaryType())])
 
 
-def _find(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+def _sets_of(ids: np.ndarray):
+    """Sets of the rows (id, text, hash of the id) that the bitmap lets pass."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = batch.filter(pa.array(passes(ids, batch.column(2).to_numpy())))
+            if some.num_rows:
+                yield from _sets(iter([some]), True)
+    return run
+
+
+def _bands(words_: np.ndarray | None):
+    """Rows (node, regs) to (band, node): hashes of four registers and their place; with a bitmap, those in it."""
+    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(rows, BANDS)
+            bands = mix(regs ^ salt)
+            keep = np.ones((rows, BANDS), dtype=bool) if words_ is None else passes(words_, bands.reshape(-1)).reshape(rows, BANDS)
+            if words_ is None:
+                yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1).view(np.int64))], names=["band"])
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bands[keep].view(np.int64)), batch.column(0).take(pa.array(np.nonzero(keep)[0]))],
+                    names=["band", "node"])
+    return run
 
 
 def link_block(sets: list[np.ndarray], regs: np.ndarray, sides: np.ndarray, percent: int) -> list[tuple[int, int]]:
@@ -196,10 +217,17 @@ def _verify(percent: int):
 
 
 def _clusters(nodes: DataFrame) -> DataFrame:
-    """(node, root) of the nodes that share a band with another, joined along shared bands."""
-    shared = _bands(nodes).groupBy("band").agg(F.count("*").alias("c"), F.min("node").alias("low")).filter("c > 1")
-    stars = _bands(nodes).join(shared.select("band", "low"), "band").select(
-        F.col("node").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
+    """(node, root) of the nodes that share a band with another, joined along shared bands.
+
+    Bands alone are counted first; nodes travel only with bands that occur twice or more.
+    """
+    regs = nodes.select("node", "regs")
+    shared = staged(regs.mapInArrow(_bands(None), "band long").groupBy("band").count().filter("count > 1")
+                    .select("band"), "near-bands")
+    members = staged(regs.mapInArrow(_bands(bitmap(shared, "band")), "band long, node binary")
+                     .join(shared, "band", "left_semi"), "near-members")
+    low = members.groupBy("band").agg(F.min("node").alias("low"))
+    stars = members.join(low, "band").select(F.col("node").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
     return components(stars)
 
 
@@ -208,12 +236,12 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, doc_id: str, text: st
     clusters = staged(_clusters(nodes), "near-clusters")
     wanted = nodes.join(clusters, "node").select("node", "n", "regs", "doc", "root")
     wanted = staged(wanted, "near-candidates")
-    sets = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-            .join(wanted.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
-            .mapInArrow(lambda b: _sets(b, True),
-                        docs.select(F.col(doc_id).alias("doc_id"), F.lit(b"").alias("node"),
-                                    F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sets")).schema))
-    sets = sets.filter("node is not null").select("node", "sets").dropDuplicates(["node"])
+    # The bitmap spares the texts of all other documents a shuffle.
+    ids = bitmap(wanted.select(F.xxhash64("doc").alias("h")), "h")
+    sets = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"))
+            .mapInArrow(_sets_of(ids), _schema(docs, doc_id, "sets")))
+    sets = sets.filter("node is not null").select("node", "sets")
+    sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     blocks = wanted.groupBy("root").agg(
         F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)).cast("int").alias("blocks"))
     rows = wanted.join(blocks, "root").join(sets, "node").withColumn(
@@ -234,9 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = docs.select(F.col(doc_id).alias("doc_id"), F.lit(b"").alias("node"), F.lit(0).cast("long").alias("n"),
-                      F.lit(b"").alias("regs")).schema
-    rows = staged(narrow.mapInArrow(lambda b: _sets(b, False), out), "near-registers")
+    rows = staged(narrow.mapInArrow(lambda b: _sets(b, False), _schema(docs, doc_id, "regs")), "near-registers")
     nodes = staged(rows.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"),
         F.count("*").alias("copies")), "near-nodes")
