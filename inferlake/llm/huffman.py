@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from inferlake.session import shared_path
 
+from .packing import pack, unpack
 from .tables import release, staged
 from .words import slices
 from .wordbpe import encoder
@@ -121,15 +122,6 @@ class Codes:
 
 # --- tables --------------------------------------------------------------------------------
 
-def _pack(tokens: np.ndarray) -> bytes:
-    """Ids as four planes of bytes, which compress well where ids are small."""
-    return np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1)
-
-
 def tokenized(docs: DataFrame, tokenizer: str, end: int | None, doc_id: str, text: str) -> DataFrame:
     """(part, place, doc_id, before, n, ids) in ascending id order: ``part`` is a range of ids,
     ``place`` a row's number in it, and ``before`` counts the ids of the rows before it there."""
@@ -150,7 +142,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None, doc_id: str, tex
                 keys = np.array([-(1 << 63) if x is None else x for x in ids.to_pylist()], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.searchsorted(cuts, keys, "left").astype(np.int32)), ids, pa.array(counts),
-                    pa.array([_pack(flat[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())],
+                    pa.array([pack(flat[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())],
                     names=["part", "doc_id", "n", "ids"])
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +174,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0).to_pylist():
             if data:
-                own = np.bincount(_unpack(data))
+                own = np.bincount(unpack(data, np.uint32))
                 if len(own) > len(total):
                     total = np.append(total, np.zeros(len(own) - len(total), dtype=np.int64))
                 total[:len(own)] += own
@@ -209,17 +201,18 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
     codes = Codes(np.array([r["id"] for r in counts], dtype=np.int64), bits)
     # One row for each range of ids.
     totals = rows.groupBy("part").agg(F.sum("n").alias("n"))
-    starts = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
+    starts = staged(totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first")),
+                    "token-starts")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def close():
-            tokens = np.concatenate([_unpack(r[4]) for r in held])
+            tokens = np.concatenate([unpack(r[4], np.uint32) for r in held])
             payload, offsets = codes.encode(tokens)
             row = (held[0][0], held[0][1], held[0][5] + held[0][3], [r[2] for r in held],
-                   [len(r[4]) // 4 for r in held], offsets.astype("<i8").tobytes(), payload)
+                   [r[6] for r in held], offsets.astype("<i8").tobytes(), payload)
             return pa.RecordBatch.from_arrays(
                 [pa.array([value], kind) for value, kind in zip(row, _BLOCK_TYPES)], names=list(_BLOCK_NAMES))
 
@@ -229,11 +222,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
                     yield close()
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4]) // 4
+                size += row[6]
         if held:
             yield close()
 
-    (rows.join(starts, "part").select("part", "place", "doc_id", "before", "ids", "first")
+    (rows.join(starts, "part").select("part", "place", "doc_id", "before", "ids", "first", "n")
      .mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks"))
 
 

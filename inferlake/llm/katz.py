@@ -101,7 +101,7 @@ class Unigrams:
 
 # --- chunks --------------------------------------------------------------------------------
 
-CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary"
+CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, n long"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,8 +117,8 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([
             pa.array([part << 32 | number], pa.int64()), pa.array([ids], pa.list_(pa.int64())),
             pa.array([held], pa.list_(pa.bool_())), pa.array([np.concatenate(sizes).astype(np.int64).tobytes()]),
-            pa.array([pack(rank[back])]), pa.array([used[order].tobytes()])],
-            names=["chunk", "doc_ids", "held", "sizes", "tokens", "words"])
+            pa.array([pack(rank[back])]), pa.array([used[order].tobytes()]), pa.array([len(back)], pa.int64())],
+            names=["chunk", "doc_ids", "held", "sizes", "tokens", "words", "n"])
 
     for batch in batches:
         all_ids, all_held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
@@ -175,7 +175,7 @@ def _ask(order: int, bits: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = [c[k].as_py() for c in batch.columns]
-                chunk = Chunk(*row[1:])
+                chunk = Chunk(*row[1:6])
                 rows: list = []
                 for n in range(1, order + 1):
                     if n > 1:
@@ -371,8 +371,8 @@ def katz_scores(docs: DataFrame, held_out: Column, order: int = 2, doc_id: str =
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.coalesce(held_out, F.lit(False)).alias("held"))
     chunks = staged(rows.mapInArrow(_encode, CHUNKS), "katz-chunks")
-    tokens = chunks.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    bits = max(0, int(tokens // 4 // BUCKET_KEYS)).bit_length()
+    size = chunks.agg(F.sum("n")).first()[0] or 0
+    bits = int(size // BUCKET_KEYS).bit_length()
     counted = staged(
         chunks.mapInArrow(_ask(order, bits), ddl(_QUESTION)).repartition("order", "bucket")
         .sortWithinPartitions("order", "bucket", "chunk").mapInArrow(_count, ddl(_COUNTED)),

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .packing import batch_of, buckets, ddl, groups, pack, pack_sorted, unpack, unpack_sorted
+from .packing import batch_of, buckets, ddl, expand, groups, pack, pack_sorted, squeeze, unpack, unpack_sorted
 from .tables import release, staged
 from .words import mix, slices, span_hashes
 
@@ -89,7 +89,7 @@ def _cut(length: int):
         def close():
             body, counts = np.concatenate(data), np.concatenate(sizes)
             begin, end, place = window_seeds(body, np.concatenate([[0], np.cumsum(counts)]), length)
-            row = (part << 32 | number, ids, counts.astype(np.int64).tobytes(), body.tobytes(),
+            row = (part << 32 | number, ids, counts.astype(np.int64).tobytes(), squeeze(body.tobytes()),
                    pack(np.stack([begin, end]).astype(np.uint32).reshape(-1)), pack(place.astype(np.uint32)))
             return batch_of([row], _CHUNK)
 
@@ -114,7 +114,7 @@ class Chunk:
     def __init__(self, sizes: bytes, data: bytes, begins: bytes, seeds: bytes, length: int):
         self.length = length
         self.sizes = np.frombuffer(sizes, np.int64)
-        self.data = np.frombuffer(data, np.uint8)
+        self.data = np.frombuffer(expand(data), np.uint8)
         self.begin, self.end = unpack(begins, np.uint32).astype(np.int64).reshape(2, -1)
         place = unpack(seeds, np.uint32).astype(np.int64)
         self.seed = span_hashes(self.data, place, place + min(SEED, length))
@@ -248,10 +248,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_first: bool = Tru
     """(doc_id, n_bytes, n_removed, n_spans, kept bytes) of every row of ``docs``."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     chunks = staged(rows.mapInArrow(_cut(length), ddl(_CHUNK)), "lpf-chunks")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     answers: list[DataFrame] = []
     for k in (1, 2, 3):
         # Seeds and runs are some dozen bytes apart; windows are as many as bytes, where open.
-        size = chunks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
         bits = int(size // (BUCKET_KEYS * (32 if k < 3 else 4))).bit_length()
         asked = _meeting(chunks, answers).mapInArrow(_ask(k, bits, length), ddl(_QUESTION))
         answers.append(staged(asked.repartition("bucket").sortWithinPartitions("bucket", "chunk")

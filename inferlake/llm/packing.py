@@ -8,15 +8,25 @@ import numpy as np
 import pyarrow as pa
 
 
+def squeeze(data: bytes | memoryview) -> bytes:
+    """Bytes compressed, after their number."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def expand(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers as planes of bytes: the high planes of small numbers compress to nothing."""
+    """Numbers as compressed planes of bytes: the high planes of small numbers take no room."""
     width = numbers.dtype.itemsize
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, width).T).tobytes()
+    return squeeze(np.ascontiguousarray(np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, width).T).tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    planes = np.frombuffer(expand(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
