@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import staged
 from .words import Texts, Words, process_cache, slices, words, _IN_WORD, _LOWER
@@ -305,5 +306,5 @@ def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str =
                     batch.column(0).slice(texts.first_row, len(texts)),
                     pa.array(machine.scores(similar.texts(texts)))], names=["doc_id", "score"])
 
-    schema = docs.select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score")).schema
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("score", T.DoubleType())])
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
