@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRUNCATE_CHARS = 1200
-
 # Every character Python's str.strip() removes; Spark's plain trim() knows only the space.
-WHITESPACE = "".join(chr(i) for i in range(sys.maxunicode + 1) if chr(i).isspace())
+# None lies beyond the ideographic space, U+3000.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 
 
 def stripped(text: Column) -> Column:
@@ -18,8 +15,9 @@ def stripped(text: Column) -> Column:
     return F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITESPACE))
 
 
-def clean_text(df: DataFrame, column: str, truncate: int = TRUNCATE_CHARS) -> DataFrame:
-    """Strip, drop empty rows, then keep the first ``truncate`` characters."""
+def clean_text(df: DataFrame, column: str, truncate: int | None = None) -> DataFrame:
+    """Strip and drop empty rows; with ``truncate``, keep that many characters of each text."""
     # The null test is implied by the strip; stating it lets the scan skip null pages.
     kept = df.where(F.col(column).isNotNull() & (stripped(F.col(column)) != ""))
-    return kept.withColumn(column, F.substring(stripped(F.col(column)), 1, truncate))
+    whole = stripped(F.col(column))
+    return kept.withColumn(column, whole if truncate is None else F.substring(whole, 1, truncate))

@@ -8,13 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferlake.functions.ids import content_id, shard_rank
+from inferlake.functions.ids import shard_rank
 from inferlake.functions.text import clean_text
 from inferlake.operators.batching import micro_batch
 from inferlake.operators.dedup import distinct_contents
-from inferlake.operators.rowindex import RowIndex, build_index
+from inferlake.operators.rowindex import build_index
+from inferlake.session import stage
 from inferlake.sources.pages import list_pages
-from inferlake.sources.tables import first_rows
+from inferlake.sources.tables import first_rows, with_position
 from inferlake.spec import JobSpec
 
 
@@ -22,31 +23,23 @@ def _wave(index: str, units: int):
     return F.expr(f"{index} div {units}").alias("wave")
 
 
-def _keyed_by_content(df: DataFrame, spec: JobSpec) -> DataFrame:
-    """(row_id, text) for sources without an id column: the content is the id. Copies stay;
-    a cap keeps the first distinct ids."""
-    rows = df.select(content_id(F.col(spec.column)).alias("row_id"), spec.column)
-    if not spec.limit:
-        return rows
-    return _content_index(rows).first(rows, spec.limit)
+POSITION = "_position"
 
 
-def _content_index(rows: DataFrame, align: int = 1) -> RowIndex:
-    """Numbers of the distinct contents; only hashes are shuffled for it."""
-    return build_index(rows.select("row_id").distinct(), "row_id", align)
+def _capped(df: DataFrame, spec: JobSpec) -> tuple[DataFrame, str]:
+    """(id, text) of the first ``limit`` rows in id order, and the id's name. The cap counts
+    input rows, before empty ones are dropped; every copy is a row of its own."""
+    if spec.id_column is None:
+        # Staged, as a hash and number or a place must mean the same row in every later scan.
+        return stage(with_position(df, [spec.column], POSITION, spec.limit), "positions"), POSITION
+    rows = df.select(spec.id_column, spec.column)
+    return (first_rows(rows, spec.id_column, spec.limit) if spec.limit else rows), spec.id_column
 
 
 def embedding_work(df: DataFrame, spec: JobSpec, wave_units: int) -> DataFrame:
-    """Batches of cleaned texts. The cap counts input rows, before empty ones are dropped."""
-    if spec.id_column is None:
-        rows = clean_text(_keyed_by_content(df, spec), spec.column, spec.truncate)
-        units = micro_batch(rows.distinct(), "row_id", spec.column, spec.batch,
-                            _content_index(rows, spec.batch))
-    else:
-        rows = df.select(spec.id_column, spec.column)
-        rows = first_rows(rows, spec.id_column, spec.limit) if spec.limit else rows
-        rows = clean_text(rows, spec.column, spec.truncate)
-        units = micro_batch(rows, spec.id_column, spec.column, spec.batch)
+    """Batches of cleaned texts."""
+    rows, id_column = _capped(df, spec)
+    units = micro_batch(clean_text(rows, spec.column, spec.truncate), id_column, spec.column, spec.batch)
     return units.select("row_id", shard_rank(F.col("batch_no"), spec.world).alias("rank"),
                         _wave("batch_no", wave_units),
                         F.lit(1).cast("bigint").alias("n_copies"), "member_ids", "texts")
@@ -57,16 +50,10 @@ def generation_work(df: DataFrame, spec: JobSpec, wave_units: int) -> DataFrame:
 
     Hashes and ids meet first; the prompts themselves are shuffled once, on the row id.
     """
-    if spec.id_column is None:
-        rows = _keyed_by_content(df, spec)
-        prompts = rows.groupBy("row_id", spec.column).agg(F.count(F.lit(1)).alias("n_copies"))
-        kept = _content_index(rows).attach(prompts)
-    else:
-        rows = df.select(spec.id_column, spec.column)
-        rows = first_rows(rows, spec.id_column, spec.limit) if spec.limit else rows
-        index = build_index(rows, spec.id_column)
-        firsts = distinct_contents(rows, spec.column, spec.id_column)
-        kept = rows.join(index.table.join(firsts, spec.id_column), spec.id_column)
+    rows, id_column = _capped(df, spec)
+    index = build_index(rows, id_column)
+    firsts = distinct_contents(rows, spec.column, id_column)
+    kept = rows.join(index.table.join(firsts, id_column), id_column)
     return kept.select("row_id", shard_rank(F.col("idx"), spec.world).alias("rank"),
                        _wave("idx", wave_units), "n_copies", spec.column)
 

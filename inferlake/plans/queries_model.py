@@ -14,6 +14,7 @@ from inferlake.plans.queries_rows import (
     page_folder, table,
 )
 from inferlake.session import shared_path
+from inferlake.sources import tables
 from inferlake.sources import sinks
 from inferlake.spec import JobSpec
 from inferlake.streaming import inference as stream_inference
@@ -193,6 +194,34 @@ def pages_to_text(spark, sf_dir):
 SQL_MARKDOWN = "regexp_replace(html, '<[^>]*>', '', 'g')"
 
 
+def _embedded_copies(spark, sf_dir, name, **options):
+    """Runs without an id column: how often each content is among the results."""
+    done = runs.embed(spark, f"{sf_dir}/documents.parquet", output=shared_path(spark, name), column="text",
+                      world=WORLD, **options)
+    texts = done.results().select(F.explode("texts").alias("text"))
+    return texts.groupBy(F.sha2("text", 256).alias("content")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def embed_no_ids(spark, sf_dir):
+    return _embedded_copies(spark, sf_dir, "embed-no-ids")
+
+
+def embed_no_ids_limit(spark, sf_dir):
+    return _embedded_copies(spark, sf_dir, "embed-first-rows", limit=150)
+
+
+def generate_no_ids_limit(spark, sf_dir):
+    done = runs.generate(spark, f"{sf_dir}/documents.parquet", model="echo", output=shared_path(spark, "generate-first-rows"),
+                         column="text", limit=150)
+    return done.results().select("row_id", F.col("n_copies").cast("bigint").alias("n_copies"))
+
+
+def source_limit_large(spark, sf_dir):
+    """More rows than one task should merge."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return tables.first_rows(orders, "o_orderkey", 12_000)
+
+
 def embed_run(spark, sf_dir):
     """A launched run over two shards, interrupted after the first wave, resumed and read."""
     output = shared_path(spark, "embed-run")
@@ -290,6 +319,16 @@ QUERIES = {
                    + SQL_CHAT_FIELDS.format(k="page_id", t="html", name="markdown")
                    + " FROM pages"),
     "embed_docs": (embed_docs, SQL_EMBED_DOCS),
+    "embed_no_ids": (embed_no_ids, f"""WITH {SQL_CLEANED}
+        SELECT sha256(text) AS content, count(*) AS n_rows FROM cleaned GROUP BY ALL"""),
+    "embed_no_ids_limit": (embed_no_ids_limit, f"""WITH first_rows AS (
+        SELECT * FROM documents ORDER BY doc_id LIMIT 150), {SQL_CLEANED.replace("FROM documents", "FROM first_rows")}
+        SELECT sha256(text) AS content, count(*) AS n_rows FROM cleaned GROUP BY ALL"""),
+    "generate_no_ids_limit": (generate_no_ids_limit, f"""WITH first_rows AS (
+        SELECT * FROM documents ORDER BY doc_id LIMIT 150)
+        SELECT {SQL_ROW_ID} AS row_id, count(*) AS n_copies FROM first_rows GROUP BY ALL"""),
+    "source_limit_large": (source_limit_large, """SELECT o_orderkey, o_custkey FROM orders
+        ORDER BY o_orderkey LIMIT 12000"""),
     "embed_errors": (embed_errors, SQL_EMBED_ERRORS),
     "generate_prompts": (generate_prompts, SQL_GENERATE),
     "run_status": (run_status, f"""WITH g AS ({SQL_GENERATE}), n AS (

@@ -17,7 +17,8 @@ from inferlake.sources.storage import write_text
 BATCH, WORLD = 64, 4
 
 SQL_BLANKS = "||".join(f"chr({ord(c)})" for c in WHITESPACE)
-SQL_CLEAN = f"substr(trim(coalesce(text, ''), {SQL_BLANKS}), 1, 1200)"
+SQL_CLEAN = f"trim(coalesce(text, ''), {SQL_BLANKS})"
+TRUNCATED = 1200   # the one query that truncates
 SQL_CLEANED = f"""cleaned AS (
   SELECT doc_id, {SQL_CLEAN} AS text FROM documents WHERE {SQL_CLEAN} <> '')"""
 SQL_BATCHED = f"""{SQL_CLEANED},
@@ -62,7 +63,8 @@ def cleaned(spark, sf_dir):
 
 
 def clean_text_query(spark, sf_dir):
-    return cleaned(spark, sf_dir).withColumn("kept_chars", F.length("text").cast("bigint"))
+    kept = clean_text(documents(spark, sf_dir).select("doc_id", "text"), "text", TRUNCATED)
+    return kept.withColumn("kept_chars", F.length("text").cast("bigint"))
 
 
 def content_id(spark, sf_dir):
@@ -248,7 +250,8 @@ QUERIES = {
     "row_counts": (row_counts, """SELECT source AS config, lang AS split, count(*) AS n_rows
         FROM documents GROUP BY source, lang"""),
     "clean_text": (clean_text_query, f"""WITH {SQL_CLEANED}
-        SELECT doc_id, text, length(text) AS kept_chars FROM cleaned"""),
+        SELECT doc_id, substr(text, 1, {TRUNCATED}) AS text,
+               length(substr(text, 1, {TRUNCATED})) AS kept_chars FROM cleaned"""),
     "content_id": (content_id, f"SELECT doc_id, {SQL_ROW_ID} AS row_id FROM documents"),
     "content_dedup": (content_dedup, f"""SELECT {SQL_ROW_ID} AS row_id, min(doc_id) AS doc_id,
         count(*) AS n_copies, text FROM documents GROUP BY text"""),

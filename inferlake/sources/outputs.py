@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from inferlake.functions.files import RUN_RECORD, STATS, TELEMETRY, file_kind
 from inferlake.functions.ids import path_below
+from inferlake.functions.text import stripped
 from inferlake.sources.storage import absolute, exists
 
 CONTROL_FILES = ("completions/*", "telemetry-shard*.jsonl")
@@ -82,6 +83,20 @@ def list_outputs(spark: SparkSession, output: str) -> DataFrame:
             .unionByName(indexed.where(F.col("kind").isin(*CONTROL_KINDS))))
 
 
+def _fields(schema: str) -> list[Column]:
+    """The fields of a JSON object ``v``, each read on its own: an odd one is null, and takes
+    no other with it."""
+    fields = [f.split(" ", 1) for f in schema.split(", ")]
+    return [F.expr(f"try_variant_get(v, '$.{name.strip('`')}', '{kind}')").alias(name.strip("`"))
+            for name, kind in fields]
+
+
+def _object(text: str = "value") -> Column:
+    """Valid JSON objects as a variant; null for anything else."""
+    v = F.try_parse_json(F.col(text))
+    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+
+
 def _text_of(spark: SparkSession, glob: str, whole: bool) -> DataFrame | None:
     if not exists(spark, glob):
         return None
@@ -92,16 +107,12 @@ def read_stats(spark: SparkSession, output: str) -> DataFrame:
     """(run, rank, stats fields); the rank is in the file name, unreadable files are left out."""
     folder, base = _root_of(spark, output)
     text = _text_of(spark, f"{folder}/completions/stats-*.json", whole=True)
-    fields = [f.split()[0] for f in STATS_SCHEMA.split(", ")]
     if text is None:
         return spark.createDataFrame([], f"run string, rank int, {STATS_SCHEMA}")
-    at = _located(_file_path(), base)
-    return (text.select(at.alias("at"), F.from_json(
-                "value", f"{STATS_SCHEMA}, _bad string",
-                {"columnNameOfCorruptRecord": "_bad"}).alias("s"))
-            .where("s is not null and s._bad is null")
+    return (text.select(_located(_file_path(), base).alias("at"), _object().alias("v"))
+            .where("v is not null")
             .select("at.run", F.regexp_extract("at.rel_path", STATS, 1).cast("int").alias("rank"),
-                    *[f"s.{f}" for f in fields]))
+                    *_fields(STATS_SCHEMA)))
 
 
 def read_ticks(spark: SparkSession, output: str) -> DataFrame:
@@ -112,8 +123,6 @@ def read_ticks(spark: SparkSession, output: str) -> DataFrame:
     """
     folder, base = _root_of(spark, output)
     text = _text_of(spark, f"{folder}/telemetry-shard*.jsonl", whole=False)
-    fields = ["t", "limit", "inflight", "waiting", "running", "bp", "ok",
-              "input_bound", "tok_s"]
     if text is None:
         return spark.createDataFrame(
             [], "run string, rank int, epoch bigint, rel_path string, "
@@ -122,31 +131,26 @@ def read_ticks(spark: SparkSession, output: str) -> DataFrame:
         "value", _located(_file_path(), base).alias("at"),
         F.struct(F.col("_metadata.file_block_start").alias("block"),
                  F.monotonically_increasing_id().alias("row")).alias("line"))
-        .where(F.col("at.rel_path").rlike(TELEMETRY) & (F.trim("value") != "")))
-    parsed = lines.select("at.*", "line", F.from_json(
-        "value", f"{TICK_SCHEMA}, _bad string",
-        {"columnNameOfCorruptRecord": "_bad"}).alias("k"))
-    is_bad = F.col("k").isNull() | F.col("k._bad").isNotNull()
-    bad_files = parsed.where(is_bad).select("run", "rel_path").distinct()
+        .where(F.col("at.rel_path").rlike(TELEMETRY) & (stripped(F.col("value")) != "")))
+    parsed = lines.select("at.*", "line", _object().alias("v"))
+    bad_files = parsed.where("v is null").select("run", "rel_path").distinct()
     return (parsed.join(bad_files, ["run", "rel_path"], "left_anti")
             .select("run",
                     F.regexp_extract("rel_path", TELEMETRY, 1).cast("int").alias("rank"),
                     F.regexp_extract("rel_path", TELEMETRY, 2).cast("bigint").alias("epoch"),
-                    "rel_path", "line", *[F.col(f"k.{f}") for f in fields]))
+                    "rel_path", "line", *_fields(TICK_SCHEMA)))
 
 
 def read_run_records(spark: SparkSession, output: str) -> DataFrame:
     """(run, record fields, spec and resolved as JSON text); unreadable records are left out."""
     folder, base = _root_of(spark, output)
     text = _text_of(spark, f"{folder}/run.json", whole=True)
-    fields = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
     if text is None:
         return spark.createDataFrame(
             [], f"run string, {RECORD_SCHEMA}, spec string, resolved string")
     at = _located(_file_path(), base)
-    schema = f"{RECORD_SCHEMA}, spec string, resolved string, _bad string"
-    return (text.select(at.alias("at"), F.from_json(
-                "value", schema, {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
-            .where(F.col("at.rel_path").rlike(RUN_RECORD) & F.col("r").isNotNull()
-                   & F.col("r._bad").isNull())
-            .select("at.run", *[f"r.{f}" for f in fields], "r.spec", "r.resolved"))
+    json_text = [F.to_json(F.expr(f"variant_get(v, '$.{name}', 'variant')")).alias(name)
+                 for name in ("spec", "resolved")]
+    return (text.select(at.alias("at"), _object().alias("v"))
+            .where(F.col("at.rel_path").rlike(RUN_RECORD) & F.col("v").isNotNull())
+            .select("at.run", *_fields(RECORD_SCHEMA), *json_text))

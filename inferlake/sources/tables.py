@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake.operators.rowindex import build_index
 
 FILE_FORMATS = ("parquet", "json", "csv", "text", "orc")
-SMALL_LIMIT = 10_000   # rows one task may merge for an ordered limit
 
 
 def read_table(spark: SparkSession, dataset: str | DataFrame) -> DataFrame:
@@ -37,11 +37,29 @@ def scan(df: DataFrame, columns: list[str], config: str | None = None,
 
 
 def first_rows(df: DataFrame, id_column: str, n: int) -> DataFrame:
-    """The first n rows in id order. A small cap is a top-n; a large one becomes a filter
-    on the n-th id, so that no single task has to hold n rows."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(id_column).limit(n)
-    return build_index(df, id_column).first(df, n)
+    """The first n rows in id order, as a filter on the n-th id: no task has to hold n rows,
+    and a repeated id is an error for every n."""
+    return build_index(df, id_column).first(df, n) if n > 0 else df.limit(0)
+
+
+def with_position(df: DataFrame, columns: list[str], name: str, limit: int | None = None) -> DataFrame:
+    """``columns`` of every row, with a unique id under ``name``, for sources without one.
+
+    Rows of parquet files are known by file and place, which is also their order. Rows of any
+    other DataFrame have no place of their own: equal rows are numbered, and the id is
+    the row's hash and that number; a cap then takes the rows that ``limit`` returns first.
+    """
+    try:
+        place = F.concat_ws(":", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.row_index").cast("string"), 19, "0"))
+        placed = df.select(place.alias(name), *columns)
+    except AnalysisException:
+        rows = df.select(*columns)
+        rows = rows.limit(limit) if limit else rows
+        copies = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
+        digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null")) for c in columns)), 256)
+        return (copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+                .select(F.concat_ws("-", digest, F.lpad(F.col("_copy").cast("string"), 19, "0")).alias(name), *columns))
+    return first_rows(placed, name, limit) if limit else placed
 
 
 def layout(df: DataFrame, config_column: str = "config", split_column: str = "split",

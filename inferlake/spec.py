@@ -22,7 +22,7 @@ class JobSpec:
     config: str = "default"
     split: str = "train"
     column: str = "text"
-    id_column: str | None = None      # unique row id; content hash when absent
+    id_column: str | None = None      # unique row id; the place in the source when absent
     world: int = 1
     batch: int | None = None          # items per row of output
     limit: int | None = None          # cap on input items
@@ -30,7 +30,7 @@ class JobSpec:
     publish: str | None = None        # target of a clean copy once all shards are done
     max_tokens: int = 512
     temperature: float = 0.7
-    truncate: int = 1200
+    truncate: int | None = None       # characters kept of a text; whole texts when absent
     settings: dict = field(default_factory=dict)  # model settings, data only
 
     def __post_init__(self):
@@ -70,9 +70,11 @@ class JobSpec:
         return replace(self, num_examples=n)
 
     def identity(self) -> dict:
-        """The fields that fix what a row id stands for; a resume must not change them."""
+        """The fields that fix what a row id and its result stand for; a resume must not
+        change them."""
         names = ("task", "dataset", "config", "split", "column", "id_column",
-                 "batch", "limit", "truncate")
+                 "batch", "limit", "truncate", "model", "max_tokens", "temperature", "settings",
+                 "num_examples")
         return {n: getattr(self, n) for n in names}
 
     def to_dict(self) -> dict:

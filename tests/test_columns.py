@@ -18,8 +18,8 @@ def test_layout_choice(spark):
     def pick(*rows):
         return tuple(layout_choice(pairs(spark, *rows)).head())
 
-    assert pick(("corpus", "validation")) == ("corpus", "validation", "detected")
-    assert pick(("default", "test"), ("default", "train")) == ("default", "train", "detected")
+    assert pick(("web", "held")) == ("web", "held", "detected")
+    assert pick(("extra", "train"), ("default", "dev"), ("default", "train")) == ("default", "train", "detected")
     assert pick(("z", "test"), ("a", "train"), ("z", "train")) == ("z", "train", "detected")
     assert pick(("z", "dev"), ("a", "train"), ("z", "test")) == ("z", "dev", "detected")
     assert pick() == ("default", "train", "default")
@@ -34,8 +34,8 @@ def test_text_column_choice(spark):
     def pick(*rows):
         return tuple(text_column_choice(profile(spark, *rows)).head())
 
-    assert pick(("title", 40.0, None), ("content", 512.3, None)) == ("content", "detected")
-    assert pick(("body", 900.0, 1.0), ("text", 300.0, 1.0)) == ("text", "detected")
+    assert pick(("headline", 55.5, None), ("abstract", 731.0, None), ("venue", 12.0, None)) == ("abstract", "detected")
+    assert pick(("text", 8.0, 0.4), ("notes", 2500.0, 0.8)) == ("text", "detected")
     assert pick(("system", 900.0, 0.01), ("prompt", 30.0, 0.9)) == ("prompt", "detected")
     assert pick(("a", 10.0, 0.5), ("b", 10.0, 0.5)) == ("a", "detected")
     assert pick() == ("text", "default")

@@ -81,10 +81,9 @@ def test_batches_against_python(spark, n, batch):
     assert explode_batches(units, "texts").count() == n
 
 
-def test_large_limit_is_a_pushed_filter(spark, plan_of, tmp_path, monkeypatch):
+def test_limit_is_a_pushed_filter(spark, plan_of, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3000).select((F.col("id") * 3).alias("id")).repartition(4).write.parquet(path)
-    monkeypatch.setattr(tables, "SMALL_LIMIT", 10)
     df = tables.first_rows(spark.read.parquet(path), "id", 1234)
     assert sorted(r["id"] for r in df.collect()) == [3 * i for i in range(1234)]
     assert "LessThanOrEqual(id,3699)" in plan_of(df)

@@ -119,16 +119,35 @@ def test_short_answers_never_count_as_success(spark, docs, tmp_path):
     assert all(r.embeddings is None and r.n_texts is None for r in rows)
 
 
-def test_embedding_without_ids_takes_each_content_once(spark, tmp_path):
+def test_embedding_without_ids_keeps_every_row(spark, tmp_path):
     texts = ["same "] * 30 + [f"t{i}" for i in range(20)] + ["", None]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     done = embed(spark, df, output=str(tmp_path / "out"), batch=8)
     rows = done.results().collect()
-    assert sorted(t for r in rows for t in r.texts) == sorted(["same"] + [f"t{i}" for i in range(20)])
-    order = [i for r in sorted(rows, key=lambda r: r.member_ids) for i in r.member_ids]
-    assert order == sorted(order) and sorted(r.n_texts for r in rows) == [5, 8, 8]
-    capped = embed(spark, df, output=str(tmp_path / "few"), batch=8, limit=10)
-    assert 8 <= sum(r.n_texts for r in capped.results().collect()) <= 10
+    assert sorted(t for r in rows for t in r.texts) == sorted(["same"] * 30 + [f"t{i}" for i in range(20)])
+    assert done.status().complete() and sorted(r.n_texts for r in rows) == [2, *[8] * 6]
+
+
+def test_files_without_ids_keep_their_order(spark, tmp_path):
+    path = str(tmp_path / "source")
+    texts = [f"t{i}" for i in range(30)] + ["t3"] * 5
+    spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.parquet(path)
+    first = embed(spark, path, output=str(tmp_path / "few"), batch=4, limit=7)
+    rows = sorted(first.results().collect(), key=lambda r: r.member_ids)
+    assert [t for r in rows for t in r.texts] == texts[:7]
+    answers = generate(spark, path, model="echo", column="text", output=str(tmp_path / "gen"), limit=33)
+    assert {r.text: r.n_copies for r in answers.results().collect()} == {**dict.fromkeys(texts[:30], 1), "t3": 4}
+
+
+def test_resume_refuses_another_model_or_source(spark, tmp_path):
+    path, out = str(tmp_path / "source"), str(tmp_path / "out")
+    spark.range(8).select(F.concat(F.lit("t"), "id").alias("text")).write.parquet(path)
+    embed(spark, path, output=out, batch=4)
+    with pytest.raises(SpecError, match="settings"):
+        embed(spark, path, output=out, batch=4, settings={"model": {"dims": 2}})
+    spark.range(8, 16).select(F.concat(F.lit("t"), "id").alias("text")).write.mode("append").parquet(path)
+    with pytest.raises(SpecError, match="num_examples"):
+        embed(spark, path, output=out, batch=4)
 
 
 def test_limit_counts_input_rows(spark, docs, tmp_path):
@@ -175,7 +194,7 @@ def test_generation_asks_once_per_content(spark, tmp_path):
     assert rows["same"].response == "echo: same" and rows[None].row_id != rows[""].row_id
     assert {r["rank"] for r in done.results().where("prompt <> 'same'").collect()} == {0, 1}
     assert done.status().stats.agg(F.sum("rows_deduped")).head()[0] == 41
-    # without an id column the content itself orders the rows
+    # without an id column each content is still asked for once
     out = str(tmp_path / "gen2")
     again = generate(spark, df, model="echo", output=out, column="prompt", wave_units=5)
     assert {r.row_id for r in again.results().collect()} == {r.row_id for r in rows.values()}
