@@ -175,9 +175,12 @@ def compile(spark: SparkSession, spec: JobSpec, *, source: DataFrame | None = No
         if spec.num_examples is None:
             spec = spec.with_size(source.count())
         source = source.select(*wanted)
+    identity = spec.identity()
+    if spec.task != "ocr":
+        identity["source"] = tables.fingerprint(source)
     record = {
         "version": 1, "task": spec.task, "run_id": uuid.uuid4().hex[:8],
-        "slug": spec.task, "spec": spec.to_dict(), "identity": spec.identity(),
+        "slug": spec.task, "spec": spec.to_dict(), "identity": identity,
         "expected_rows": spec.expected_rows, "items_per_row": spec.batch,
         "expected_items": spec.expected_items, "world": spec.world,
         "num_examples": spec.num_examples, "jobs": [], "created_at": None,
@@ -215,7 +218,7 @@ def _open_run(plan: RunPlan) -> dict:
         record = {**plan.record, "created_at": dt.datetime.now(dt.timezone.utc).isoformat()}
         write_json(spark, path, record)
         return record
-    changed = [k for k, v in plan.spec.identity().items()
+    changed = [k for k, v in plan.record["identity"].items()
                if before.get("identity", {}).get(k) != v]
     if before.get("wave_units", plan.wave_units) != plan.wave_units:
         changed.append("wave_units")

@@ -62,6 +62,18 @@ def with_position(df: DataFrame, columns: list[str], name: str, limit: int | Non
     return first_rows(placed, name, limit) if limit else placed
 
 
+def fingerprint(df: DataFrame) -> str:
+    """What tells one source from another: names, sizes and times of its files (no data column
+    is read for that); without files, its rows."""
+    try:
+        seen = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+        hashed = seen.select(F.xxhash64(*seen.columns).alias("h"))
+    except AnalysisException:
+        hashed = df.select(F.xxhash64(*df.columns).alias("h"))
+    n, total = hashed.agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).head()
+    return f"{n}:{total or 0}"
+
+
 def layout(df: DataFrame, config_column: str = "config", split_column: str = "split",
            order_column: str | None = None) -> DataFrame:
     """(ordinal, config, split) pairs; the ordinal is the first place a pair is seen."""
