@@ -31,11 +31,9 @@ def page_request(model: str, content: Column, prompt: str | None = None,
     url = F.concat(F.lit(f"data:{mime};base64,"), encoded)
     no_text = F.lit(None).cast("string").alias("text")
     no_url = F.lit(None).cast("struct<url:string>").alias("image_url")
-    items = [F.struct(F.lit("image_url").alias("type"), no_text,
-                      F.struct(url.alias("url")).alias("image_url"))]
-    if prompt:
-        items.insert(0, F.struct(F.lit("text").alias("type"),
-                                 F.lit(prompt).alias("text"), no_url))
+    said = F.struct(F.lit("text").alias("type"), F.lit(prompt).alias("text"), no_url)
+    page = F.struct(F.lit("image_url").alias("type"), no_text, F.struct(url.alias("url")).alias("image_url"))
+    items = [said, page] if prompt else [page]
     message = F.struct(F.lit("user").alias("role"), F.array(*items).alias("content"))
     return F.to_json(F.struct(
         F.lit(model).alias("model"), F.array(message).alias("messages"),

@@ -16,7 +16,7 @@ def parse_embedding(texts: Column, body: Column) -> Column:
     doc = F.from_json(body, EMBEDDING_BODY)
     want, got = F.size(texts), F.coalesce(F.size(doc["data"]), F.lit(-1))
     error = (F.when(got < 0, F.lit("response has no data"))
-             .when(got != want, F.format_string("expected %d embeddings, got %d", want, got)))
+             .when(got != want, F.format_string("%d vectors for %d texts", got, want)))
     ok = error.isNull()
     return F.struct(
         F.when(ok, texts).alias("texts"),

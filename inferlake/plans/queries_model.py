@@ -57,7 +57,7 @@ def embed_parse(spark, sf_dir):
 SQL_EMBED_PARSE = """
 WITH x AS (
   SELECT vec_id, embedding, CASE WHEN vec_id % 11 = 0 THEN 'response has no data'
-    WHEN vec_id % 7 = 0 THEN 'expected 1 embeddings, got 2' END AS error FROM embeddings),
+    WHEN vec_id % 7 = 0 THEN '2 vectors for 1 texts' END AS error FROM embeddings),
 y AS (SELECT vec_id, error, unnest(embedding) AS value,
              unnest(range(len(embedding))) AS pos FROM x WHERE error IS NULL)
 SELECT vec_id, 1 AS n_texts, CASE WHEN vec_id % 2 = 0 THEN vec_id END AS prompt_tokens, error,
@@ -129,7 +129,7 @@ b AS (SELECT 'b-' || min(doc_id) AS row_id, count(*) AS n,
              bool_or(contains(text, 'zz')) AS refused, bool_or(contains(text, 'License')) AS short
       FROM n GROUP BY idx // {FAULT_BATCH}),
 e AS (SELECT row_id, n, CASE WHEN refused THEN 'RuntimeError: model refused the request'
-      WHEN short THEN 'expected ' || n || ' embeddings, got ' || (n - 1) END AS error FROM b)
+      WHEN short THEN (n - 1) || ' vectors for ' || n || ' texts' END AS error FROM b)
 SELECT row_id, CASE WHEN error IS NULL THEN CAST(n AS INTEGER) END AS n_texts, error FROM e"""
 
 

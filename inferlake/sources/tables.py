@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake.operators.rowindex import build_index
@@ -75,7 +75,7 @@ def fingerprint(df: DataFrame) -> str:
 
 
 def layout(df: DataFrame, config_column: str = "config", split_column: str = "split",
-           order_column: str | None = None) -> DataFrame:
+           order_column: str | Column | None = None) -> DataFrame:
     """(ordinal, config, split) pairs; the ordinal is the first place a pair is seen."""
     pair = [F.col(config_column).alias("config"), F.col(split_column).alias("split")]
     if order_column is None:   # partition columns alone: no data is read

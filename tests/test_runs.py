@@ -115,7 +115,7 @@ def test_short_answers_never_count_as_success(spark, docs, tmp_path):
     rows = run(spark, docs, out, factory=build("faulty", {"short_on": "omega"})) \
         .results(include_errors=True).where("error IS NOT NULL").collect()
     assert {(len(r.texts), r.error) for r in rows} == {
-        (4, "expected 4 embeddings, got 3"), (3, "expected 3 embeddings, got 2")}
+        (4, "3 vectors for 4 texts"), (3, "2 vectors for 3 texts")}
     assert all(r.embeddings is None and r.n_texts is None for r in rows)
 
 
