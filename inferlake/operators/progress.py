@@ -138,13 +138,13 @@ def newest_files(files: DataFrame) -> DataFrame:
 def tick_window(files: DataFrame, ticks: DataFrame, size: int = TICK_WINDOW) -> DataFrame:
     """The last ``size`` ticks of the newest file per shard.
 
-    The rank filter works before the shuffle, so at most ``size`` ticks per shard leave a
-    map task. A shard whose newest file is unreadable has no window.
+    Ticks of older files go before anything is ranked, and the rank filter works before the
+    shuffle, so at most ``size`` ticks per shard leave a map task. A shard whose newest file
+    is unreadable has no window.
     """
-    latest = Window.partitionBy("run", "rank").orderBy(
-        F.col("epoch").desc(), F.col("rel_path").desc(), F.col("line").desc())
-    tail = ticks.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= size)
-    return tail.join(newest_files(files), ["run", "rank", "rel_path"], "left_semi").drop("_n")
+    newest = ticks.join(newest_files(files), ["run", "rank", "rel_path"], "left_semi")
+    latest = Window.partitionBy("run", "rank").orderBy(F.col("line").desc())
+    return newest.withColumn("_n", F.row_number().over(latest)).where(F.col("_n") <= size).drop("_n")
 
 
 def document(output: str, files: DataFrame, stats: DataFrame, ticks: DataFrame,
