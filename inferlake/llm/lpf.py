@@ -43,7 +43,7 @@ from .words import mix, slices, span_hashes
 
 LENGTH = 200
 SEED = 64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_KEYS = 1 << 20
 
 _CHUNK = {"chunk": pa.int64(), "doc_ids": pa.list_(pa.int64()), "sizes": pa.binary(), "data": pa.binary(),

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from .words import tidy
+
 
 def squeeze(data: bytes | memoryview) -> bytes:
     """Bytes compressed, after their number."""
@@ -69,3 +71,4 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tupl
             held.append(row[width:])
     if held:
         yield key, held
+    tidy()

@@ -1,23 +1,31 @@
-"""Token ids of whole texts from a public tokenizer file, each distinct word encoded once.
+"""Token ids of whole texts from a public tokenizer file, each distinct piece encoded once.
 
-For tokenizers whose pieces never cross white space (they drop it), a text's ids are those
-of its words one after the other. Words are told apart by 64-bit hashes; ids of the words
-seen are held by the Python process, up to ``HELD`` words.
+For tokenizers that lower-case, drop white space, and cut words into runs of letters, single
+digits and runs of signs, a text's ids are those of its pieces one after the other. Words of
+plain letters, digits and signs are cut here, with numpy; any other word (apostrophes, special
+tokens, other scripts, controls) goes to the tokenizer whole. Pieces are told apart by
+64-bit hashes; the ids of the pieces seen are held by the Python process, up to ``HELD``.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from .words import Texts, words
+from .words import Texts, process_cache, span_hashes, words, _IN_WORD, _LOWER
 
-HELD = 400_000
-#: Letters whose lower case and normal form are themselves single Latin-1 letters, then signs.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$&*#]*)")
-_encoders: dict[str, WordEncoder] = {}
+HELD = 300_000
+SPACE, LETTER, DIGIT, SIGN, WHOLE = range(5)
+
+_KIND = np.full(256, WHOLE, dtype=np.uint8)
+_KIND[33:127] = SIGN
+_KIND[97:123] = _KIND[65:91] = LETTER
+_KIND[48:58] = DIGIT
+_KIND[[ord("'"), ord("<")]] = WHOLE
+_KIND[~_IN_WORD] = SPACE
+_LATIN = 0xC3  # first byte of the Latin letters from U+00C0 to U+00FF, but for two signs among them
 
 
 def _byte_letters() -> list[str]:
@@ -28,55 +36,78 @@ def _byte_letters() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def _cut(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (lower-cased where plain), starts, ends and kinds of the pieces, and their number per text."""
+    raw = texts.data
+    data, kind = _LOWER[raw], _KIND[raw]
+    lead = np.flatnonzero((raw[:-1] == _LATIN) & (raw[1:] != 0x97) & (raw[1:] != 0xB7))
+    kind[lead] = kind[lead + 1] = LETTER
+    upper = lead[data[lead + 1] < 0x9F] + 1
+    data[upper] += 0x20
+    # A word with any other byte stays whole, as it was written.
+    found = words(texts, lower=False)
+    odd = np.concatenate([[0], np.cumsum(kind == WHOLE)])
+    whole = np.flatnonzero(odd[found.ends] > odd[found.starts])
+    if len(whole):
+        edge = np.zeros(len(raw) + 1, dtype=np.int8)
+        edge[found.starts[whole]] += 1
+        edge[found.ends[whole]] -= 1
+        inside = np.cumsum(edge[:-1], dtype=np.int8) > 0
+        kind[inside] = WHOLE
+        data[inside] = raw[inside]
+    begin = np.ones(len(raw), dtype=bool)
+    begin[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    begin[texts.offsets[:-1][texts.offsets[:-1] < len(raw)]] = True
+    edges = np.append(np.flatnonzero(begin), len(raw))
+    starts, ends = edges[:-1], edges[1:]
+    real = kind[starts] != SPACE
+    starts, ends = starts[real], ends[real]
+    return data, starts, ends, kind[starts], np.diff(np.searchsorted(starts, texts.offsets))
+
+
 class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters = _byte_letters()
-        self.words: dict[int, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            spelled = "".join([self.letters[b] for b in piece.encode()])
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], np.uint32).tobytes()
-            self.pieces[piece] = ids
-        return ids
-
-    def word(self, word: str) -> bytes:
-        """Ids of one word as 32-bit numbers."""
-        plain = _PLAIN.fullmatch(word)
-        if plain:
-            return self._piece(plain[1].lower()) + (self._piece(plain[2]) if plain[2] else b"")
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        self.letters = {b: c for b, c in enumerate(_byte_letters())}
+        self.known: dict[int, bytes] = {}
+
+    def _piece(self, piece: bytes, kind: int) -> bytes:
+        """Ids of one piece as 32-bit numbers."""
+        if kind == WHOLE:
+            return array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
+        spelled = piece.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
 
     def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and how many each text has; ``end`` closes every text."""
-        found = words(texts, lower=False)
-        hashes, at, back = np.unique(found.hashes, return_index=True, return_inverse=True)
-        known = list(map(self.words.get, hashes.tolist()))
-        if len(self.words) + len(self.pieces) > 2 * HELD:
-            self.words.clear()
-            self.pieces.clear()
-        new = [k for k, ids in enumerate(known) if ids is None]
+        data, starts, ends, kinds, counts = _cut(texts)
+        hashes = span_hashes(data, starts, ends) ^ (kinds == WHOLE).astype(np.uint64)
+        hashes, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.known) > HELD:
+            self.known.clear()
+        ids = list(map(self.known.get, hashes.tolist()))
+        new = [k for k, x in enumerate(ids) if x is None]
         if new:
-            body, keys = found.data.tobytes(), hashes[new].tolist()
-            for k, key, s, e in zip(new, keys, found.starts[at[new]].tolist(), found.ends[at[new]].tolist()):
-                known[k] = self.words[key] = self.word(body[s:e].decode())
-        # The end id is one more "word" of every text.
-        rows = len(texts)
-        sizes = np.array([len(x) // 4 for x in known] + [0 if end is None else 1], dtype=np.int64)
-        table = np.frombuffer(b"".join(known) + (b"" if end is None else np.uint32(end).tobytes()), np.uint32)
-        begins = np.cumsum(sizes) - sizes
-        order = np.insert(back, np.cumsum(found.counts), len(known))
-        owner = np.repeat(np.arange(rows), found.counts + 1)
+            body, first = data.tobytes(), at[new]
+            for k, h, s, e, kind in zip(new, hashes[new].tolist(), starts[first].tolist(), ends[first].tolist(),
+                                        kinds[first].tolist()):
+                ids[k] = self.known[h] = self._piece(body[s:e], kind)
+        # The end id is one more piece of every text.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table = np.frombuffer(b"".join(ids) + (b"" if end is None else np.uint32(end).tobytes()), np.uint32)
+        sizes = np.append(sizes, 0 if end is None else 1)
+        begins = (np.cumsum(sizes) - sizes)
+        order = np.insert(back, np.cumsum(counts), len(ids))
         take = sizes[order]
-        ends = np.cumsum(take)
-        flat = table[np.repeat(begins[order] - (ends - take), take) + np.arange(ends[-1] if len(ends) else 0)]
-        return flat, np.bincount(owner, take, minlength=rows).astype(np.int64)
+        upto = np.cumsum(take)
+        flat = np.repeat(begins[order] - (upto - take), take)
+        flat += np.arange(len(flat))
+        last = np.cumsum(counts + 1) - 1
+        return table[flat], np.diff(upto[last], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    cache = process_cache()
+    if cache.get("tokenizer") != path:
+        cache["tokenizer"], cache["encoder"] = path, WordEncoder(path)
+    return cache["encoder"]

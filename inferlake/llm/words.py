@@ -8,6 +8,7 @@ and carriage return; a null text has no words.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
@@ -64,6 +65,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return cache["up"], cache["down"]
 
 
+def tidy() -> None:
+    """Give memory that numpy and Arrow have freed back to the system: idle workers share an
+    executor's memory with the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 @dataclass
 class Texts:
     """Bytes of some texts, end to end; text ``i`` is ``data[offsets[i]:offsets[i+1]]``."""
@@ -94,6 +105,7 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Itera
             end = min(max(end, row + 1), rows)
             yield Texts(data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row], row)
             row = end
+    tidy()
 
 
 @dataclass
