@@ -9,10 +9,11 @@ is widened by the distance that sampling noise alone is expected to give.
 Base rules: too few words, or too many words in repeated windows of five.
 
 Defined results: a null or empty text has counts of 0 and fails for want of words; a null
-language is a language of its own; a language with less than ``1 / MAX_LANGUAGES`` of
-all words is compared with the reference of all documents, so the references sent to the
-tasks have at most ``MAX_LANGUAGES`` entries whatever the data; equal counts rank words by
-their hash; equal rows get equal results; an empty table gives an empty result. Extra columns
+language is a language of its own; every language has its own reference. Those with at least
+``1 / MAX_LANGUAGES`` of all words or of all documents are sent to the tasks, which are at
+most ``2 * MAX_LANGUAGES`` whatever the data; those of the others are joined to their documents by language. A language
+that a reference given by the caller lacks gets null distances and the base rules only;
+equal counts rank words by their hash; equal rows get equal results; an empty table gives an empty result. Extra columns
 are kept; the operator's own are named ``QR_*``.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -183,7 +184,10 @@ def _rows(name: str, hashes, kinds, counts) -> pa.RecordBatch:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(language, word hash or null, class or null, count) of the rows seen."""
+    """(language, word hash or null, class or null, count) of the rows seen.
+
+    The class after the last one counts documents.
+    """
     counter, classes = _Counter(), {}
     for batch in batches:
         langs = batch.column(1).to_pylist()
@@ -195,7 +199,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_class = class_counts(texts)
             word_lang = of_text[found.text]
             for name, k in number.items():
-                classes[name] = classes.get(name, 0) + by_class[of_text == k].sum(0)
+                mine = of_text == k
+                classes[name] = classes.get(name, 0) + np.append(by_class[mine].sum(0), mine.sum())
                 counter.add(name, *np.unique(found.hashes[word_lang == k], return_counts=True))
             if counter.size > 2 * HELD_WORDS:
                 counter.merge()
@@ -205,10 +210,10 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Reference:
-    """Distributions of the languages; of all documents under ``None``."""
+    """Distributions of the languages; number 0 stands for a language without any."""
 
     def __init__(self, common: dict, classes: dict):
-        names = [None, *sorted(k for k in common if k is not None)]
+        names = [None, *sorted(common)]
         self.number = {name: k for k, name in enumerate(names)}
         self.common = np.zeros((len(names), COMMON_WORDS + 1))
         self.classes = np.zeros((len(names), len(CLASSES)))
@@ -246,32 +251,61 @@ class Reference:
         return np.bincount(text * width + cell, minlength=len(number) * width).reshape(-1, width)
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> Reference:
-    """Counts over all documents; what reaches the driver is bounded by ``MAX_LANGUAGES``."""
+def _name(lang: Column) -> Column:
+    """``_language`` of a column."""
+    return F.when(lang.isNull(), "t").otherwise(F.concat(F.lit("s"), lang))
+
+
+def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[Reference, DataFrame | None]:
+    """References of the large languages, and a table of those of the others, if there are any.
+
+    Counts over all documents; what reaches the driver is bounded by ``2 * MAX_LANGUAGES`` languages.
+    """
     gathered = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(
         _gather, "lang string, word long, class int, n long")
     counts = gathered.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     counts = staged(counts, "quality-counts")
-    totals = counts.filter("word is not null").groupBy("lang").agg(F.sum("n").alias("total"))
-    # A share of the total bounds how many languages can have it.
-    all_words = totals.agg(F.sum("total")).first()[0] or 0
-    kept = {r["lang"]: r["total"] for r in
-            totals.filter(F.col("total") * MAX_LANGUAGES >= all_words).collect()} if all_words else {}
-    word_counts = counts.filter("word is not null")
+    totals = counts.groupBy("lang").agg(
+        F.coalesce(F.sum(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("total"),
+        F.sum(F.when(F.col("class") == len(CLASSES), F.col("n"))).alias("docs"))
+    # A share of a total bounds how many languages can have it.
+    everywhere = totals.agg(F.sum("total"), F.sum("docs")).first()
+    share = [F.col(c) * MAX_LANGUAGES >= max(n or 0, 1) for c, n in zip(("total", "docs"), everywhere)]
+    kept = {r["lang"]: r["total"] for r in totals.filter(share[0] | share[1]).collect()}
+    large = F.col("lang").isin(list(kept)) if kept else F.lit(False)
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = (word_counts.join(F.broadcast(counts.sparkSession.createDataFrame(
-        [(k,) for k in kept], "lang string")), "lang").withColumn("place", F.row_number().over(order))
-        .filter(F.col("place") <= COMMON_WORDS))
+    top = (counts.filter("word is not null").withColumn("place", F.row_number().over(order))
+           .filter(F.col("place") <= COMMON_WORDS))
     common: dict = {name: ([], total) for name, total in kept.items()}
-    for r in top.orderBy("lang", "place").collect():
+    classes: dict = {name: np.zeros(len(CLASSES)) for name in kept}
+    for r in top.filter(large).orderBy("lang", "place").collect():
         common[r["lang"]][0].append((r["word"], r["n"]))
-    everywhere = word_counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
-    common[None] = ([(r["word"], r["n"]) for r in everywhere.collect()], all_words)
-    classes: dict = {}
-    own = F.when(F.col("lang").isin(list(kept)), F.col("lang")) if kept else F.lit(None).cast("string")
-    for r in (counts.filter("word is null").groupBy(own.alias("lang"), "class").agg(F.sum("n").alias("n")).collect()):
-        for name in {r["lang"], None}:
-            classes.setdefault(name, np.zeros(len(CLASSES)))[r["class"]] += r["n"]
+    of_class = counts.filter(F.col("class") < len(CLASSES))
+    for r in of_class.filter(large).collect():
+        classes[r["lang"]][r["class"]] += r["n"]
+    reference = Reference(common, classes)
+    small = of_class.filter(~large)
+    if small.isEmpty():  # every language has counts by class, be they 0
+        return reference, None
+    ranked = top.filter(~large).groupBy("lang").agg(
+        F.sort_array(F.collect_list(F.struct("place", "word", "n"))).alias("QR_ranked"))
+    table = (small.groupBy("lang").agg(F.collect_list(F.struct("class", "n")).alias("QR_classes"))
+             .join(totals.select("lang", F.col("total").alias("QR_total")), "lang").join(ranked, "lang", "left"))
+    return reference, staged(table.withColumnRenamed("lang", "QR_name"), "quality-small-languages")
+
+
+def joined_reference(langs: list, rows: pa.RecordBatch) -> Reference:
+    """Reference of the languages of some documents, from the columns joined to them."""
+    first: dict[str, int] = {}
+    for k, x in enumerate(langs):
+        first.setdefault(_language(x), k)
+    common, classes = {}, {}
+    for name, k in first.items():
+        by_class, total, ranked = (rows.column(c)[k].as_py() for c in ("QR_classes", "QR_total", "QR_ranked"))
+        common[name] = [(x["word"], x["n"]) for x in ranked or ()], total
+        classes[name] = np.zeros(len(CLASSES))
+        for x in by_class:
+            classes[name][x["class"]] = x["n"]
     return Reference(common, classes)
 
 
@@ -292,6 +326,7 @@ def measure(texts: Texts, langs: list, reference: Reference) -> list[np.ndarray]
     lowered = span_hashes(_LOWER[texts.data], found.starts, found.ends)
     common = reference.common_counts(found, lowered, number)
     common_distance = js_distance(common, reference.common[number])
+    class_distance[number == 0] = common_distance[number == 0] = np.nan  # null, and no verdict
     far = (chars >= CLASS_MIN_CHARS) & (
         class_distance > CLASS_LIMIT + noise(reference.classes[number], chars))
     far |= (n_words >= COMMON_MIN_WORDS) & (
@@ -303,19 +338,29 @@ def measure(texts: Texts, langs: list, reference: Reference) -> list[np.ndarray]
 def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[str] | None = None,
             reference: Reference | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with the ``QR_*`` columns."""
-    reference = reference or references(docs, text, lang)
+    given, small = (reference, None) if reference else references(docs, text, lang)
     keep = docs.columns if keep is None else keep
     fields = [docs.schema[name] for name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(1).to_pylist()
-            parts = [measure(t, langs[t.first_row:t.first_row + len(t)], reference)
-                     for t in slices(batch.column(0))]
+            joined = "QR_classes" in batch.schema.names
+            parts = []
+            for t in slices(batch.column(0)):
+                own = langs[t.first_row:t.first_row + len(t)]
+                parts.append(measure(t, own, joined_reference(own, batch.slice(t.first_row, len(t))) if joined else given))
             if parts:
-                added = [pa.array(np.concatenate(x)) for x in zip(*parts)]
+                added = [pa.array(np.concatenate(x), from_pandas=True) for x in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[2:], *added], names=[*keep, *(f.name for f in ADDED)])
+                    [*batch.columns[2:2 + len(keep)], *added], names=[*keep, *(f.name for f in ADDED)])
 
     source = docs.select(F.col(text).alias("QR_text"), F.col(lang).cast("string").alias("QR_lang"), *keep)
-    return source.mapInArrow(run, T.StructType([*fields, *ADDED]))
+    schema = T.StructType([*fields, *ADDED])
+    if small is None:
+        return source.mapInArrow(run, schema)
+    name = _name(F.col("QR_lang"))
+    large = name.isin([x for x in given.number if x is not None])
+    of_small = source.filter(~large).withColumn("QR_name", name).join(small, "QR_name").select(
+        *(source[c] for c in source.columns), "QR_classes", "QR_total", "QR_ranked")
+    return source.filter(large).mapInArrow(run, schema).union(of_small.mapInArrow(run, schema))

@@ -1,5 +1,7 @@
 """Every operator on the table of edge cases, and on an empty one."""
 
+import random
+
 import pytest
 import public_tokenizers
 from edge_tables import edge, empty, rows
@@ -69,3 +71,21 @@ def test_pipeline_stages_keep_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_quality_judges_rare_languages_by_themselves(spark, monkeypatch):
+    def texts(lang, letters, documents, words):
+        pick = random.Random(lang)
+        return [(f"{lang}{k}", " ".join(pick.choice(letters) * 3 + str(pick.randrange(20)) for _ in range(words)), lang)
+                for k in range(documents)]
+    large = texts("en", "abcdefgh", 40, 4000)
+    small = [*texts("xx", "éèêë", 6, 60), *texts(None, "ßüöä", 6, 60)]
+    schema = "doc_id string, text string, lang string"
+    alone = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(small, schema)).collect()}
+    monkeypatch.setattr(quality, "MAX_LANGUAGES", 3)  # the two have far less than a third of the words, and of the documents
+    together = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(large + small, schema)).collect()}
+    assert len(together) == len(large) + len(small) and all(r["QR_kept"] for r in together.values())
+    for key, r in alone.items():
+        assert r.asDict() == pytest.approx(together[key].asDict())
+    _, table = quality.references(spark.createDataFrame(large + small, schema))
+    assert {r["QR_name"] for r in table.collect()} == {"sxx", "t"}
