@@ -1,9 +1,12 @@
 """Toxicity by a support vector machine on a gapped subsequence string kernel.
 
 Two words are as similar as the letter subsequences of length three that they share, each
-weighted by ``DECAY`` to the power of the letters it spans in both words, normalised to 1
-for equal words and raised to ``POWER``. Inserted letters lower that similarity but leave it
-high. A text is its words' best similarity to each of some landmark words; the landmarks are
+weighted by ``DECAY`` to the power of the letters it spans in both words. A word is compared
+with a landmark by its best matching part: the share of the landmark's own kernel whose
+subsequences the word has, 1 for equal words, so letters inserted around or between them do
+not count against it. Where it spans more than the landmark does with one letter in every gap,
+the value falls in proportion to the kernel. No value is cut off; all are raised to ``POWER``.
+A text is its words' best similarity to each of some landmark words; the landmarks are
 those whose presence in the training texts speaks most for label 1, and the Nyström map (the
 landmarks' kernel matrix to the power -1/2) turns similarities into features. A linear machine
 with squared hinge loss is fitted on them, and a logistic curve turns its margins into
@@ -24,6 +27,7 @@ each scored; an empty table gives an empty result. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +41,11 @@ from .words import Texts, Words, process_cache, slices, words, _IN_WORD, _LOWER
 LABELLED_ROWS = 20_000
 LANDMARKS = 96
 DECAY, POWER = 0.6, 4
-#: Similarities (before the power) below this count as none.
-LEAST = 0.55
-WINDOW, GAP = 24, 6
-#: Distinct words whose similarities a Python process holds.
-HELD_WORDS = 1_500_000
+WINDOW = 24
+#: Distinct words, and rows of similarities, that a Python process holds.
+HELD_WORDS, HELD_ROWS = 400_000, 150_000
+#: Subsequences that are looked up at once.
+LOOKED_UP = 500_000
 
 _CODE = np.zeros(256, dtype=np.uint8)
 _CODE[97:123] = np.arange(1, 27)
@@ -109,84 +113,90 @@ def subsequence_kernel(a: np.ndarray, b: np.ndarray, length: int = 3) -> np.ndar
     return total
 
 
+def subsequences(coded: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Letter subsequences of length three of rows of ``size`` letters as numbers, and the letters each spans."""
+    i, j, k = np.array(list(combinations(range(size), 3)), dtype=np.int64).reshape(-1, 3).T
+    wide = coded.astype(np.int32)
+    return (wide[:, i] << 12) | (wide[:, j] << 6) | wide[:, k], k - i + 1
+
+
 class Similarity:
-    """Similarities of words to landmarks; a bound on pairs of letters screens most words out."""
+    """Similarities of words to landmarks, over all subsequences of both."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = np.stack([code_word(w) for w in landmarks]) if landmarks else np.zeros((0, WINDOW), np.uint8)
-        self.own = subsequence_kernel(self.landmarks, self.landmarks)
         m = len(landmarks)
-        self.pairs = np.zeros((64 * 64, m), dtype=np.float32)
-        for k, row in enumerate(self.landmarks):
-            size = int((row > 0).sum())
-            for i in range(size):
-                for j in range(i + 1, min(size, i + GAP + 1)):
-                    self.pairs[int(row[i]) * 64 + int(row[j]), k] += DECAY ** (j - i + 1)
-        self.pair_norm = np.sqrt((self.pairs.astype(np.float64) ** 2).sum(0))
-        self.plain = np.empty(0, dtype=np.uint64)  # hashes of words like no landmark
-        self.rows: dict[int, np.ndarray] = {}
-
-    def _screen(self, coded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (word, landmark) that share enough letter pairs."""
-        size = int((coded > 0).sum(1).max(initial=0))
-        dot = np.zeros((len(coded), self.pairs.shape[1]), dtype=np.float32)
-        norm = np.zeros(len(coded), dtype=np.float32)
-        for i in range(size):
-            for j in range(i + 1, min(size, i + GAP + 1)):
-                some = coded[:, j] > 0
-                weight = np.float32(DECAY ** (j - i + 1))
-                dot[some] += weight * self.pairs[coded[some, i].astype(np.int64) * 64 + coded[some, j]]
-                norm += some * weight * weight
-        return np.nonzero(dot >= LEAST * 0.8 * np.sqrt(norm)[:, None] * self.pair_norm[None, :].astype(np.float32) + 1e-9)
-
-    def words(self, coded: np.ndarray, owner: np.ndarray, count: int) -> dict[int, np.ndarray]:
-        """Word number -> similarities, for words with any of ``LEAST`` or more."""
-        out: dict[int, np.ndarray] = {}
-        for start in range(0, len(coded), 4096):
-            part = coded[start:start + 4096]
-            word, mark = self._screen(part)
-            if not len(word):
-                continue
-            own = subsequence_kernel(part[np.unique(word)], part[np.unique(word)])
-            norm = dict(zip(np.unique(word).tolist(), own.tolist()))
-            value = subsequence_kernel(part[word], self.landmarks[mark])
-            value /= np.sqrt(np.array([norm[w] for w in word.tolist()]) * self.own[mark] + 1e-300)
-            for w, k, v in zip(word.tolist(), mark.tolist(), value.tolist()):
-                if v >= LEAST:
-                    row = out.setdefault(int(owner[start + w]), np.zeros(len(self.landmarks)))
-                    row[k] = max(row[k], v ** POWER)
+        each = []
+        for row in (code_word(w) for w in landmarks):
+            numbers, spans = subsequences(row[None, :], int((row > 0).sum()))
+            each.append((numbers[0], spans))
+        self.used = np.unique(np.concatenate([np.zeros(0, np.int32), *(n for n, _ in each)]))
+        self.place = np.full(1 << 18, -1, dtype=np.int32)
+        self.place[self.used] = np.arange(len(self.used))
+        self.weights = np.zeros((len(self.used), m), dtype=np.float32)
+        for mark, (numbers, spans) in enumerate(each):
+            np.add.at(self.weights[:, mark], self.place[numbers], DECAY ** spans)
+        self.own = (self.weights ** 2).sum(0)
+        #: Kernel of each landmark with itself with one foreign letter in every gap.
+        self.apart = np.array([(DECAY ** (2 * spans - 1) * self.weights[self.place[numbers], mark]).sum()
+                               for mark, (numbers, spans) in enumerate(each)], dtype=np.float32)
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[int, int] = {}  # word hash -> row of the table; row 0 is like no landmark
+        self.table = np.zeros((1, len(self.own)), dtype=np.float32)
+
+    def words(self, coded: np.ndarray) -> np.ndarray:
+        """Similarities of each row of letter codes."""
+        out = np.zeros((len(coded), len(self.own)), dtype=np.float32)
+        sizes = (coded > 0).sum(1)
+        for size in np.unique(sizes[sizes >= 3]).tolist():
+            rows = np.flatnonzero(sizes == size)
+            step = max(1, LOOKED_UP // (size * (size - 1) * (size - 2) // 6))
+            for start in range(0, len(rows), step):
+                part = rows[start:start + step]
+                numbers, spans = subsequences(coded[part], size)
+                place = self.place[numbers]
+                row, at = np.nonzero(place >= 0)
+                if not len(row):
+                    continue
+                pair, back = np.unique(row * len(self.used) + place[row, at], return_inverse=True)
+                value = np.bincount(back, (DECAY ** spans)[at]).astype(np.float32)[:, None]
+                row, place = np.divmod(pair, len(self.used))
+                begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                weights = self.weights[place]
+                # What the word has more often than the landmark is no part of the match.
+                kernel = np.add.reduceat(np.minimum(value, weights) * weights, begin, axis=0)
+                share = np.add.reduceat(weights ** 2, begin, axis=0) / self.own
+                out[part[row[begin]]] = np.minimum(1, share * np.minimum(1, kernel / self.apart)) ** POWER
         return out
 
     def texts(self, texts: Texts) -> np.ndarray:
         """Best similarity of each text's words to each landmark."""
-        out = np.zeros((len(texts), len(self.landmarks)))
-        if not len(self.landmarks):
-            return out
+        out = np.zeros((len(texts), len(self.own)))
         found = words(bare(texts))
+        if not len(self.own) or not len(found.hashes):
+            return out
         used, at, back = np.unique(found.hashes, return_index=True, return_inverse=True)
-        place = np.minimum(np.searchsorted(self.plain, used), max(len(self.plain) - 1, 0))
-        known = self.plain[place] == used if len(self.plain) else np.zeros(len(used), dtype=bool)
-        held = np.fromiter((h in self.rows for h in used.tolist()), bool, len(used)) if self.rows else np.zeros(len(used), bool)
-        new = np.flatnonzero(~known & ~held)
+        if len(self.number) > HELD_WORDS or len(self.table) > HELD_ROWS:
+            self.forget()
+        row = np.array([self.number.get(h, -1) for h in used.tolist()], dtype=np.int64)
+        new = np.flatnonzero(row < 0)
         if len(new):
             coded, owner = codes(found, at[new])
-            rows = self.words(coded, owner, len(new))
-            self.rows.update({int(used[new[k]]): row for k, row in rows.items()})
-            plain = np.delete(used[new], list(rows))
-            if len(self.plain) + len(plain) > HELD_WORDS:
-                self.plain = np.empty(0, dtype=np.uint64)
-            self.plain = np.sort(np.concatenate([self.plain, plain]))
-            held[new[list(rows)]] = True
-        hits = np.flatnonzero(held)
-        if len(hits):
-            table = np.stack([self.rows[int(h)] for h in used[hits]])
-            number = np.full(len(used), -1)
-            number[hits] = np.arange(len(hits))
-            of_word = number[back]
-            where = np.flatnonzero(of_word >= 0)
-            np.maximum.at(out, found.text[where], table[of_word[where]])
-        if len(self.rows) > HELD_WORDS // 50:
-            self.rows.clear()
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.maximum.reduceat(self.words(coded), begin, axis=0)
+            some = best.any(1)
+            row[new] = np.where(some, len(self.table) + np.cumsum(some) - 1, 0)
+            self.table = np.concatenate([self.table, best[some]])
+            self.number.update(zip(used[new].tolist(), row[new].tolist()))
+        of_word = row[back]
+        like = np.flatnonzero(of_word)
+        if len(like):
+            of_word, of_text = of_word[like], found.text[like]
+            begin = np.flatnonzero(np.append(True, of_text[1:] != of_text[:-1]))
+            for mark in range(0, len(self.own), 16):
+                best = np.maximum.reduceat(self.table[of_word, mark:mark + 16], begin, axis=0)
+                out[of_text[begin], mark:mark + 16] = best
         return out
 
 
@@ -203,8 +213,7 @@ class Machine:
         coded = np.stack([code_word(w) for w in landmarks])
         gram = np.stack([subsequence_kernel(coded, np.repeat(coded[k:k + 1], m, 0)) for k in range(m)])
         own = np.sqrt(np.diag(gram))
-        gram = (gram / own / own[:, None])
-        gram = np.where(gram >= LEAST, gram, 0) ** POWER
+        gram = (gram / own / own[:, None]) ** POWER
         value, vector = np.linalg.eigh(gram)
         self.map = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
         x = np.hstack([features @ self.map, np.ones((len(labels), 1))])

@@ -91,6 +91,28 @@ def test_toxicity_held_out(spark):
     assert right > 0.94 and sum(found) / len(found) > 0.75
 
 
+def test_inserted_letters_leave_insults_toxic(spark):
+    insults = ["trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron"]
+    pick = random.Random(4)
+    plain = ["".join(pick.choice("abdefghklnuv") for _ in range(pick.randrange(2, 9))) for _ in range(300)]
+
+    def text(*more):
+        return " ".join([*pick.choices(plain, k=40), *more])
+    train = [(k, text(*([insults[k % 10]] * (k % 2 or k % 4 == 0))), int(k % 2 or k % 4 == 0)) for k in range(400)]
+    docs = spark.createDataFrame(train, "doc_id long, text string, toxic int")
+    machine = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"), F.lit(True))
+    assert set(insults) <= set(machine.landmarks)
+    made = []
+    for word in insults:
+        for letter in "xqe":
+            made += [letter.join(word), *(word[:k] + letter + word[k:] for k in range(1, len(word)))]
+            made += [word[:i] + letter + word[i:j] + letter + word[j:] for i in range(1, len(word)) for j in range(i + 1, len(word))]
+    rows = [(k, text(word)) for k, word in enumerate(made)] + [(-1 - k, text()) for k in range(100)]
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), machine).collect()}
+    assert [made[k] for k in range(len(made)) if scores[k] < 0.5] == []
+    assert max(scores[-1 - k] for k in range(100)) < 0.5
+
+
 PII = {
     "card": "4111 1111 1111 1111", "phone": "+1 (988) 555-2485", "ip": "42.144.35.254", "ssn": "123-45-6789",
     "email": "Bos.t42@mail.example.com", "date": "2021-02-28",
