@@ -25,7 +25,7 @@ LEAST_ROWS = 512       # small tables are cut finer, so that every core has a sh
 BLOCK = 256            # queries that travel together
 VISITS = 256           # blocks that pass by one copy of a shard
 MAX_TASKS = 50_000
-_CHUNK_BITS = 24       # shard number: range partition above, piece below
+CHUNK_BITS = 24       # shard number: range partition above, piece below
 
 PAGE = "shard long, seq long, ids array<long>, ints array<int>, floats array<double>"
 NO_SCORE = -(2.0 ** 62)
@@ -85,7 +85,7 @@ def chunks(df: DataFrame, order: list[str], parts: int, build: Callable, schema:
         for batch in batches:
             while batch.num_rows:
                 if number < 0:
-                    number = batch.column(0)[0].as_py() << _CHUNK_BITS
+                    number = batch.column(0)[0].as_py() << CHUNK_BITS
                 head = batch.slice(0, size - rows)
                 held.append(head.select(range(1, head.num_columns)))
                 rows, batch = rows + head.num_rows, batch.slice(head.num_rows)
