@@ -58,12 +58,12 @@ def generation_work(df: DataFrame, spec: JobSpec, wave_units: int) -> DataFrame:
                        _wave("idx", wave_units), "n_copies", spec.column)
 
 
-def page_work(spark: SparkSession, spec: JobSpec, wave_units: int) -> DataFrame:
-    """Page paths; no file is opened here."""
-    pages = list_pages(spark, spec.dataset)
+def page_work(spark: SparkSession, spec: JobSpec, groups: int) -> DataFrame:
+    """Page paths, in waves by the hash of the path, as the files of a wave are found by it; no file is opened."""
+    pages = list_pages(spark, spec.dataset, "_metadata.file_path")
     if spec.limit:
         pages = first_rows(pages, "row_id", spec.limit)
     numbered = build_index(pages, "row_id").attach(pages)
+    wave = F.pmod(F.xxhash64("file_path"), F.lit(groups)).cast("bigint")
     return numbered.select("row_id", shard_rank(F.col("idx"), spec.world).alias("rank"),
-                           _wave("idx", wave_units),
-                           F.lit(1).cast("bigint").alias("n_copies"), "path")
+                           wave.alias("wave"), F.lit(1).cast("bigint").alias("n_copies"), "path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -14,11 +15,10 @@ from pyspark.sql import functions as F
 from inferlake import models
 from inferlake.operators import inference, progress as prog
 from inferlake.operators.resume import pending
-from inferlake.plans import prepare
+from inferlake.plans import generations, prepare
 from inferlake.plans.resolve import resolve_table
-from inferlake.session import temporary_stages
-from inferlake.sources import outputs, pages, sinks, tables
-from inferlake.sources.storage import exists, read_json, write_json
+from inferlake.sources import claims, outputs, pages, sinks, tables
+from inferlake.sources.storage import create_new, exists, read_json
 from inferlake.spec import JobSpec, SpecError
 
 WAVE_UNITS = {"embeddings": 1_000_000, "generation": 5_000_000, "ocr": 20_000}
@@ -141,23 +141,26 @@ class RunPlan:
             return prepare.embedding_work(self.source, self.spec, self.wave_units)
         if self.spec.task == "generation":
             return prepare.generation_work(self.source, self.spec, self.wave_units)
-        return prepare.page_work(self.spark, self.spec, self.wave_units)
+        return prepare.page_work(self.spark, self.spec, self.page_groups())
 
-    def apply(self, units: DataFrame) -> DataFrame:
-        """Results of some units; failures are rows with ``error``."""
+    def apply(self, units: DataFrame, wave: int | None = None) -> DataFrame:
+        """Results of some units; failures are rows with ``error``. ``wave`` is theirs, where all are of one."""
         spec, s = self.spec, self.spec.settings
         if spec.task == "embeddings":
             return inference.embed_units(units, spec.model, self.factory)
         if spec.task == "generation":
             return inference.generate_rows(units, spec.column, spec.model, self.factory,
                                            spec.max_tokens, spec.temperature)
-        # one wave of paths, so the driver and the broadcast hold at most wave_units of them
-        paths = [r["path"] for r in units.select("path").collect()]
-        content = pages.read_pages(self.spark, paths)
+        # A wave is a group of paths by their hash: only its files are opened, and no path leaves the executors.
+        content = pages.read_group(self.spark, spec.dataset, self.page_groups(), wave)
         return inference.read_pages(
-            content.join(F.broadcast(units), "path"), "content", spec.model, self.factory,
+            units.join(content, "path"), "content", spec.model, self.factory,
             s.get("prompt"), spec.max_tokens, spec.temperature, s.get("top_p", 0.9)).drop("path")
 
+    def page_groups(self) -> int:
+        """Waves of a page run, fixed by the number of pages when it began."""
+        return generations.page_groups(self.spark, self.spec, self.wave_units)
+
 
 def compile(spark: SparkSession, spec: JobSpec, *, source: DataFrame | None = None,
             model: Callable | None = None, wave_units: int | None = None,
@@ -172,11 +175,11 @@ def compile(spark: SparkSession, spec: JobSpec, *, source: DataFrame | None = No
         absent = [c for c in wanted if c not in source.columns]
         if absent:
             raise SpecError(f"no column {', '.join(absent)} in {spec.dataset}")
-        if spec.num_examples is None:
-            spec = spec.with_size(source.count())
         source = source.select(*wanted)
     identity = spec.identity()
-    if spec.task != "ocr":
+    if spec.task != "ocr" and spec.num_examples is None:
+        spec = spec.with_size(source.count())
+    if spec.task != "ocr" and tables.files_of(source) is None:     # files are compared one by one
         identity["source"] = tables.fingerprint(source)
     record = {
         "version": 1, "task": spec.task, "run_id": uuid.uuid4().hex[:8],
@@ -193,31 +196,28 @@ def compile(spark: SparkSession, spec: JobSpec, *, source: DataFrame | None = No
 
 def _staged_work(plan: RunPlan) -> DataFrame:
     """Work units of the run, written once under the output: a resume reads them back and
-    never cleans, numbers or batches the source again."""
-    spark, path = plan.spark, f"{plan.spec.output}/_work/units"
-    if not exists(spark, f"{path}/_SUCCESS"):
-        with temporary_stages(spark):
-            work, waves = plan.work(), (plan.spec.num_examples or 0) // plan.wave_units + 1
-            if plan.spec.task == "generation" and waves > 1:
-                # joined by row id, so each task holds every wave: bring waves together first
-                tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-                spread = F.pmod(F.xxhash64("row_id"), F.lit(tasks // waves + 1))
-                work = work.repartition(max(tasks, waves), "wave", spread)
-            # small row groups, so that a later read of one wave splits over all cores
-            (work.write.mode("overwrite").option("parquet.block.size", UNIT_GROUP_BYTES)
-             .partitionBy("wave").parquet(path))
-    units = spark.read.parquet(path)
-    return units.withColumn("wave", F.col("wave").cast("bigint"))
+    never cleans, numbers or batches the source again. What files were added to the source since then
+    becomes a further generation of units.
+
+    Launches of different shards may start together: one of them stages, the others wait for it.
+    """
+    spark, output = plan.spark, plan.spec.output
+    ledger = generations.current_files(plan)
+    change = generations.compare(spark, output, ledger)
+    if change.grown:
+        with claims.only_one(spark, output, "plan", lambda: not generations.compare(spark, output, ledger).grown) as mine:
+            if mine:
+                generations.stage_units(plan, change, ledger)
+    return generations.read_units(spark, output)
 
 
 def _open_run(plan: RunPlan) -> dict:
     """Write the run record, or take up the one that is there if it means the same work."""
     spark, path = plan.spark, f"{plan.spec.output}/run.json"
-    before = read_json(spark, path)
-    if before is None:
-        record = {**plan.record, "created_at": dt.datetime.now(dt.timezone.utc).isoformat()}
-        write_json(spark, path, record)
+    record = {**plan.record, "created_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+    if read_json(spark, path) is None and create_new(spark, path, json.dumps(record)):
         return record
+    before = read_json(spark, path)
     changed = [k for k, v in plan.record["identity"].items()
                if before.get("identity", {}).get(k) != v]
     if before.get("wave_units", plan.wave_units) != plan.wave_units:
@@ -230,80 +230,107 @@ def _open_run(plan: RunPlan) -> dict:
     return before
 
 
-def launch(plan: RunPlan) -> Run:
-    """Run what is not done yet, one commit per wave. Calling it again resumes."""
+def _runs_of(ranks: list[int]) -> list[list[int]]:
+    """Ranks in groups of neighbours, each small enough for one commit."""
+    groups: list[list[int]] = []
+    for rank in ranks:
+        if not groups or groups[-1][-1] + 1 != rank or len(groups[-1]) == sinks.OBSERVED_RANKS:
+            groups.append([])
+        groups[-1].append(rank)
+    return groups
+
+
+def launch(plan: RunPlan, ranks: list[int] | None = None, take_over: bool = False) -> Run:
+    """Run what is not done yet, one commit per wave. Calling it again resumes.
+
+    With ``ranks`` only these shards run; other launches may run the other shards at the same time. A shard that
+    a live launch works on is refused with ``ClaimedError``; ``take_over`` says that the other launch is dead.
+    """
     spark, spec = plan.spark, plan.spec
+    mine = sorted(set(range(spec.world) if ranks is None else ranks))
+    if not mine or mine[0] < 0 or mine[-1] >= spec.world:
+        raise SpecError(f"ranks must be among 0 to {spec.world - 1}")
     plan.record["wave_units"] = plan.wave_units
     record = _open_run(plan)
-    work = _staged_work(plan)
-    if exists(spark, f"{spec.output}/part-*"):
-        sinks.adopt_orphans(spark, spec.output, outputs.list_outputs(spark, spec.output))
-    done = sinks.done_ids(spark, spec.output)
-    attempt, started = time.time_ns() // 1_000_000, time.monotonic()
-
-    ticks: dict[int, list[dict]] = {}
-    for wave, untouched in _open_waves(work, done):
-        units = work.where(F.col("wave") == wave)
-        if not untouched:
-            units = pending(units, done.where(F.col("wave") == wave))
-        results = plan.apply(units).withColumn("attempt", F.lit(attempt))
-        part = sinks.part_name(attempt, wave)
-        sinks.commit(results, spec.output, part, plan.rows_per_file)
-        _tick(spark, spec.output, part, attempt, time.monotonic() - started, ticks)
-
-    stats = _rank_stats(spark, spec, work, attempt, time.monotonic() - started)
-    sinks.write_completions(spark, spec.output, stats)
-    run = Run(spark, spec, record)
-    if spec.publish:
+    with claims.held(spark, spec.output, [f"rank-{r}" for r in mine], take_over=take_over):
+        work = _staged_work(plan)
+        if exists(spark, f"{spec.output}/part-*"):
+            whole = None if len(mine) == spec.world else mine
+            sinks.adopt_orphans(spark, spec.output, outputs.list_outputs(spark, spec.output), whole)
+        _run_shards(plan, work, mine)
+    run = Run(spark, spec, read_json(spark, f"{spec.output}/run.json") or record)
+    if spec.publish and run.status().complete():
         run.publish(spec.publish)
     return run
 
 
-def _open_waves(work: DataFrame, done: DataFrame) -> list[tuple[int, bool]]:
-    """(wave, nothing of it is done) for waves with work left; one row per wave is collected.
-
-    Ids alone are compared, and a wave nobody has touched then needs no join at all.
-    """
-    ids = work.select("row_id", "wave")
-    left = pending(ids, done).groupBy("wave").agg(F.count(F.lit(1)).alias("left"))
-    size = ids.groupBy("wave").agg(F.count(F.lit(1)).alias("size"))
-    rows = left.join(size, "wave").orderBy("wave").collect()
-    return [(r["wave"], r["left"] == r["size"]) for r in rows]
-
-
-def _tick(spark: SparkSession, output: str, part: str, attempt: int, elapsed: float,
+def _run_shards(plan: RunPlan, work: DataFrame, ranks: list[int]) -> None:
+    """Commit the open waves of some shards; a shard's stats and marker follow its last commit."""
+    spark, spec = plan.spark, plan.spec
+    attempt, started = time.time_ns() // 1_000_000, time.monotonic()
+    planned, before = _counts(spark, spec.output, ranks)
+    written: dict[int, dict] = {r: dict.fromkeys(sinks.COUNTS, 0) for r in ranks}
+    ticks: dict[int, list[dict]] = {}
+    todo = []
+    for wave in sorted({w for w, _ in planned}):
+        for group in _runs_of(ranks):
+            left = [r for r in group if (wave, r) in planned
+                    and before.get((wave, r), {}).get("ok", 0) < planned[wave, r]["units"]]
+            todo += [(wave, some) for some in _runs_of(left)]
+
+    def finish(done: list[int]) -> None:
+        if done:
+            stats = [_shard_stats(spec, r, planned, before, written[r], time.monotonic() - started) for r in done]
+            sinks.write_completions(spark, spec.output, stats)
+
+    last = {r: at for at, (_, group) in enumerate(todo) for r in group}
+    finish([r for r in ranks if r not in last])
+    for at, (wave, group) in enumerate(todo):
+        units = work.where((F.col("wave") == wave) & F.col("rank").isin(group))
+        if any(before.get((wave, r), {}).get("units") for r in group):    # some of it is done
+            units = pending(units, sinks.done_ids(spark, spec.output).where(F.col("wave") == wave))
+        results = plan.apply(units, wave).withColumn("attempt", F.lit(attempt))
+        part = sinks.part_name(attempt, wave, (group[0], group[-1]))
+        cells = sinks.commit(results, spec.output, part, plan.rows_per_file, wave, group, attempt)
+        elapsed = time.monotonic() - started
+        for cell in cells:
+            for c in sinks.COUNTS:
+                written[cell["rank"]][c] += cell[c]
+        _tick(spark, spec.output, cells, attempt, elapsed, ticks)
+        finish([r for r in group if last[r] == at])
+
+
+def _counts(spark: SparkSession, output: str, ranks: list[int]) -> tuple[dict, dict]:
+    """Units that are planned, and counts that are committed, per (wave, shard): one row each is collected, and no
+    id is read."""
+    planned = {(r["wave"], r["rank"]): r.asDict() for r in
+               generations.read_counts(spark, output).where(F.col("rank").isin(ranks)).collect()}
+    sums = [F.sum(c).alias(c) for c in ("units", "ok")]
+    done = sinks.log_counts(spark, output).where(F.col("rank").isin(ranks)).groupBy("wave", "rank").agg(*sums)
+    return planned, {(r["wave"], r["rank"]): r.asDict() for r in done.collect()}
+
+
+def _tick(spark: SparkSession, output: str, cells: list[dict], attempt: int, elapsed: float,
           ticks: dict[int, list[dict]]) -> None:
     """One telemetry line per shard of the commit, so that progress shows while a run is on."""
-    tokens = F.coalesce("prompt_tokens", F.lit(0)) + F.coalesce("completion_tokens", F.lit(0))
-    counts = sinks.read_sidecar(spark, output, part).groupBy("rank").agg(
-        F.count_if("ok").alias("ok"), F.sum(tokens).alias("tokens")).collect()   # <= world rows
-    for row in counts:
-        log = ticks.setdefault(row["rank"], [])
+    for cell in cells:
+        log = ticks.setdefault(cell["rank"], [])
         since = elapsed - (log[-1]["t"] if log else 0.0)
-        log.append({"t": round(elapsed, 3), "ok": row["ok"],
-                    "tok_s": round(row["tokens"] / max(since, 1e-3), 1)})
-        sinks.write_ticks(spark, output, row["rank"], attempt, log)
-
-
-def _rank_stats(spark: SparkSession, spec: JobSpec, work: DataFrame, attempt: int,
-                elapsed: float) -> list[dict]:
-    """Counts per rank from the work ids and the manifest; at most ``world`` rows."""
-    planned = work.groupBy("rank").agg(
-        F.count(F.lit(1)).alias("rows_total"),
-        F.sum(F.col("n_copies") - 1).alias("rows_deduped"))
-    now = F.col("attempt") == attempt
-    written = sinks.read_manifest(spark, spec.output).groupBy("rank").agg(
-        F.count_if(F.col("ok") & ~now).alias("rows_done_prior"),
-        F.count_if(now).alias("rows_processed"),
-        F.count_if(now & ~F.col("ok")).alias("rows_failed"),
-        F.sum(F.when(now, F.col("prompt_tokens"))).alias("prompt_tokens"),
-        F.sum(F.when(now, F.col("completion_tokens"))).alias("completion_tokens"))
-    joined = planned.join(written, "rank", "left").na.fill(0)
-    rated = prog.with_token_rate(joined.withColumn("elapsed_s", F.lit(elapsed)))
-    found = {r["rank"]: {**r.asDict(), "world": spec.world} for r in rated.collect()}
-    empty = {c: 0 for c in rated.columns}
-    return [found.get(rank, {**empty, "rank": rank, "world": spec.world})
-            for rank in range(spec.world)]
+        tokens = cell["prompt_tokens"] + cell["completion_tokens"]
+        log.append({"t": round(elapsed, 3), "ok": cell["ok"], "tok_s": round(tokens / max(since, 1e-3), 1)})
+        sinks.write_ticks(spark, output, cell["rank"], attempt, log)
+
+
+def _shard_stats(spec: JobSpec, rank: int, planned: dict, before: dict, written: dict, elapsed: float) -> dict:
+    """What a shard's stats file says, from counts that are at hand."""
+    own = [c for (_, r), c in planned.items() if r == rank]
+    tokens = written["prompt_tokens"] + written["completion_tokens"]
+    return {"rank": rank, "world": spec.world, "rows_total": sum(c["units"] for c in own),
+            "rows_deduped": sum(c["dropped"] for c in own),
+            "rows_done_prior": sum(c["ok"] for (_, r), c in before.items() if r == rank),
+            "rows_processed": written["units"], "rows_failed": written["units"] - written["ok"],
+            "prompt_tokens": written["prompt_tokens"], "completion_tokens": written["completion_tokens"],
+            "elapsed_s": elapsed, "tokens_per_sec": tokens / elapsed if elapsed else None}
 
 
 def publish(spark: SparkSession, output: str, target: str,

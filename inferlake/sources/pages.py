@@ -1,10 +1,10 @@
-"""Page files under a glob. Listing never opens a file; bytes are read for pending pages only."""
+"""Page files under a glob. Listing never opens a file; bytes are read for the files of one group at a time."""
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake.functions.ids import path_below
@@ -50,7 +50,16 @@ def list_pages(spark: SparkSession, glob: str, *columns: str) -> DataFrame:
             .where(F.col("row_id").rlike(glob_regex(pattern))))
 
 
-def read_pages(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content) of the given files; names are taken literally."""
-    literal = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
-    return spark.read.format("binaryFile").load(literal).select("path", "content")
+def page_group(groups: int) -> Column:
+    """The group of a page file, by the hash of its path; as a filter it keeps other files from being opened."""
+    return F.pmod(F.xxhash64(F.col("_metadata.file_path")), F.lit(groups))
+
+
+def read_group(spark: SparkSession, glob: str, groups: int, group: int | None) -> DataFrame:
+    """(path, content) of the files in one group of paths; of all groups with None."""
+    folder, pattern = split_glob(glob)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    if group is not None:
+        files = files.where(page_group(groups) == F.pmod(F.lit(group), F.lit(groups)))
+    below = path_below(F.col("path"), absolute(spark, folder))
+    return files.where(below.rlike(glob_regex(pattern))).select("path", "content")

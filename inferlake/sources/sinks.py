@@ -1,28 +1,45 @@
-"""Parts, id sidecars, markers, and the two views on one output.
+"""Parts, id sidecars, the commit log, markers, and the two views on one output.
 
-One commit is one part: a folder ``part-<attempt>-<seq>.parquet`` written whole by
-Spark, then its sidecar ``_manifest/ids-<same name>``. A part without a sidecar is a
-crash between the two. Both names are known beforehand, so a commit lists nothing and
-repeating it replaces it.
+One commit is one part: a folder ``part-<attempt>-<seq>[-r<first>_<last>].parquet`` written whole by Spark,
+then its sidecar ``_manifest/ids-<same name>``, then its entry in the log, ``_log/<same name>.json``. A part
+without a sidecar is a crash between the two. All names are known beforehand, so a commit lists
+nothing and repeating it replaces it.
+
+The log entry holds counts per wave and shard that Spark observes while it writes the part: progress, shard
+stats, and what a resume needs to know come from it, and the part is not read for them. The sidecar holds
+the ids with their places in the part's files; only the narrow columns are read for it.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from inferlake.operators.healing import healed_files
+from inferlake.operators.healing import healed_files, healed_parts
 from inferlake.operators.progress import orphan_parts
-from inferlake.sources.storage import exists, write_json, write_text
+from inferlake.sources.storage import exists, file_names, write_json, write_text
 
 MANIFEST_SCHEMA = ("row_id string, rank int, wave bigint, attempt bigint, ok boolean, "
-                   "prompt_tokens bigint, completion_tokens bigint")
+                   "file string, pos bigint")
+COUNTS = ("units", "ok", "prompt_tokens", "completion_tokens")
+LOG_SCHEMA = ("part string, attempt bigint, cells array<struct<wave: bigint, rank: int, units: bigint, "
+              "ok: bigint, prompt_tokens: bigint, completion_tokens: bigint>>")
+OBSERVED_RANKS = 64   # shards of one commit: bounds the expressions that Spark observes
+_RANKS = re.compile(r"-r(\d+)_(\d+)\.parquet$")
+
+
+def part_name(attempt: int, seq: int, ranks: tuple[int, int] | None = None) -> str:
+    """``ranks``: the first and the last shard of the part, where it holds some of them only."""
+    shards = f"-r{ranks[0]}_{ranks[1]}" if ranks else ""
+    return f"part-{attempt}-{seq:05d}{shards}.parquet"
 
 
-def part_name(attempt: int, seq: int) -> str:
-    return f"part-{attempt}-{seq:05d}.parquet"
+def part_ranks(name: str) -> tuple[int, int] | None:
+    found = _RANKS.search(name)
+    return (int(found[1]), int(found[2])) if found else None
 
 
 def write_part(results: DataFrame, root: str, name: str,
@@ -34,23 +51,96 @@ def write_part(results: DataFrame, root: str, name: str,
     writer.parquet(f"{root}/{name}")
 
 
+def _column(df: DataFrame, c: str, kind: str):
+    return (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
+
+
 def write_manifest(spark: SparkSession, root: str, name: str) -> None:
-    """Ids of a committed part. Reads the id and token columns only."""
+    """Ids of a committed part and where they stand. Reads narrow columns only."""
     part = spark.read.parquet(f"{root}/{name}")
+    kinds = [c.split() for c in MANIFEST_SCHEMA.split(", ")[:4]]
+    (part.select(*(_column(part, c, kind).alias(c) for c, kind in kinds), F.col("error").isNull().alias("ok"),
+                 F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
+     .write.mode("overwrite").parquet(f"{root}/_manifest/ids-{name}"))
 
-    def column(c: str, kind: str):
-        return (F.col(c) if c in part.columns else F.lit(None)).cast(kind).alias(c)
 
-    (part.select(column("row_id", "string"), column("rank", "int"), column("wave", "bigint"),
-                 column("attempt", "bigint"), F.col("error").isNull().alias("ok"),
-                 column("prompt_tokens", "bigint"), column("completion_tokens", "bigint"))
-     .write.mode("overwrite").parquet(f"{root}/_manifest/ids-{name}"))
+def _observed(results: DataFrame, ranks: list[int]) -> tuple[DataFrame, list[Observation]]:
+    """``results`` with counts per shard taken while it is written.
+
+    The model's output goes straight into the files, so the counts belong to the last stage, whose
+    tasks count once however often they are tried.
+    """
+    watched = []
+    for at in range(0, len(ranks), OBSERVED_RANKS):
+        seen, metrics = Observation(), []
+        for rank in ranks[at:at + OBSERVED_RANKS]:
+            here, good = F.col("rank") == rank, F.col("error").isNull()
+            metrics += [F.count_if(here).alias(f"units_{rank}"), F.count_if(here & good).alias(f"ok_{rank}")]
+            metrics += [F.sum(F.when(here, _column(results, c, "bigint"))).alias(f"{c}_{rank}") for c in COUNTS[2:]]
+        results = results.observe(seen, *metrics)
+        watched.append(seen)
+    return results, watched
+
+
+def commit(results: DataFrame, root: str, name: str, rows_per_file: int | None = None,
+           wave: int | None = None, ranks: list[int] | None = None, attempt: int | None = None) -> list[dict]:
+    """Write a part, its sidecar and its log entry; the counts per (wave, rank).
+
+    With ``wave``, ``ranks`` and ``attempt`` the counts are observed during the write; without them they are taken
+    from the part's narrow columns.
+    """
+    spark = results.sparkSession
+    if ranks is None:
+        write_part(results, root, name, rows_per_file)
+        write_manifest(spark, root, name)
+        return log_part(spark, root, name)
+    watched_results, watched = _observed(results, ranks)
+    write_part(watched_results, root, name, rows_per_file)
+    found = {k: v for seen in watched for k, v in seen.get.items()}
+    write_manifest(spark, root, name)
+    cells = [{"wave": wave, "rank": rank, **{c: found.get(f"{c}_{rank}") or 0 for c in COUNTS}} for rank in ranks]
+    return _write_log(spark, root, name, attempt, [c for c in cells if c["units"]])
+
+
+def _write_log(spark: SparkSession, root: str, name: str, attempt: int | None, cells: list[dict]) -> list[dict]:
+    write_json(spark, f"{root}/_log/{name}.json", {"part": name, "attempt": attempt, "cells": cells})
+    return cells
 
 
-def commit(results: DataFrame, root: str, name: str,
-           rows_per_file: int | None = None) -> None:
-    write_part(results, root, name, rows_per_file)
-    write_manifest(results.sparkSession, root, name)
+def log_part(spark: SparkSession, root: str, name: str) -> list[dict]:
+    """The log entry of a part that has none, from its narrow columns; a row per wave and shard."""
+    part = spark.read.parquet(f"{root}/{name}")
+    rows = part.groupBy(_column(part, "wave", "bigint").alias("wave"), _column(part, "rank", "int").alias("rank")).agg(
+        F.count(F.lit(1)).alias("units"), F.count_if(F.col("error").isNull()).alias("ok"),
+        *(F.coalesce(F.sum(_column(part, c, "bigint")), F.lit(0)).alias(c) for c in COUNTS[2:]),
+        F.max(_column(part, "attempt", "bigint")).alias("attempt")).collect()
+    cells = [{k: v for k, v in r.asDict().items() if k != "attempt"} for r in rows]
+    return _write_log(spark, root, name, max((r["attempt"] or 0 for r in rows), default=0), cells)
+
+
+def committed_parts(spark: SparkSession, root: str) -> list[str]:
+    """Names of the parts whose sidecar is there."""
+    parts = file_names(spark, root)
+    sidecars = file_names(spark, f"{root}/_manifest")
+    return sorted(n for n in parts if f"ids-{n}" in sidecars)
+
+
+def read_log(spark: SparkSession, root: str) -> DataFrame:
+    """(part, attempt, cells) of each commit; parts of older outputs get their entry first."""
+    logged = file_names(spark, f"{root}/_log")
+    names = committed_parts(spark, root)
+    for name in names:
+        if f"{name}.json" not in logged:
+            log_part(spark, root, name)
+    if not names:
+        return spark.createDataFrame([], LOG_SCHEMA)
+    kept = spark.createDataFrame([(n,) for n in names], "part string")      # one row for each commit
+    return spark.read.schema(LOG_SCHEMA).json(f"{root}/_log").join(kept, "part", "left_semi")
+
+
+def log_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(part, attempt, wave, rank, and the counts)."""
+    return read_log(spark, root).select("part", "attempt", F.inline("cells"))
 
 
 def read_parts(spark: SparkSession, root: str) -> DataFrame:
@@ -77,7 +167,16 @@ def done_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_healed(spark: SparkSession, root: str, include_errors: bool = False) -> DataFrame:
-    return healed_files(read_parts(spark, root), include_errors)
+    """One record per id, the good one before errors, then the latest."""
+    names = committed_parts(spark, root)
+    orphans = [n for n in file_names(spark, root) if n.startswith("part-") and n not in set(names)]
+    if orphans or not names:     # a crash between part and sidecar: the parts alone tell
+        return healed_files(read_parts(spark, root), include_errors)
+    waves = {}
+    for r in log_counts(spark, root).select("part", "wave").distinct().collect():    # a row per commit and wave
+        waves.setdefault(r["wave"], set()).add(r["part"])
+    shared = {p for wave, parts in waves.items() if wave is None or len(parts) > 1 for p in parts}
+    return healed_parts(spark, root, names, shared, include_errors)
 
 
 def create_views(spark: SparkSession, root: str, prefix: str) -> tuple[str, str]:
@@ -87,12 +186,21 @@ def create_views(spark: SparkSession, root: str, prefix: str) -> tuple[str, str]
     return f"{prefix}_data", f"{prefix}_manifest"
 
 
-def adopt_orphans(spark: SparkSession, root: str, files: DataFrame) -> list[str]:
-    """Give complete parts that lack a sidecar theirs, so their rows are not computed again."""
+def adopt_orphans(spark: SparkSession, root: str, files: DataFrame, ranks: list[int] | None = None) -> list[str]:
+    """Give complete parts that lack a sidecar theirs, so their rows are not computed again.
+
+    With ``ranks``, only parts of these shards: another shard's part may be one that is being committed.
+    """
     names = [r["part"] for r in orphan_parts(files).select("part").collect()]
-    kept = [n for n in names if exists(spark, f"{root}/{n}/_SUCCESS")]
+
+    def is_mine(name: str) -> bool:
+        of = part_ranks(name)
+        return ranks is None or (of is not None and set(range(of[0], of[1] + 1)) <= set(ranks))
+
+    kept = [n for n in names if is_mine(n) and exists(spark, f"{root}/{n}/_SUCCESS")]
     for name in kept:
         write_manifest(spark, root, name)
+        log_part(spark, root, name)
     return kept
 
 

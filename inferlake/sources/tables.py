@@ -62,14 +62,18 @@ def with_position(df: DataFrame, columns: list[str], name: str, limit: int | Non
     return first_rows(placed, name, limit) if limit else placed
 
 
-def fingerprint(df: DataFrame) -> str:
-    """What tells one source from another: names, sizes and times of its files (no data column
-    is read for that); without files, its rows."""
+def files_of(df: DataFrame) -> DataFrame | None:
+    """(path, size, modified) of the files a table is read from, without reading a data column; None if it has none."""
     try:
-        seen = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-        hashed = seen.select(F.xxhash64(*seen.columns).alias("h"))
+        return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"),
+                         F.col("_metadata.file_modification_time").alias("modified")).distinct()
     except AnalysisException:
-        hashed = df.select(F.xxhash64(*df.columns).alias("h"))
+        return None
+
+
+def fingerprint(df: DataFrame) -> str:
+    """What tells one source without files from another: its rows."""
+    hashed = df.select(F.xxhash64(*df.columns).alias("h"))
     n, total = hashed.agg(F.count(F.lit(1)), F.sum(F.col("h").cast("decimal(38,0)"))).head()
     return f"{n}:{total or 0}"
 

@@ -73,8 +73,7 @@ class JobSpec:
         """The fields that fix what a row id and its result stand for; a resume must not
         change them."""
         names = ("task", "dataset", "config", "split", "column", "id_column",
-                 "batch", "limit", "truncate", "model", "max_tokens", "temperature", "settings",
-                 "num_examples")
+                 "batch", "limit", "truncate", "model", "max_tokens", "temperature", "settings")
         return {n: getattr(self, n) for n in names}
 
     def to_dict(self) -> dict:

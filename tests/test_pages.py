@@ -6,7 +6,7 @@ import pytest
 from inferlake import SpecError, ocr
 from inferlake.functions.sizing import resize_plan
 from inferlake.plans import runs
-from inferlake.sources.pages import glob_regex, list_pages, split_glob
+from inferlake.sources.pages import glob_regex, list_pages, read_group, split_glob
 
 NAMES = ["a.png", "b.jpg", "x/c.png", "x/y/d[1].png", "x/y/e f.png", "x/z.txt"]
 
@@ -41,20 +41,48 @@ def test_listing_opens_no_file(spark, scans, plan_of):
         list_pages(spark, f"{scans}/*.pdf")
 
 
+def leaf_metric(df, name):
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves().iterator()
+    found = []
+    while leaves.hasNext():
+        metric = leaves.next().metrics().get(name)
+        if metric.isDefined():
+            found.append(metric.get().value())
+    return sum(found)
+
+
+def test_a_group_opens_its_own_files_only(spark, tmp_path):
+    for i in range(40):
+        (tmp_path / f"{i}.txt").write_text(f"<p>{i}</p>")
+    seen, opened = [], 0
+    for group in range(4):
+        pages = read_group(spark, f"{tmp_path}/*.txt", 4, group)
+        names = [r.path for r in pages.collect()]
+        seen += names
+        assert leaf_metric(pages, "numFiles") == len(names) < 40     # the others are pruned in the listing
+        opened += len(names)
+    assert opened == 40 == len(set(seen))
+
+
 def test_pages_run_resumes_per_page(spark, scans, tmp_path, monkeypatch):
     out = str(tmp_path / "out")
     read = []
-    real = runs.pages.read_pages
-    monkeypatch.setattr(runs.pages, "read_pages",
-                        lambda s, paths: read.append(sorted(paths)) or real(s, paths))
-    done = ocr(spark, f"{scans}/**/*.png", model="tag-stripper", output=out, world=2)
+    real = runs.pages.read_group
+    monkeypatch.setattr(runs.pages, "read_group", lambda *a: read.append(a[3]) or real(*a))
+    options = dict(model="tag-stripper", output=out, world=2, wave_units=2)
+    done = ocr(spark, f"{scans}/**/*.png", **options)
     got = {r.row_id: r for r in done.results().collect()}
     assert {k: v.markdown for k, v in got.items()} == {
         n: f"page {i}" for i, n in enumerate(NAMES) if n.endswith(".png")}
     assert all(r.model == "tag-stripper" for r in got.values())
     assert done.status().progress.head().expected_rows is None
-    ocr(spark, f"{scans}/**/*.png", model="tag-stripper", output=out, world=2)
-    assert len(read) == 1 and len(read[0]) == 4            # nothing is opened twice
+    opened = len(read)
+    ocr(spark, f"{scans}/**/*.png", **options)
+    assert len(read) == opened <= 2                        # nothing is opened twice
+    (os.makedirs(f"{scans}/new"), open(f"{scans}/new/n.png", "w").write("<p>new</p>"))
+    grown = ocr(spark, f"{scans}/**/*.png", **options)
+    assert {r.row_id: r.markdown for r in grown.results().collect()} == {
+        **{k: v.markdown for k, v in got.items()}, "new/n.png": "new"}
     with pytest.raises(SpecError):
         ocr(spark, "org/dataset", model="tag-stripper", output=out)
 

@@ -145,8 +145,8 @@ def test_resume_refuses_another_model_or_source(spark, tmp_path):
     embed(spark, path, output=out, batch=4)
     with pytest.raises(SpecError, match="settings"):
         embed(spark, path, output=out, batch=4, settings={"model": {"dims": 2}})
-    spark.range(8, 16).select(F.concat(F.lit("t"), "id").alias("text")).write.mode("append").parquet(path)
-    with pytest.raises(SpecError, match="num_examples, source"):
+    spark.range(8, 16).select(F.concat(F.lit("t"), "id").alias("text")).write.mode("overwrite").parquet(path)
+    with pytest.raises(SpecError, match="source: .* is gone"):
         embed(spark, path, output=out, batch=4)
     rows = [spark.createDataFrame([(f"{k}{i}",) for i in range(5)], "text string") for k in "ab"]
     embed(spark, rows[0], output=str(tmp_path / "rows"))
