@@ -18,7 +18,7 @@ from inferlake.operators.resume import pending
 from inferlake.plans import generations, prepare
 from inferlake.plans.resolve import resolve_table
 from inferlake.sources import claims, outputs, pages, sinks, tables
-from inferlake.sources.storage import create_new, exists, read_json
+from inferlake.sources.storage import create_new, read_json
 from inferlake.spec import JobSpec, SpecError
 
 WAVE_UNITS = {"embeddings": 1_000_000, "generation": 5_000_000, "ocr": 20_000}
@@ -254,9 +254,7 @@ def launch(plan: RunPlan, ranks: list[int] | None = None, take_over: bool = Fals
     record = _open_run(plan)
     with claims.held(spark, spec.output, [f"rank-{r}" for r in mine], take_over=take_over):
         work = _staged_work(plan)
-        if exists(spark, f"{spec.output}/part-*"):
-            whole = None if len(mine) == spec.world else mine
-            sinks.adopt_orphans(spark, spec.output, outputs.list_outputs(spark, spec.output), whole)
+        sinks.adopt_orphans(spark, spec.output, None if len(mine) == spec.world else mine)
         _run_shards(plan, work, mine)
     run = Run(spark, spec, read_json(spark, f"{spec.output}/run.json") or record)
     if spec.publish and run.status().complete():

@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake.operators.healing import healed_files, healed_parts
-from inferlake.operators.progress import orphan_parts
 from inferlake.sources.storage import exists, file_names, write_json, write_text
 
 MANIFEST_SCHEMA = ("row_id string, rank int, wave bigint, attempt bigint, ok boolean, "
@@ -186,12 +185,13 @@ def create_views(spark: SparkSession, root: str, prefix: str) -> tuple[str, str]
     return f"{prefix}_data", f"{prefix}_manifest"
 
 
-def adopt_orphans(spark: SparkSession, root: str, files: DataFrame, ranks: list[int] | None = None) -> list[str]:
+def adopt_orphans(spark: SparkSession, root: str, ranks: list[int] | None = None) -> list[str]:
     """Give complete parts that lack a sidecar theirs, so their rows are not computed again.
 
     With ``ranks``, only parts of these shards: another shard's part may be one that is being committed.
     """
-    names = [r["part"] for r in orphan_parts(files).select("part").collect()]
+    sidecars = file_names(spark, f"{root}/_manifest")
+    names = sorted(n for n in file_names(spark, root) if n.startswith("part-") and f"ids-{n}" not in sidecars)
 
     def is_mine(name: str) -> bool:
         of = part_ranks(name)
