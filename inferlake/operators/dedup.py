@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from inferlake.functions.ids import content_id
 
-HOT_COPIES = 100_000   # copies of one content that justify spreading it
-MAX_HOT = 1_024        # at most this many contents are ever called hot
-SPREAD = 64            # ways a hot content is spread
+HOT_COPIES = 100_000   # copies of one content that meet under one key
+MAX_HOT = 100_000      # at most this many contents are ever called hot
 
 
 def distinct_contents(df: DataFrame, column: str, id_column: str) -> DataFrame:
@@ -37,13 +36,14 @@ def attach_to_all_rows(df: DataFrame, column: str, id_column: str, results: Data
     """Every row of ``df`` with the result of its content (``results`` keyed by row_id).
 
     ``copies`` is (row_id, n_copies). Contents above a threshold are salted: their
-    result row is repeated and their source rows spread over the repeats by their own
-    id. Of ``total`` rows at most MAX_HOT contents can pass the threshold, so the hot
+    result row is repeated once for each ``threshold`` copies, and their source rows spread over
+    the repeats by their own id, so about as many meet under a salted key whatever share of the table a content has.
+    Of ``total`` rows at most MAX_HOT contents can pass the threshold, so the hot
     list may be broadcast.
     """
     threshold = max(hot_copies, total // MAX_HOT)
     hot = (copies.where(F.col("n_copies") > threshold)
-           .select("row_id", F.lit(SPREAD).alias("spread")))
+           .select("row_id", F.ceil(F.col("n_copies") / threshold).cast("int").alias("spread")))
     keyed = (df.withColumn("row_id", content_id(F.col(column)))
              .join(F.broadcast(hot), "row_id", "left")
              .withColumn("salt", F.when(F.col("spread").isNotNull(),

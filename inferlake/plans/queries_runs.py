@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inferlake.plans import runs
-from inferlake.plans.queries_rows import BATCH, SQL_ATTEMPTS, SQL_CLEANED, committed_run, documents
+from inferlake.plans.queries_rows import (
+    BATCH, SQL_ATTEMPTS, SQL_CLEANED, SQL_ROW_ID, committed_run, documents, table,
+)
 from inferlake.session import shared_path
 from inferlake.sources import sinks
+from inferlake.spec import JobSpec
+from inferlake.streaming import inference as stream_inference
+from inferlake.streaming.watch import until_done
 
 SHARDS = 3
 SHARD = 1
@@ -57,6 +62,51 @@ def healed_with_errors(spark, sf_dir):
         "row_id", "attempt", "error", "text")
 
 
+def stream_publish(spark, sf_dir):
+    """A stream without ids as a full run: its record, stats and marker let it be published like any other."""
+    output = shared_path(spark, "stream-run")
+    spec = JobSpec(task="embeddings", dataset="documents", model="hash-embedder", output=output, batch=BATCH)
+    documents_stream = spark.readStream.schema(documents(spark, sf_dir).schema).parquet(f"{sf_dir}/documents.parque[t]")
+    run = stream_inference.start(documents_stream, spec, shared_path(spark, "stream-checkpoint"))
+    run.awaitTermination()
+    clean = spark.read.parquet(run.publish(shared_path(spark, "stream-published")))
+    progress = run.status().progress.select("rows_ok", "rows_failed", "exact")
+    texts = clean.select(F.explode("texts").alias("text")).groupBy(F.sha2("text", 256).alias("content")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    return texts.join(progress)      # one row of totals
+
+
+def stream_until_done(spark, sf_dir):
+    """Progress that is followed while a run works; the final rows, after which the stream has stopped by itself."""
+    plan = _embed(spark, sf_dir, "watched", world=SHARDS, launch=False)
+    runs.launch(plan, ranks=[SHARD])
+    watch = until_done(spark, [plan.spec.output], shared_path(spark, "watch-checkpoint"))
+    runs.launch(plan)
+    if not watch.wait(600):
+        raise RuntimeError("the run is done, but its progress did not end")
+    facts = list(watch.final.values())
+    return spark.createDataFrame([(f["rows_ok"], f["rows_failed"], f["shards_done"], f["world"], f["final"], watch.query.isActive)
+                                  for f in facts], "rows_ok bigint, rows_failed bigint, shards_done int, world int, final boolean, active boolean")
+
+
+def stream_dedup_window(spark, sf_dir):
+    """A generation stream whose state is bounded by a time column; a content that comes again is answered once in the results."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select(
+        F.col("props").alias("text"), F.col("ts").cast("timestamp").alias("at"))
+    spec = JobSpec(task="generation", dataset="events", model="echo", output=shared_path(spark, "stream-window"))
+    run = stream_inference.start(events, spec, shared_path(spark, "stream-checkpoint"), time_column="at", delay="2 hours")
+    run.awaitTermination()
+    return run.results().select("row_id", "response")
+
+
+def generate_run_all_rows(spark, sf_dir):
+    """The answers of a launched run on every source row, from the run's handle."""
+    done = runs.generate(spark, _source(spark, sf_dir), model="echo", output=shared_path(spark, "generation-rows"),
+                         column="text", id_column="doc_id", world=SHARDS)
+    return done.all_rows().select("doc_id", "row_id", "response", "prompt_tokens", "completion_tokens", "error")
+
+
 SQL_NUMBERED = f"""{SQL_CLEANED}, numbered AS (
   SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM cleaned),
 units AS (
@@ -85,4 +135,15 @@ QUERIES = {
     "resume_grown_source": (resume_grown_source, SQL_GROWN),
     "healed_with_errors": (healed_with_errors, f"""WITH {SQL_ATTEMPTS} SELECT row_id,
         CAST(attempt AS BIGINT) AS attempt, error, text FROM picked WHERE pick = 1"""),
+    "stream_publish": (stream_publish, f"""WITH {SQL_CLEANED}, texts AS (
+          SELECT sha256(text) AS content, count(*) AS n_rows FROM cleaned GROUP BY ALL)
+        SELECT content, n_rows, (SELECT CAST(ceil(count(*) / {BATCH}.0) AS BIGINT) FROM cleaned) AS rows_ok,
+               CAST(0 AS BIGINT) AS rows_failed, true AS exact FROM texts"""),
+    "stream_until_done": (stream_until_done, f"""WITH {SQL_NUMBERED}
+        SELECT count(*) AS rows_ok, CAST(0 AS BIGINT) AS rows_failed, {SHARDS} AS shards_done, {SHARDS} AS world,
+               true AS final, false AS active FROM units"""),
+    "stream_dedup_window": (stream_dedup_window, """SELECT DISTINCT coalesce(sha256(props), 'null') AS row_id,
+        'echo: ' || props AS response FROM events"""),
+    "generate_run_all_rows": (generate_run_all_rows, f"""SELECT doc_id, {SQL_ROW_ID} AS row_id, 'echo: ' || text AS response,
+        length(text) AS prompt_tokens, length(text) + 6 AS completion_tokens, CAST(NULL AS VARCHAR) AS error FROM documents"""),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake import models
-from inferlake.operators import inference, progress as prog
+from inferlake.operators import dedup, inference, progress as prog
 from inferlake.operators.resume import pending
 from inferlake.plans import generations, prepare
 from inferlake.plans.resolve import resolve_table
@@ -119,6 +119,25 @@ class Run:
     def results(self, include_errors: bool = False) -> DataFrame:
         return sinks.read_healed(self.spark, self.output, include_errors)
 
+    def all_rows(self, source: DataFrame | None = None, id_column: str | None = None) -> DataFrame:
+        """Every row of the source with the answer to its content, copies included; for generation.
+
+        ``source`` is read again from the spec's dataset unless given.
+        """
+        if self.spec.task != "generation":
+            raise SpecError("only generation asks once for the copies of a content")
+        key, column = id_column or self.spec.id_column, self.spec.column
+        if key is None:
+            raise SpecError("name the id column of the source's rows")
+        if source is None:
+            source = tables.read_table(self.spark, self.spec.dataset)
+            source = tables.scan(source, [key, column], self.spec.config if "config" in source.columns else None,
+                                 self.spec.split if "split" in source.columns else None)
+        rows = source.select(key, column)
+        answers = self.results(include_errors=True).select("row_id", *RESULT_COLUMNS["generation"], "error")
+        copies = dedup.distinct_contents(rows, column, key).select("row_id", "n_copies")
+        return dedup.attach_to_all_rows(rows, column, key, answers, copies, self.record.get("num_examples") or rows.count())
+
     def publish(self, target: str) -> str:
         return publish(self.spark, self.output, target, self.spec)
 
@@ -181,17 +200,21 @@ def compile(spark: SparkSession, spec: JobSpec, *, source: DataFrame | None = No
         spec = spec.with_size(source.count())
     if spec.task != "ocr" and tables.files_of(source) is None:     # files are compared one by one
         identity["source"] = tables.fingerprint(source)
-    record = {
+    return RunPlan(spark, spec, new_record(spec, identity, resolved or {}), source,
+                   model or models.build(spec.model, spec.settings.get("model")),
+                   wave_units or WAVE_UNITS[spec.task], rows_per_file)
+
+
+def new_record(spec: JobSpec, identity: dict, resolved: dict, world: int | None = None) -> dict:
+    """What ``run.json`` says of a run; its keys are fixed by the storage contract."""
+    return {
         "version": 1, "task": spec.task, "run_id": uuid.uuid4().hex[:8],
         "slug": spec.task, "spec": spec.to_dict(), "identity": identity,
         "expected_rows": spec.expected_rows, "items_per_row": spec.batch,
-        "expected_items": spec.expected_items, "world": spec.world,
+        "expected_items": spec.expected_items, "world": world or spec.world,
         "num_examples": spec.num_examples, "jobs": [], "created_at": None,
-        "resolved": resolved or {},
+        "resolved": resolved,
     }
-    return RunPlan(spark, spec, record, source,
-                   model or models.build(spec.model, spec.settings.get("model")),
-                   wave_units or WAVE_UNITS[spec.task], rows_per_file)
 
 
 def _staged_work(plan: RunPlan) -> DataFrame:
@@ -211,21 +234,17 @@ def _staged_work(plan: RunPlan) -> DataFrame:
     return generations.read_units(spark, output)
 
 
-def _open_run(plan: RunPlan) -> dict:
+def open_record(spark: SparkSession, spec: JobSpec, planned: dict) -> dict:
     """Write the run record, or take up the one that is there if it means the same work."""
-    spark, path = plan.spark, f"{plan.spec.output}/run.json"
-    record = {**plan.record, "created_at": dt.datetime.now(dt.timezone.utc).isoformat()}
+    path = f"{spec.output}/run.json"
+    record = {**planned, "created_at": dt.datetime.now(dt.timezone.utc).isoformat()}
     if read_json(spark, path) is None and create_new(spark, path, json.dumps(record)):
         return record
     before = read_json(spark, path)
-    changed = [k for k, v in plan.record["identity"].items()
-               if before.get("identity", {}).get(k) != v]
-    if before.get("wave_units", plan.wave_units) != plan.wave_units:
-        changed.append("wave_units")
-    if before.get("world") != plan.spec.world:
-        changed.append("world")
+    changed = [k for k, v in planned["identity"].items() if before.get("identity", {}).get(k) != v]
+    changed += [k for k in ("wave_units", "world") if before.get(k, planned.get(k)) != planned.get(k)]
     if changed:
-        raise SpecError(f"{plan.spec.output} holds a run with other {', '.join(changed)}; "
+        raise SpecError(f"{spec.output} holds a run with other {', '.join(changed)}; "
                         "ids would not mean the same rows")
     return before
 
@@ -251,7 +270,7 @@ def launch(plan: RunPlan, ranks: list[int] | None = None, take_over: bool = Fals
     if not mine or mine[0] < 0 or mine[-1] >= spec.world:
         raise SpecError(f"ranks must be among 0 to {spec.world - 1}")
     plan.record["wave_units"] = plan.wave_units
-    record = _open_run(plan)
+    record = open_record(spark, spec, plan.record)
     with claims.held(spark, spec.output, [f"rank-{r}" for r in mine], take_over=take_over):
         work = _staged_work(plan)
         sinks.adopt_orphans(spark, spec.output, None if len(mine) == spec.world else mine)
@@ -333,13 +352,18 @@ def _shard_stats(spec: JobSpec, rank: int, planned: dict, before: dict, written:
 
 def publish(spark: SparkSession, output: str, target: str,
             spec: JobSpec | None = None) -> str:
-    """Write a clean copy of a finished output to a path (``/`` in it) or a table."""
+    """Write a clean copy of a finished output to a path (``/`` in it) or a table.
+
+    Without a spec the task comes from the run's record; an output without one keeps its columns.
+    """
     if not status(spark, output).complete():
         raise NotFinishedError(f"not all shards of {output} are done")
+    record = {"task": spec.task, "spec": spec.to_dict()} if spec else read_json(spark, f"{output}/run.json")
     clean = sinks.read_healed(spark, output)
-    if spec is not None:
-        extra = {"embeddings": ("member_ids",), "generation": (spec.column,)}.get(spec.task, ())
-        clean = clean.select("row_id", *extra, *RESULT_COLUMNS[spec.task])
+    if record:
+        task = record["task"]
+        extra = {"embeddings": ("member_ids",), "generation": (record["spec"]["column"],)}.get(task, ())
+        clean = clean.select("row_id", *extra, *RESULT_COLUMNS[task])
     if "/" in target:
         clean.write.parquet(target)
     else:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake.operators.healing import healed_files, healed_parts
-from inferlake.sources.storage import exists, file_names, write_json, write_text
+from inferlake.sources.storage import delete, exists, file_names, write_json, write_text
 
 MANIFEST_SCHEMA = ("row_id string, rank int, wave bigint, attempt bigint, ok boolean, "
                    "file string, pos bigint")
@@ -211,9 +211,20 @@ def write_ticks(spark: SparkSession, root: str, rank: int, epoch: int,
                "".join(json.dumps(t) + "\n" for t in ticks))
 
 
+def write_stats(spark: SparkSession, root: str, row: dict) -> None:
+    write_json(spark, f"{root}/completions/stats-{row['rank']}.json", row)
+
+
+def forget_markers(spark: SparkSession, root: str) -> None:
+    """For a run that goes on: no shard counts as done."""
+    for name in file_names(spark, f"{root}/completions"):
+        if name.endswith(".done"):
+            delete(spark, f"{root}/completions/{name}")
+
+
 def write_completions(spark: SparkSession, root: str, stats: list[dict]) -> None:
     """``stats-N.json`` and then ``shard-N.done`` per rank (world rows at most)."""
     for row in stats:
-        write_json(spark, f"{root}/completions/stats-{row['rank']}.json", row)
+        write_stats(spark, root, row)
     for row in stats:
         write_text(spark, f"{root}/completions/shard-{row['rank']}.done", "done")

@@ -103,3 +103,8 @@ def delete(spark: SparkSession, path: str) -> None:
     """One control file that this library wrote."""
     fs, jpath = _open(spark, path)
     fs.delete(jpath, False)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, jpath = _open(spark, path)
+    fs.mkdirs(jpath)

@@ -3,12 +3,14 @@
 import os
 import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
-from inferlake import JobSpec
+from inferlake import JobSpec, SpecError, embed, launch
 from inferlake.sources import sinks
 from inferlake.streaming import inference, progress
 from inferlake.streaming.dedup import dedup_stream
+from inferlake.streaming.watch import until_done
 
 
 def add(spark, folder, start, n):
@@ -111,3 +113,84 @@ def test_live_totals(spark, tmp_path):
     add_ticks(("a", 5))
     assert totals() == {"a": (6, 2), "b": (0, 1)}
     shutil.rmtree(folder)
+
+
+def test_a_stream_is_a_full_run(spark, tmp_path):
+    """Without ids, with equal rows, over a restart: record, log, ticks, stats and marker, each batch counted once."""
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    spec = JobSpec(task="embeddings", dataset="stream", model="hash-embedder", output=out, batch=8)
+    texts = spark.createDataFrame([("same",)] * 9 + [("",), (None,), ("other",)], "text string")
+    for k in range(2):
+        texts.coalesce(1).write.mode("append").parquet(folder)
+        run = inference.start(spark.readStream.schema("text string").parquet(folder), spec, check)
+        assert not os.path.exists(f"{out}/completions/shard-0.done") or k == 0
+        run.awaitTermination()
+        found = run.status()
+        p = found.progress.head()
+        assert (p.rows_ok, p.rows_failed, p.exact, p.has_run_json) == (2 * (k + 1), 0, True, True) and found.complete()
+        assert sum(r.ok for r in found.telemetry.collect()) == 2 * (k + 1)
+        assert sorted(t for r in run.results().collect() for t in r.texts) == sorted((["same"] * 9 + ["other"]) * (k + 1))
+    for name in os.listdir(f"{check}/commits"):               # the last batch is replayed
+        if name.strip(".").startswith("1"):
+            os.remove(f"{check}/commits/{name}")
+    run = inference.start(spark.readStream.schema("text string").parquet(folder), spec, check)
+    run.awaitTermination()
+    assert run.status().progress.head().rows_ok == 4 == run.results().count()
+    assert sum(r.ok for r in run.status().ticks.collect()) == 4
+    published = spark.read.parquet(run.publish(str(tmp_path / "clean")))
+    assert published.columns == ["row_id", "member_ids", "texts", "embeddings", "n_texts", "prompt_tokens"]
+    with pytest.raises(SpecError):
+        inference.start(spark.readStream.schema("text string").parquet(folder),
+                        JobSpec(task="embeddings", dataset="stream", model="hash-embedder", output=out, batch=9), check)
+
+
+def test_late_copies_are_asked_again_and_read_once(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    spec = JobSpec(task="generation", dataset="stream", model="echo", output=out)
+    schema = "text string, at timestamp"
+    for hour in (10, 11, 60, 61, 62):
+        rows = spark.createDataFrame([("a", hour * 3600), (f"b{hour}", hour * 3600)], "text string, s bigint")
+        rows.select("text", F.timestamp_seconds("s").alias("at")).coalesce(1).write.mode("append").parquet(folder)
+        run = inference.start(spark.readStream.schema(schema).parquet(folder), spec, check, time_column="at", delay="2 hours")
+        run.awaitTermination()
+    assert sorted(r.text for r in run.results().collect()) == ["a", "b10", "b11", "b60", "b61", "b62"]
+    asked = [r.text for r in sinks.read_parts(spark, out).collect()]
+    assert asked.count("a") == 2                     # forgotten once, when the stream's time was far ahead
+
+
+def test_a_page_stream_takes_prompt_and_top_p(spark, tmp_path):
+    scans, out = tmp_path / "scans", str(tmp_path / "out")
+    scans.mkdir()
+    (scans / "0.png").write_text("<p>page</p>")
+    spec = JobSpec(task="ocr", dataset=f"{scans}/*.png", model="any", output=out,
+                   settings={"prompt": "Read this.", "top_p": 0.5})
+
+    class Asked:
+        def predict(self, requests):
+            return [{"choices": [{"message": {"content": f"{r['top_p']} {r['messages'][0]['content'][0]['text']}"}}]} for r in requests]
+
+    pages = spark.readStream.format("binaryFile").schema(
+        "path string, modificationTime timestamp, length bigint, content binary").load(str(scans))
+    inference.start(pages, spec, str(tmp_path / "check"), model=Asked).awaitTermination()
+    assert [r.markdown for r in sinks.read_healed(spark, out).collect()] == ["0.5 Read this."]
+
+
+def test_progress_ends_when_all_shards_are_done(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.range(40).select("id", F.concat(F.lit("t"), "id").alias("text")).write.parquet(path)
+    options = dict(id_column="id", column="text", batch=4, world=2, wave_units=3, launch=False)
+    plans = [embed(spark, path, output=str(tmp_path / name), **options) for name in ("a", "b")]
+    for plan in plans:
+        launch(plan, ranks=[0])
+    watch = until_done(spark, [p.spec.output for p in plans], str(tmp_path / "check"), silence=2)
+    for _ in range(30):
+        assert not watch.wait(4) and watch.query.isActive and not watch.final
+        if any(c["stalled"] for c in watch.changes):
+            break
+    assert any(c["stalled"] for c in watch.changes)
+    for plan in plans:
+        launch(plan, ranks=[1])
+    assert watch.wait(300) and not watch.query.isActive
+    assert {k: (f["rows_ok"], f["rows_failed"], f["shards_done"], f["world"]) for k, f in watch.final.items()} == {
+        "a": (10, 0, 2, 2), "b": (10, 0, 2, 2)}
+    assert sum(1 for c in watch.changes if c["final"]) == 2
