@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from .words import keep_only
+
 RATE = 0.08
 MIN_CHARS = 25
 BLOCK_CHARS = 2_000_000
@@ -166,6 +168,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     for block in _blocks(items, item_id, item_text):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            keep_only()
             matcher = Matcher(block, rate)
             for batch in batches:
                 ids, found = [], []
@@ -189,6 +192,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
     place = docs.columns.index(text)
     for block in _blocks(items, item_id, item_text):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            keep_only()
             matcher = Matcher(block, rate)
             for batch in batches:
                 clean = [not matcher.find(body.as_py()) for body in batch.column(place)]

@@ -30,7 +30,7 @@ from inferlake.session import shared_path
 
 from .packing import pack, unpack
 from .tables import release, staged
-from .words import slices
+from .words import keep_only, slices, tidy
 from .wordbpe import encoder
 
 LIMIT = 18
@@ -144,6 +144,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None, doc_id: str, tex
                     pa.array(np.searchsorted(cuts, keys, "left").astype(np.int32)), ids, pa.array(counts),
                     pa.array([pack(flat[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())],
                     names=["part", "doc_id", "n", "ids"])
+        tidy()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = place = before = None
@@ -170,9 +171,10 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None, doc_id: str, tex
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keep_only()
     total = np.zeros(0, dtype=np.int64)
     for batch in batches:
-        for data in batch.column(0).to_pylist():
+        for data in (x.as_py() for x in batch.column(0)):
             if data:
                 own = np.bincount(unpack(data, np.uint32))
                 if len(own) > len(total):
@@ -205,6 +207,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
                     "token-starts")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         held: list[tuple] = []
         size = 0
 
@@ -217,7 +220,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
                 [pa.array([value], kind) for value, kind in zip(row, _BLOCK_TYPES)], names=list(_BLOCK_NAMES))
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):
                 if held and (row[0] != held[0][0] or row[1] != held[-1][1] + 1 or size >= BLOCK_TOKENS):
                     yield close()
                     held, size = [], 0
@@ -225,37 +228,59 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
                 size += row[6]
         if held:
             yield close()
+        tidy()
 
     (rows.join(starts, "part").select("part", "place", "doc_id", "before", "ids", "first", "n")
      .mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks"))
 
 
+def _codes(spark: SparkSession, path: str) -> Codes:
+    entries = spark.read.parquet(f"{path}/codes").collect()
+    return Codes(np.array([r["id"] for r in entries], dtype=np.int64), np.array([r["bits"] for r in entries], dtype=np.int64))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids of the rows, first token of each, end of each in the block's tokens, tokens), a block at a time."""
+    keep_only()
+    for batch in batches:
+        for k in range(batch.num_rows):
+            start, doc_ids, sizes, offsets, payload = (c[k] for c in batch.columns)
+            sizes = sizes.values.to_numpy()
+            tokens = codes.decode(payload.as_buffer(), np.frombuffer(offsets.as_buffer(), "<i8"), int(sizes.sum()))
+            ends = np.cumsum(sizes)
+            yield doc_ids.values, start.as_py() + ends - sizes, ends, tokens.astype("<u4")
+    tidy()
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select("start", "doc_ids", "sizes", "offsets", "payload")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids as little-endian 32-bit numbers) of a folder's token files."""
-    entries = spark.read.parquet(f"{path}/codes").collect()
-    codes = Codes(np.array([r["id"] for r in entries], dtype=np.int64), np.array([r["bits"] for r in entries], dtype=np.int64))
+    codes = _codes(spark, path)
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, doc_ids, sizes, offsets, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                tokens = codes.decode(payload, np.frombuffer(offsets, "<i8"), sum(sizes))
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(doc_ids, pa.int64()), pa.array(start + ends - np.array(sizes)),
-                    pa.array([tokens[e - n:e].astype("<u4").tobytes() for e, n in zip(ends, sizes)], pa.binary())],
-                    names=["doc_id", "start", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, starts, ends, tokens in _decoded(batches, codes):
+            parts = [x.tobytes() for x in np.split(tokens, ends[:-1])]
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(parts, pa.binary())],
+                                             names=["doc_id", "start", "ids"])
 
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").select(
-        "start", "doc_ids", "sizes", "offsets", "payload").mapInArrow(decode, "doc_id long, start long, ids binary")
+    return _blocks(spark, path).mapInArrow(run, "doc_id long, start long, ids binary")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data = batch.column(2).to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            *batch.columns[:2], pa.array([len(x) // 4 for x in data], pa.int64()),
-            pa.array([zlib.crc32(x) for x in data], pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def read_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of a folder's token files; the ids themselves stay in the task that decodes them."""
+    codes = _codes(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, starts, ends, tokens in _decoded(batches, codes):
+            parts = np.split(tokens, ends[:-1])
+            yield pa.RecordBatch.from_arrays(
+                [doc_ids, pa.array(starts), pa.array([len(x) for x in parts], pa.int64()),
+                 pa.array([zlib.crc32(x) for x in parts], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+
+    return _blocks(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def written_and_read(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
@@ -264,4 +289,4 @@ def written_and_read(docs: DataFrame, tokenizer: str, end: int | None) -> DataFr
     path = shared_path(spark, "token-files")
     write(docs, path, tokenizer, end)
     release(spark)
-    return read(spark, path).mapInArrow(_digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_digests(spark, path)

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .bitmap import bitmap, passes
 from .components import components
 from .tables import release, staged
-from .words import SHINGLE, mix, shingles, slices, words
+from .words import SHINGLE, keep_only, mix, shingles, slices, words
 
 ROWS, BANDS = 4, 32
 MANTISSA = 10
@@ -92,6 +92,7 @@ def _set_digest(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) to (id, node, n, regs), and the set itself if asked for."""
+    keep_only()
     for batch in batches:
         for texts in slices(batch.column(1)):
             found = shingles(words(texts))

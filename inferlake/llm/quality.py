@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import staged
-from .words import Texts, Words, mix, slices, span_hashes, window_hashes, words, _LOWER
+from .words import Texts, Words, keep_only, mix, slices, span_hashes, window_hashes, words, _LOWER
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -38,7 +38,7 @@ MAX_LANGUAGES = 1000
 CLASS_MIN_CHARS, CLASS_LIMIT = 200, 0.25
 COMMON_MIN_WORDS, COMMON_LIMIT = 50, 0.20
 #: Distinct words that a task holds before it hands them on.
-HELD_WORDS = 300_000
+HELD_WORDS = 150_000
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
@@ -177,7 +177,7 @@ class _Counter:
 def _rows(name: str, hashes, kinds, counts) -> pa.RecordBatch:
     n = len(counts)
     return pa.RecordBatch.from_arrays([
-        pa.array([name] * n, pa.string()),
+        pa.repeat(pa.scalar(name, pa.string()), n),
         pa.nulls(n, pa.int64()) if hashes is None else pa.array(hashes.view(np.int64)),
         pa.nulls(n, pa.int32()) if kinds is None else pa.array(kinds.astype(np.int32)),
         pa.array(counts.astype(np.int64))], names=["lang", "word", "class", "n"])
@@ -188,6 +188,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The class after the last one counts documents.
     """
+    keep_only()
     counter, classes = _Counter(), {}
     for batch in batches:
         langs = batch.column(1).to_pylist()
@@ -343,6 +344,7 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[
     fields = [docs.schema[name] for name in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         for batch in batches:
             langs = batch.column(1).to_pylist()
             joined = "QR_classes" in batch.schema.names

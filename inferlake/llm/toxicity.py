@@ -5,12 +5,15 @@ weighted by ``DECAY`` to the power of the letters it spans in both words. A word
 with a landmark by its best matching part: the share of the landmark's own kernel whose
 subsequences the word has, 1 for equal words, so letters inserted around or between them do
 not count against it. Where it spans more than the landmark does with one letter in every gap,
-the value falls in proportion to the kernel. No value is cut off; all are raised to ``POWER``.
+the value falls in proportion to the kernel, and for each letter of the word before or after the match
+by ``EDGE``, so that a word that merely contains a landmark is little like it. No value is cut off; all are raised to ``POWER``.
 A text is its words' best similarity to each of some landmark words; the landmarks are
-those whose presence in the training texts speaks most for label 1, and the Nyström map (the
-landmarks' kernel matrix to the power -1/2) turns similarities into features. A linear machine
-with squared hinge loss is fitted on them, and a logistic curve turns its margins into
-scores.
+those whose share of label 1 in the training texts is beyond chance, copies of a text counted once, and the Nyström
+map (the landmarks' similarity matrix to the power -1/2) turns similarities into features. Both sides use the same
+measure; as it is one-sided, the map takes its symmetric part with small eigenvalues raised, which approximates no
+positive definite kernel exactly. A linear machine with squared hinge loss is fitted on the features and
+the best similarity of all, which is penalised least, so that one perfect word decides; a logistic curve turns its margins
+into scores. A plain word that is a landmark with other letters inside it ("scrum") can't be told from a disguised one.
 
 Words are compared in a bare form: A-Z lower-cased, signs and digits inside words dropped, and
 runs of single letters joined, so that "s.c.u.m" and "s c u m" are one word. Words beyond
@@ -36,11 +39,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import staged
-from .words import Texts, Words, process_cache, slices, words, _IN_WORD, _LOWER
+from .words import Texts, Words, keep_only, process_cache, shingles, slices, words, _IN_WORD, _LOWER
 
 LABELLED_ROWS = 20_000
-LANDMARKS = 96
+LANDMARKS = 48   # at most; few words pass the evidence
 DECAY, POWER = 0.6, 4
+MARGIN = -2.0   # of the evidence: of all words of the sample, at most exp(2) are likely to pass it by luck
+EDGE = 0.8      # for each letter of a word before or after its match
+#: Of the features, and of the best similarity: large and small, so that one perfect word decides.
+PENALTY, BEST_PENALTY = 200.0, 0.01
 WINDOW = 24
 #: Distinct words, and rows of similarities, that a Python process holds.
 HELD_WORDS, HELD_ROWS = 400_000, 150_000
@@ -160,14 +167,24 @@ class Similarity:
                 if not len(row):
                     continue
                 pair, back = np.unique(row * len(self.used) + place[row, at], return_inverse=True)
+                combos = np.array(list(combinations(range(size), 3)), dtype=np.int8)[at]
+                first, last = np.full(len(pair), size, np.int8), np.full(len(pair), -1, np.int8)
+                np.minimum.at(first, back, combos[:, 0])
+                np.maximum.at(last, back, combos[:, 2])
                 value = np.bincount(back, (DECAY ** spans)[at]).astype(np.float32)[:, None]
                 row, place = np.divmod(pair, len(self.used))
                 begin = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 weights = self.weights[place]
+                # Letters before the first and after the last letter of the match: it is part of a longer word.
+                i, k = first, last
+                lead = np.minimum.reduceat(np.where(weights > 0, i[:, None], size), begin, axis=0)
+                tail = size - 1 - np.maximum.reduceat(np.where(weights > 0, k[:, None], -1), begin, axis=0)
+                edges = np.clip(lead + tail, 0, size)
                 # What the word has more often than the landmark is no part of the match.
                 kernel = np.add.reduceat(np.minimum(value, weights) * weights, begin, axis=0)
                 share = np.add.reduceat(weights ** 2, begin, axis=0) / self.own
-                out[part[row[begin]]] = np.minimum(1, share * np.minimum(1, kernel / self.apart)) ** POWER
+                like = np.minimum(1, share * np.minimum(1, kernel / self.apart)) * (EDGE ** edges).astype(np.float32)
+                out[part[row[begin]]] = like ** POWER
         return out
 
     def texts(self, texts: Texts) -> np.ndarray:
@@ -203,24 +220,22 @@ class Similarity:
 class Machine:
     """Nyström features, squared-hinge weights, and a logistic curve on the margin."""
 
-    def __init__(self, landmarks: list[str], features: np.ndarray, labels: np.ndarray, penalty: float = 1.0):
+    def __init__(self, landmarks: list[str], features: np.ndarray, labels: np.ndarray, penalty: float = PENALTY):
         self.landmarks = landmarks
         self.constant = float(labels.mean()) if len(labels) else 0.0
         self.trained = 0 < self.constant < 1 and len(landmarks) > 0
         if not self.trained:
             return
         m = len(landmarks)
-        coded = np.stack([code_word(w) for w in landmarks])
-        gram = np.stack([subsequence_kernel(coded, np.repeat(coded[k:k + 1], m, 0)) for k in range(m)])
-        own = np.sqrt(np.diag(gram))
-        gram = (gram / own / own[:, None]) ** POWER
+        gram = Similarity(landmarks).words(np.stack([code_word(w) for w in landmarks])).astype(np.float64)
+        gram = (gram + gram.T) / 2      # the measure is one-sided; the map takes its symmetric part
         value, vector = np.linalg.eigh(gram)
         self.map = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
-        x = np.hstack([features @ self.map, np.ones((len(labels), 1))])
+        x = self._inputs(features)
         y = np.where(labels > 0, 1.0, -1.0)
         weight = np.where(labels > 0, 0.5 / self.constant, 0.5 / (1 - self.constant))
-        w = np.zeros(m + 1)
-        ridge = np.append(np.full(m, penalty), 1e-6)
+        w = np.zeros(m + 2)
+        ridge = np.concatenate([np.full(m, penalty), [BEST_PENALTY, 1e-6]])
         for _ in range(30):  # Newton steps on the texts inside the margin
             inside = y * (x @ w) < 1
             xi, ci = x[inside], weight[inside]
@@ -240,10 +255,14 @@ class Machine:
             a, b = a - np.clip(step[0], -2, 2), b - np.clip(step[1], -2, 2)
         self.curve = a, b
 
+    def _inputs(self, features: np.ndarray) -> np.ndarray:
+        """Nyström features, the best similarity of all, and a constant: one word can decide."""
+        return np.hstack([features @ self.map, features.max(axis=1, keepdims=True), np.ones((len(features), 1))])
+
     def scores(self, features: np.ndarray) -> np.ndarray:
         if not self.trained:
             return np.full(len(features), self.constant)
-        margin = np.hstack([features @ self.map, np.ones((len(features), 1))]) @ self.weights
+        margin = self._inputs(features) @ self.weights
         return 1 / (1 + np.exp(-np.clip(self.curve[0] * margin + self.curve[1], -30, 30)))
 
 
@@ -267,21 +286,49 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def choose_landmarks(counts: DataFrame, toxic: int, clean: int, number: int = LANDMARKS) -> list[str]:
-    """Words whose presence speaks most for label 1: log odds, weighed by how often they do."""
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-    rows = (counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            .filter("toxic >= 2").withColumn("speaks", odds * F.sqrt("toxic")).filter(odds > 1)
-            .orderBy(F.desc("speaks"), "word").limit(number).collect())
+    """Words whose share of label 1 is beyond chance, the surest first.
+
+    The evidence of a word in n texts is n times the divergence of its share of label 1 from the share among all
+    texts; by Chernoff's bound, chance alone reaches e with probability exp(-e). Among w words it must
+    pass log(w) + MARGIN, which few words pass by luck; the surest ones go first.
+    """
+    share = toxic / (toxic + clean)
+    words_of = counts.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    n, own = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+
+    def part(p, q):
+        return F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+
+    evidence = n * (part(own, F.lit(share)) + part(1 - own, F.lit(1 - share)))
+    found = staged(words_of.filter(own > share).select("word", evidence.alias("evidence")), "toxicity-words")
+    least = np.log(max(1, found.count())) + MARGIN
+    rows = found.filter(F.col("evidence") >= float(least)).orderBy(F.desc("evidence"), "word").limit(number).collect()
     return [r["word"] for r in rows]
 
 
+def _least_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(y, text, least hash of five neighbouring words): near copies mostly share the hash."""
+    keep_only()
+    for batch in batches:
+        for texts in slices(batch.column(1)):
+            found = shingles(words(texts))
+            begins = np.cumsum(found.counts) - found.counts
+            least = np.zeros(len(texts), np.uint64)
+            some = found.counts > 0
+            least[some] = found.hashes[begins[some]]      # each text's hashes ascend
+            part = batch.slice(texts.first_row, len(texts))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["y", "text", "least"])
+
+
 def train(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc_id", text: str = "text",
           label: str = "toxic") -> Machine:
     """Fit on at most ``LABELLED_ROWS`` labelled rows of those that ``usable`` allows."""
     sample = (labels.filter(usable & F.col(label).isNotNull()).select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y"))
               .orderBy(F.xxhash64("id", F.lit("toxicity")), "id").limit(LABELLED_ROWS))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(sample), "id").select("text", "y")
-    rows = staged(rows, "toxicity-sample")
+    # Copies are one witness: of texts with the same least shingle and label one stays.
+    rows = staged(rows.select("y", "text").mapInArrow(_least_shingles, "y int, text string, least long").groupBy("y", "least")
+                  .agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", "y"), "toxicity-sample")
     sizes = rows.agg(F.sum("y"), F.count("*")).first()
     toxic, total = sizes[0] or 0, sizes[1]
     if not 0 < toxic < total:
@@ -290,6 +337,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
     landmarks = choose_landmarks(counts, toxic, total - toxic)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only()
         similar = Similarity(landmarks)
         for batch in batches:
             for texts in slices(batch.column(0)):
@@ -305,6 +353,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, doc_id: str = "doc
 def score(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_only("landmarks", "similarity")
         cache = process_cache()
         if cache.get("landmarks") != machine.landmarks:
             cache["landmarks"], cache["similarity"] = machine.landmarks, Similarity(machine.landmarks)

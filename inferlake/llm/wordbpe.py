@@ -4,7 +4,7 @@ For tokenizers that lower-case, drop white space, and cut words into runs of let
 digits and runs of signs, a text's ids are those of its pieces one after the other. Words of
 plain letters, digits and signs are cut here, with numpy; any other word (apostrophes, special
 tokens, other scripts, controls) goes to the tokenizer whole. Pieces are told apart by
-64-bit hashes; the ids of the pieces seen are held by the Python process, up to ``HELD``.
+64-bit hashes; the ids of the pieces seen are held by the Python process, up to ``HELD_BYTES``.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer
 
-from .words import Texts, process_cache, span_hashes, words, _IN_WORD, _LOWER
+from .words import Texts, keep_only, process_cache, span_hashes, words, _IN_WORD, _LOWER
 
-HELD = 300_000
+HELD_BYTES = 24 << 20
+PIECE_BYTES = 180    # of a piece that is held, besides its ids: the hash, two objects, its share of the table
 SPACE, LETTER, DIGIT, SIGN, WHOLE = range(5)
 
 _KIND = np.full(256, WHOLE, dtype=np.uint8)
@@ -70,6 +71,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
         self.known: dict[int, bytes] = {}
+        self.held = 0
 
     def _piece(self, piece: bytes, kind: int) -> bytes:
         """Ids of one piece as 32-bit numbers."""
@@ -83,8 +85,9 @@ class WordEncoder:
         data, starts, ends, kinds, counts = _cut(texts)
         hashes = span_hashes(data, starts, ends) ^ (kinds == WHOLE).astype(np.uint64)
         hashes, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > HELD:
+        if self.held > HELD_BYTES:
             self.known.clear()
+            self.held = 0
         ids = list(map(self.known.get, hashes.tolist()))
         new = [k for k, x in enumerate(ids) if x is None]
         if new:
@@ -92,6 +95,7 @@ class WordEncoder:
             for k, h, s, e, kind in zip(new, hashes[new].tolist(), starts[first].tolist(), ends[first].tolist(),
                                         kinds[first].tolist()):
                 ids[k] = self.known[h] = self._piece(body[s:e], kind)
+                self.held += PIECE_BYTES + len(ids[k])
         # The end id is one more piece of every text.
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         table = np.frombuffer(b"".join(ids) + (b"" if end is None else np.uint32(end).tobytes()), np.uint32)
@@ -107,6 +111,7 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
+    keep_only("tokenizer", "encoder")
     cache = process_cache()
     if cache.get("tokenizer") != path:
         cache["tokenizer"], cache["encoder"] = path, WordEncoder(path)

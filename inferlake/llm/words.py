@@ -9,6 +9,7 @@ and carriage return; a null text has no words.
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +40,25 @@ def process_cache() -> dict:
     return sys.modules.setdefault("inferlake_llm_cache", ModuleType("inferlake_llm_cache")).__dict__
 
 
+#: What any operator may keep: the powers for hashes.
+SHARED = ("up", "down")
+
+
+def keep_only(*names: str) -> None:
+    """Drop what tasks of other operators have left in this process, which its next task would carry along.
+
+    Every task that holds much, or keeps something, says so first: an executor's memory is
+    then that of the operators at work, whatever has run before.
+    """
+    cache = process_cache()
+    gone = [n for n in cache if not n.startswith("__") and n not in SHARED and n not in names]
+    for name in gone:
+        del cache[name]
+    if gone:
+        gc.collect()
+        tidy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
     x = x ^ (x >> _U(30))

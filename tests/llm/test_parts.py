@@ -113,6 +113,53 @@ def test_inserted_letters_leave_insults_toxic(spark):
     assert max(scores[-1 - k] for k in range(100)) < 0.5
 
 
+def test_one_insult_decides_and_words_that_contain_one_do_not(spark):
+    """Trained as the query is: an insult at the end of a clean text, and plain words that hold its letters."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    machine = toxicity.train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"),
+                             F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    clean = [r.text for r in docs.join(labels.filter("toxic = 0"), "doc_id").filter("length(text) < 3000")
+             .orderBy("doc_id").limit(30).select("text").collect()]
+    insults = ["trash", "pathetic", "idiot", "disgusting", "worthless", "stupid", "clown", "loser", "scum", "moron"]
+    longer = ["closer", "clownfish", "scrumptious", "trashcan", "idiotic", "sympathetic", "stupor", "tomorrow"]
+    rows = [(w, f"{text} {w}") for w in insults + longer for text in clean]
+    scored = toxicity.score(spark.createDataFrame(rows, "doc_id string, text string").repartition(8), machine)
+    share = {r.doc_id: r.share for r in scored.groupBy("doc_id").agg(F.avg((F.col("score") >= 0.5).cast("int")).alias("share")).collect()}
+    assert min(share[w] for w in insults) >= 0.8, share
+    assert max(share[w] for w in longer) <= 0.1, share
+
+
+def test_similarity_against_a_plain_version():
+    """Share of the landmark's kernel, gaps and edges, one pair of words at a time."""
+    from itertools import combinations
+
+    def parts(word):
+        out = {}
+        for i, j, k in combinations(range(len(word)), 3):
+            out.setdefault(word[i] + word[j] + word[k], []).append((i, k))
+        return out
+
+    def plain(word, mark):
+        own, has = parts(mark), parts(word)
+        weight = {u: sum(toxicity.DECAY ** (k - i + 1) for i, k in at) for u, at in own.items()}
+        both = [u for u in own if u in has]
+        if not both:
+            return 0.0
+        value = {u: sum(toxicity.DECAY ** (k - i + 1) for i, k in has[u]) for u in both}
+        apart = sum(toxicity.DECAY ** (2 * (k - i + 1) - 1) * weight[u] for u, at in own.items() for i, k in at)
+        share = sum(weight[u] ** 2 for u in both) / sum(w ** 2 for w in weight.values())
+        kernel = sum(min(value[u], weight[u]) * weight[u] for u in both)
+        edges = min(i for u in both for i, _ in has[u]) + len(word) - 1 - max(k for u in both for _, k in has[u])
+        return (min(1, share * min(1, kernel / apart)) * toxicity.EDGE ** edges) ** toxicity.POWER
+
+    marks = ["idiot", "loser", "disgusting", "banana"]
+    words = [*marks, "closer", "idixot", "ixdxixoxt", "bananas", "anna", "abc", "then", "disgust", "looser"]
+    got = toxicity.Similarity(marks).words(np.stack([toxicity.code_word(w) for w in words]))
+    for w, row in zip(words, got):
+        assert row == pytest.approx([plain(w, m) for m in marks], abs=1e-5)
+
+
 PII = {
     "card": "4111 1111 1111 1111", "phone": "+1 (988) 555-2485", "ip": "42.144.35.254", "ssn": "123-45-6789",
     "email": "Bos.t42@mail.example.com", "date": "2021-02-28",
