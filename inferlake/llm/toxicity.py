@@ -44,7 +44,7 @@ from .words import Texts, Words, keep_only, process_cache, shingles, slices, wor
 LABELLED_ROWS = 20_000
 LANDMARKS = 48   # at most; few words pass the evidence
 DECAY, POWER = 0.6, 4
-MARGIN = -2.0   # of the evidence: of all words of the sample, at most exp(2) are likely to pass it by luck
+MARGIN = 0.5    # of the evidence beyond what the luckiest of all words is expected to have
 EDGE = 0.8      # for each letter of a word before or after its match
 #: Of the features, and of the best similarity: large and small, so that one perfect word decides.
 PENALTY, BEST_PENALTY = 200.0, 0.01
