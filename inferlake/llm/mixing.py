@@ -133,20 +133,16 @@ def mixing_plan(docs: DataFrame, text: str = "text", source: str = "source", doc
     }).drop(_KEY, _PLACE, _CUT, "MIX_extra")
 
 
-def first_words(text: str | Column, count: str | Column) -> Column:
-    """A text up to the end of its ``count``-th word."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.array_join(F.slice(pieces, F.lit(1), count), "")
-
-
 def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The mixed documents: every whole copy as a row, and the part of the last one."""
-    plan = mixing_plan(docs, text, **options)
-    whole = plan.filter(F.col(WHOLE) > 0).withColumn(
-        "MIX_copy", F.explode(F.sequence(F.lit(1), F.col(WHOLE).cast("int")))).select(*docs.columns)
-    part = plan.filter(F.col(PART) > 0).withColumn(
-        text, first_words(F.col(text), F.col(PART).cast("int"))).select(*docs.columns)
-    return whole.unionByName(part)
+    """The mixed documents, each copy a row with its text as it was.
+
+    The document at which a source's words run out is taken whole if at least half of it is
+    within the target, and not at all otherwise, so a source misses its target by half a document at most.
+    """
+    last = ((F.col(PART) > 0) & (2 * F.col(PART) >= F.col(SIZE))).cast("int")
+    copies = F.col(WHOLE).cast("int") + last
+    return (mixing_plan(docs, text, **options).filter(copies > 0)
+            .withColumn("MIX_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns))
 
 
 def taken() -> Column:

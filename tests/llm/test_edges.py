@@ -59,6 +59,16 @@ def test_extra_columns_stay(spark):
         assert {tuple(r[5:13]) for r in out.select(*docs.columns).collect()} == {rows()[0][5:]}
 
 
+def test_mixed_documents_are_whole(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    made = mixing.mix(docs)
+    assert made.exceptAll(docs.unionByName(docs)).count() == 0 and made.columns == docs.columns
+    targets = {r.source: (r.t, r.longest) for r in mixing.mixing_plan(docs).groupBy("source").agg(
+        F.max(mixing.TARGET).alias("t"), F.max(mixing.SIZE).alias("longest")).collect()}
+    for r in made.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect():
+        assert abs(r.n - targets[r.source][0]) <= targets[r.source][1] / 2 + 1
+
+
 def test_one_of_repeated_rows_stays(spark):
     kept = hyperminhash.drop_near_duplicates(edge(spark), percent=80).select("doc_id", "text").collect()
     assert sorted(r["doc_id"] for r in kept if r["text"] and r["text"].startswith(rows()[0][1])) == [0]
