@@ -2,8 +2,11 @@
 
 A first pass range-partitions the ids alone and stages them with their exact
 numbers. From that table come the first ids of equal slices of the rows, and with
-those any later scan knows the slice of a row by comparing its id: wide columns are
-shuffled once, into slices of exactly ``chunk`` rows, whatever the spread of the ids.
+those any later scan knows the slice of a row by a binary search for its id: wide columns are
+scanned and shuffled once, each slice to the partition of its own number, whatever the spread of
+the ids. A slice holds exactly ``chunk`` rows, so its offset is known and a row's number is the
+offset plus its place in the sorted partition. (Range-partitioning the wide rows themselves
+would scan them twice, as Spark samples the whole rows first.)
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import math
 from dataclasses import dataclass
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -42,27 +45,28 @@ class RowIndex:
     chunk: int              # rows per slice
     starts: list[str]       # first id of slice 1, 2, ..., as text
 
+    @property
+    def slices(self) -> int:
+        return len(self.starts) + 1
+
     def slice_of(self, row_id: Column) -> Column:
-        """Number of slice starts at or below the id: two short searches in place of
-        a long one."""
+        """Number of slice starts at or below the id: at most 17 steps of a binary search."""
         if not self.starts:
             return F.lit(0)
-        fan = math.ceil(math.sqrt(len(self.starts)))
-        groups = [self.starts[i:i + fan] for i in range(0, len(self.starts), fan)]
-        kind = self.id_type.simpleString()
-        heads = _constant([g[0] for g in groups], "array<string>").cast(f"array<{kind}>")
-        # group 0 is empty: ids before the first start
-        within = _constant([[], *groups], "array<array<string>>").cast(f"array<array<{kind}>>")
-        group = F.size(F.filter(heads, lambda start: start <= row_id))
-        inner = F.size(F.filter(F.get(within, group), lambda start: start <= row_id))
-        return (F.greatest(group, F.lit(1)) - 1) * fan + inner
+        starts = _constant(self.starts, "array<string>").cast(f"array<{self.id_type.simpleString()}>")
+        steps = [1 << k for k in reversed(range(len(self.starts).bit_length()))]
+        # F.get gives null beyond the end, and a step that is not known to fit is not taken
+        return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), lambda found, step: F.when(
+            F.get(starts, found + step - 1) <= row_id, found + step).otherwise(found))
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """``df`` plus (slice_no, idx). ``df`` must hold the ids the index was built on."""
-        in_slice = Window.partitionBy("slice_no").orderBy(self.id_column)
+        """``df`` plus (slice_no, idx), partitioned by slice and sorted by id. ``df`` must hold the ids the
+        index was built on."""
+        place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
         return (df.withColumn("slice_no", self.slice_of(F.col(self.id_column)))
-                .withColumn("idx", F.col("slice_no").cast("bigint") * self.chunk
-                            + F.row_number().over(in_slice) - 1))
+                .repartitionById(self.slices, "slice_no")
+                .sortWithinPartitions(self.id_column)
+                .withColumn("idx", F.col("slice_no").cast("bigint") * self.chunk + place))
 
     def first(self, df: DataFrame, n: int) -> DataFrame:
         """The first n rows as a plain filter on the id, which the scan can push down."""
@@ -107,9 +111,9 @@ def build_index(df: DataFrame, id_column: str, align: int = 1,
     position = F.col("pos").bitwiseAND(F.lit((1 << _POSITION_BITS) - 1))
     table = staged.select(id_column, (offset + position).alias("idx"))
 
-    # small tables still get enough slices to keep every core busy
+    # a slice is one task of ``attach``; small tables still keep every core busy
     cores = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slices = min(MAX_SLICES, max(4 * cores, ranges))
+    slices = min(MAX_SLICES, max(cores, ranges))
     chunk = max(1, math.ceil(math.ceil(total / slices) / align)) * align
     firsts = (table.where((F.col("idx") % chunk == 0) & (F.col("idx") > 0))
               .select("idx", F.col(id_column).cast("string"))

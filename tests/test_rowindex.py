@@ -57,8 +57,39 @@ def test_ids_must_be_unique_and_present(spark, ids):
 def test_no_single_partition_window(spark, plan_of):
     df = spark.range(5000).toDF("id")
     plan = plan_of(build_index(df, "id").attach(df))
-    assert "SinglePartition" not in plan
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert "SinglePartition" not in plan and "Window" not in plan
+    assert plan.count("Exchange") == 1
+
+
+def test_wide_rows_are_scanned_once(spark, plan_of, tmp_path):
+    """The text is in one scan only, and each slice is a partition of its own."""
+    path = str(tmp_path / "t")
+    wide = spark.range(20_000).select((F.col("id") * 7).alias("id"), F.repeat(F.lit("x"), 50).alias("text"))
+    wide.repartition(6).write.parquet(path)
+    df = spark.read.parquet(path)
+    index = build_index(df, "id", align=64, slice_rows=1000)
+    got = index.attach(df)
+    plan = plan_of(got)
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1
+    assert got.rdd.getNumPartitions() == index.slices
+    rows = got.select("slice_no", "idx", F.spark_partition_id().alias("p"), (F.col("id") / 7).alias("want")).collect()
+    assert all(r.idx == r.want and r.p == r.slice_no == r.idx // index.chunk for r in rows)
+
+
+def test_numbers_hold_when_partitions_are_merged_later(spark):
+    """A later operator may merge partitions; the numbers were given before."""
+    df = spark.range(5000).select((F.col("id") * 3).alias("id"))
+    got = build_index(df, "id", slice_rows=100).attach(df)
+    assert got.coalesce(2).where("idx * 3 <> id").count() == 0
+    assert got.limit(77).where("idx * 3 <> id").count() == 0
+
+
+@pytest.mark.parametrize("slice_rows", [1, 2, 3, 64])
+def test_binary_search_at_every_count_of_starts(spark, slice_rows):
+    for n in (1, 2, 3, 5, 8, 9, 33):
+        df = spark.range(n).select((F.col("id") * 2 - 7).alias("id"))
+        index, got = numbered(df, "id", slice_rows=slice_rows)
+        assert got == {2 * i - 7: i for i in range(n)}
 
 
 def test_batches_move_the_text_once(spark, plan_of):
