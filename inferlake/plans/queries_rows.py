@@ -9,6 +9,8 @@ from inferlake.functions.text import WHITESPACE, clean_text
 from inferlake.operators import dedup, healing, profile, resume
 from inferlake.operators.batching import micro_batch
 from inferlake.operators.rowindex import build_index
+from inferlake.operators.sketches import RELATIVE_ERROR
+from inferlake.plans import profiles
 from inferlake.session import shared_path
 from inferlake.sources import pages as page_source
 from inferlake.sources import sinks, tables
@@ -124,6 +126,25 @@ def conversation_profile(spark, sf_dir):
     return profile.column_profile(table(spark, sf_dir, "conversations"))
 
 
+def profile_sketch(spark, sf_dir):
+    """Profile by split from kept sketches: half of the documents, then the other half as new files. The
+    estimate of distinct values is held against their exact number."""
+    docs = documents(spark, sf_dir)
+    root, store = shared_path(spark, "grown"), shared_path(spark, "profile")
+    for half in (0, 1):
+        docs.where(F.pmod("doc_id", F.lit(2)) == half).write.mode("append").parquet(root)
+        profiles.update_profile(spark, spark.read.parquet(root), store, by=["source"])
+    kept = profiles.kept_profile(spark, spark.read.parquet(root), store, by_split=True)
+    values = F.struct(F.lit("text").alias("name"), F.coalesce("text", F.lit("")).alias("value"))
+    langs = F.struct(F.lit("lang").alias("name"), F.coalesce("lang", F.lit("")).alias("value"))
+    exact = (docs.select(F.col("source").alias("split"), F.inline(F.array(values, langs)))
+             .groupBy("split", "name").agg(F.count_distinct("value").alias("exact")))
+    off = F.abs(F.col("n_distinct") - F.col("exact"))
+    return (kept.withColumnRenamed("source", "split").join(exact, ["split", "name"])
+            .select("split", "ordinal", "name", "avg_len", "n_rows", F.col("exact").alias("n_distinct"),
+                    (off <= F.ceil(F.col("exact") * RELATIVE_ERROR)).alias("within_error")))
+
+
 def text_column_choice(spark, sf_dir):
     return profile.text_column_choice(profile.column_profile(table(spark, sf_dir, "pages")))
 
@@ -234,6 +255,10 @@ def _profile_sql(t, *columns):
         _PROFILE_SQL.format(i=i, c=c, t=t) for i, c in enumerate(columns))
 
 
+_SKETCH_SQL = """SELECT source AS split, {i} AS ordinal, '{c}' AS name,
+  round_even(sum(length(coalesce({c}, ''))) / count(*), 1) AS avg_len, count(*) AS n_rows,
+  count(DISTINCT coalesce({c}, '')) AS n_distinct, TRUE AS within_error FROM documents GROUP BY source"""
+
 SQL_LAYOUT = """SELECT source AS config, lang AS split, min(doc_id) AS ordinal
   FROM documents GROUP BY source, lang"""
 
@@ -281,6 +306,8 @@ QUERIES = {
             AS height FROM x"""),
     "column_profile": (column_profile, _profile_sql("documents", "text", "lang", "source")),
     "conversation_profile": (conversation_profile, _profile_sql("conversations", "role", "text")),
+    "profile_sketch": (profile_sketch, " UNION ALL ".join(
+        _SKETCH_SQL.format(i=i, c=c) for i, c in enumerate(("text", "lang")))),
     "text_column_choice": (text_column_choice, f"""WITH p AS (
         {_profile_sql("pages", "url", "html")})
         SELECT name AS "column", 'detected' AS source FROM p

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inferlake.operators.rowindex import build_index
 
+LISTED_FILES = 10_000        # files that are named in a scan; more are found by a join
 FILE_FORMATS = ("parquet", "json", "csv", "text", "orc")
 
 
@@ -71,6 +72,15 @@ def files_of(df: DataFrame) -> DataFrame | None:
         return None
 
 
+def only_files(df: DataFrame, files: DataFrame) -> DataFrame:
+    """The rows of ``df`` in the files (path, ...) given; where these can be named, no other file is opened."""
+    names = [r["path"] for r in files.select("path").limit(LISTED_FILES + 1).collect()]
+    if len(names) <= LISTED_FILES:
+        return df.where(F.col("_metadata.file_path").isin(names))
+    wanted = files.select(F.col("path").alias("_path"))
+    return df.withColumn("_path", F.col("_metadata.file_path")).join(wanted, "_path", "left_semi").drop("_path")
+
+
 def fingerprint(df: DataFrame) -> str:
     """What tells one source without files from another: its rows."""
     hashed = df.select(F.xxhash64(*df.columns).alias("h"))
