@@ -122,6 +122,26 @@ def shard_roster(files: DataFrame, stats: DataFrame, world: DataFrame) -> DataFr
             .select("run", "rank", F.coalesce("done", F.lit(False)).alias("done"), "stats"))
 
 
+def known_shards(files: DataFrame, stats: DataFrame, records: DataFrame) -> DataFrame:
+    """``shard_roster`` over ``world_size``, with the traces planned once: the shards of a run, at most as many
+    as its world or as left a trace, meet in one row, and the missing ones are added there."""
+    with_stats = F.when(F.col("stats").isNotNull(), F.col("rank"))
+    seen = shard_traces(files, stats).groupBy("run").agg(
+        F.min_by("stats.world", with_stats).alias("by_stats"), F.max("rank").alias("top"),
+        F.collect_list(F.struct("rank", "done", "stats")).alias("left"))
+    intent = records.select("run", F.col("world").alias("by_record"), F.lit(True).alias("has_record"))
+    joined = seen.join(intent, "run", "full")
+    shard = joined.schema["left"].dataType.elementType.simpleString()
+    world = F.coalesce("by_stats", F.when(F.col("has_record"), F.col("by_record")).otherwise(F.col("top") + 1), F.lit(0))
+    planned = F.when(world > 0, F.sequence(F.lit(0), world - 1)).otherwise(F.array().cast("array<int>"))
+    left = F.coalesce("left", F.array().cast(f"array<{shard}>"))
+    absent = F.array_except(planned, F.transform(left, lambda s: s["rank"]))
+    added = F.transform(absent, lambda rank: F.struct(
+        rank.alias("rank"), F.lit(False).alias("done"), F.lit(None).cast(joined.schema["left"].dataType.elementType["stats"].dataType)
+        .alias("stats")))
+    return joined.select("run", F.inline(F.concat(left, added)))
+
+
 def all_done(roster: DataFrame) -> DataFrame:
     """(run, complete): it has shards and all of them are done."""
     return roster.groupBy("run").agg(
@@ -152,7 +172,7 @@ def document(output: str, files: DataFrame, stats: DataFrame, ticks: DataFrame,
     """(run, document): the versioned JSON form of the four tables."""
     runs = _runs(files, stats, records) if runs is None else runs
     world = world_size(files, stats, records)
-    shards = (shard_roster(files, stats, world).groupBy("run")
+    shards = (known_shards(files, stats, records).groupBy("run")
               .agg(F.array_sort(F.collect_list(F.struct("rank", "done", "stats")),
                                 lambda a, b: a["rank"] - b["rank"]).alias("shards")))
     fields = ["t", "limit", "inflight", "waiting", "running", "bp", "ok", "input_bound", "tok_s"]

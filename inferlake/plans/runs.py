@@ -55,7 +55,7 @@ class Progress:
 
     @property
     def shards(self) -> DataFrame:
-        return prog.shard_roster(self.files, self.stats, self.world)
+        return prog.known_shards(self.files, self.stats, self.records)
 
     @property
     def storage(self) -> DataFrame:
@@ -86,13 +86,17 @@ class Progress:
         return self.runs.select("run").unionByName(found).distinct()
 
 
-def status(spark: SparkSession, output: str) -> Progress:
-    """Progress of the run at ``output`` or of all runs below it (``parent/*``)."""
+def status(spark: SparkSession, output: str, audit: bool = False) -> Progress:
+    """Progress of the run at ``output`` or of all runs below it (``parent/*``).
+
+    Parts of this library's runs are known from their logs; ``audit`` looks at every file instead, which finds
+    parts that someone else removed or added.
+    """
     output = output.rstrip("/")
     runs = None
     if not output.endswith("/*"):   # a run that has written nothing still gets its row
         runs = spark.createDataFrame([(output.rsplit("/", 1)[-1],)], "run string")
-    return Progress(output, outputs.list_outputs(spark, output),
+    return Progress(output, outputs.list_outputs(spark, output, audit),
                     outputs.read_stats(spark, output), outputs.read_ticks(spark, output),
                     outputs.read_run_records(spark, output), runs)
 
@@ -284,7 +288,7 @@ def launch(plan: RunPlan, ranks: list[int] | None = None, take_over: bool = Fals
 def _run_shards(plan: RunPlan, work: DataFrame, ranks: list[int]) -> None:
     """Commit the open waves of some shards; a shard's stats and marker follow its last commit."""
     spark, spec = plan.spark, plan.spec
-    attempt, started = time.time_ns() // 1_000_000, time.monotonic()
+    attempt, started = sinks.new_attempt(spark, spec.output), time.monotonic()
     planned, before = _counts(spark, spec.output, ranks)
     written: dict[int, dict] = {r: dict.fromkeys(sinks.COUNTS, 0) for r in ranks}
     ticks: dict[int, list[dict]] = {}
@@ -300,6 +304,7 @@ def _run_shards(plan: RunPlan, work: DataFrame, ranks: list[int]) -> None:
             stats = [_shard_stats(spec, r, planned, before, written[r], time.monotonic() - started) for r in done]
             sinks.write_completions(spark, spec.output, stats)
 
+    entries = []
     last = {r: at for at, (_, group) in enumerate(todo) for r in group}
     finish([r for r in ranks if r not in last])
     for at, (wave, group) in enumerate(todo):
@@ -309,12 +314,15 @@ def _run_shards(plan: RunPlan, work: DataFrame, ranks: list[int]) -> None:
         results = plan.apply(units, wave).withColumn("attempt", F.lit(attempt))
         part = sinks.part_name(attempt, wave, (group[0], group[-1]))
         cells = sinks.commit(results, spec.output, part, plan.rows_per_file, wave, group, attempt)
+        entries.append({"part": part, "attempt": attempt, "cells": cells})
         elapsed = time.monotonic() - started
         for cell in cells:
             for c in sinks.COUNTS:
                 written[cell["rank"]][c] += cell[c]
         _tick(spark, spec.output, cells, attempt, elapsed, ticks)
         finish([r for r in group if last[r] == at])
+    if entries:
+        sinks.fold_log(spark, spec.output, attempt, entries)
 
 
 def _counts(spark: SparkSession, output: str, ranks: list[int]) -> tuple[dict, dict]:

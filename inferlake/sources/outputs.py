@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from inferlake.functions.files import RUN_RECORD, STATS, TELEMETRY, file_kind
 from inferlake.functions.ids import path_below
 from inferlake.functions.text import stripped
-from inferlake.sources.storage import absolute, exists
+from inferlake.sources.storage import absolute, exists, matching
 
 CONTROL_FILES = ("completions/*", "telemetry-shard*.jsonl")
 CONTROL_KINDS = ("marker", "stats", "telemetry")
@@ -56,29 +56,81 @@ def _file_path() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
-def list_outputs(spark: SparkSession, output: str) -> DataFrame:
-    """(run, rel_path, kind, part, rank, epoch) for every file of the run or runs.
+def _classified(paths: DataFrame, base: str) -> DataFrame:
+    return (paths.select(_located(F.col("path"), base).alias("at"))
+            .select("at.run", "at.rel_path", file_kind(F.col("at.rel_path")).alias("k"))
+            .select("run", "rel_path", "k.kind", "k.part", "k.rank", "k.epoch"))
 
-    A missing folder gives no rows. Spark skips names that start with ``_``, so the
-    sidecar folder is listed by its own path. A scan also skips empty files; markers and
-    fresh telemetry may be empty, so those few are taken from the file index instead.
+
+def _paths(spark: SparkSession, *patterns: str) -> DataFrame:
+    """(path) of the files at or below patterns; a scan, so empty files are not among them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = [reader.load(p).select("path") for p in patterns if exists(spark, p)]
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "path string")
+
+
+def list_outputs(spark: SparkSession, output: str, audit: bool = False) -> DataFrame:
+    """(run, rel_path, kind, part, rank, epoch) for what the run or runs hold.
+
+    The parts of runs with a commit log are read from it, one row each; only parts that were begun and never
+    committed are looked for, so no folder of finished data is listed. Outputs of other writers, and with ``audit`` all of them, are listed
+    file by file. A missing folder gives no rows.
     """
     folder, base = _root_of(spark, output)
+    logged = [] if audit else [p.rsplit("/", 1)[0] for p in matching(spark, f"{folder}/_log")]   # one per run
+    if not logged:
+        return _listed(spark, [folder], base)
+    files = _from_logs(spark, folder, base, logged)
+    if not folder.endswith("/*"):
+        return files
+    others = sorted(p for p in set(matching(spark, folder)) - set(logged) if p.rsplit("/", 1)[-1][0] not in "_.")
+    return files.unionByName(_listed(spark, others, base)) if others else files
+
+
+def _from_logs(spark: SparkSession, folder: str, base: str, logged: list[str]) -> DataFrame:
+    """The files of the runs below ``folder`` that have a log."""
+    at = _located(_file_path(), base).alias("at")
+    parts = _logged_parts(spark, folder, at)
+    commits = parts.select("run", F.col("part").alias("rel_path"))
+    small = _paths(spark, *(f"{folder}/{pattern}" for pattern in ("_manifest", *CONTROL_FILES, "run.json")))
+    if folder.endswith("/*"):      # the other runs' are listed with their other files
+        small = small.where(_located(F.col("path"), base)["run"].isin([p.rsplit("/", 1)[-1] for p in logged]))
+    return (commits.select("run", "rel_path", file_kind(F.col("rel_path")).alias("k"))
+            .select("run", "rel_path", "k.kind", "k.part", "k.rank", "k.epoch")
+            .unionByName(_classified(small, base)).unionByName(_classified(_open_parts(spark, folder, base, parts), base)))
+
+
+def _logged_parts(spark: SparkSession, folder: str, at: Column) -> DataFrame:
+    """(run, part) of every commit: from one file per launch that has ended, and from the entries of the others."""
+    read = spark.read.schema("part string")
+    entries = read.json(f"{folder}/_log").select(at, "part")
+    folded = matching(spark, f"{folder}/_folded/*.json")       # one path per launch
+    if folded:      # a filter on the path alone: entries of these launches are not opened
+        done = [f"{run.rsplit('/', 1)[-1]}/part-{name.removesuffix('.json')}" for run, name in (p.split("/_folded/") for p in folded)]
+        launch = F.concat_ws("/", "at.run", F.regexp_extract("at.rel_path", r"^_log/(part-\d+)-", 1))
+        entries = entries.where(~launch.isin(done)).unionByName(read.json(folded).select(at, "part"))
+    return entries.where("part is not null").select("at.run", "part")
+
+
+def _open_parts(spark: SparkSession, folder: str, base: str, parts: DataFrame) -> DataFrame:
+    """(path) of the files of parts that were begun and have no log entry: what crashes and live launches left."""
+    at = _located(F.col("path"), base)
+    begun = _paths(spark, f"{folder}/_begun").select(at["run"].alias("run"), F.substring_index(at["rel_path"], "/", -1).alias("part"))
+    left = begun.join(parts, ["run", "part"], "left_anti").collect()      # at most one for each launch that never ended
+    above = folder.removesuffix("/*") if folder.endswith("/*") else folder.rsplit("/", 1)[0]
+    return _paths(spark, *(f"{above}/{r['run']}/{r['part']}" for r in left))
+
+
+def _listed(spark: SparkSession, folders: list[str], base: str) -> DataFrame:
+    """Every file. Spark skips names that start with ``_``, so sidecars are listed by their own path. A
+    scan also skips empty files; markers and fresh telemetry of other writers may be empty, so those few are
+    taken from the file index instead."""
+    found = _paths(spark, *(p for f in folders for p in (f, f"{f}/_manifest")))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = [reader.load(p).select("path")
-             for p in (folder, f"{folder}/_manifest") if exists(spark, p)]
-    if not found:
-        return spark.createDataFrame([], LISTING_SCHEMA)
-    control = [unquote(name) for pattern in CONTROL_FILES if exists(spark, f"{folder}/{pattern}")
-               for name in reader.load(f"{folder}/{pattern}").inputFiles()]
-
-    def classified(paths: DataFrame) -> DataFrame:
-        return (paths.select(_located(F.col("path"), base).alias("at"))
-                .select("at.run", "at.rel_path", file_kind(F.col("at.rel_path")).alias("k"))
-                .select("run", "rel_path", "k.kind", "k.part", "k.rank", "k.epoch"))
-
-    scanned = classified(reduce(DataFrame.unionByName, found))
-    indexed = classified(spark.createDataFrame([(c,) for c in control], "path string"))
+    control = [unquote(name) for f in folders for pattern in CONTROL_FILES if exists(spark, f"{f}/{pattern}")
+               for name in reader.load(f"{f}/{pattern}").inputFiles()]
+    scanned = _classified(found, base)
+    indexed = _classified(spark.createDataFrame([(c,) for c in control], "path string"), base)
     return (scanned.where(~F.col("kind").isin(*CONTROL_KINDS))
             .unionByName(indexed.where(F.col("kind").isin(*CONTROL_KINDS))))
 

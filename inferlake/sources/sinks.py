@@ -6,7 +6,10 @@ without a sidecar is a crash between the two. All names are known beforehand, so
 nothing and repeating it replaces it.
 
 The log entry holds counts per wave and shard that Spark observes while it writes the part: progress, shard
-stats, and what a resume needs to know come from it, and the part is not read for them. The sidecar holds
+stats, and what a resume needs to know come from it, and the part is not read for them. ``_begun/<same name>`` is
+left before the part is written, so parts that a crash or a live launch leaves open are known without a
+listing. A launch that ends folds its entries into one file, ``_folded/<attempt>.json``, a checkpoint of the log
+that spares later readers from opening them one by one. The log is only ever appended to. The sidecar holds
 the ids with their places in the part's files; only the narrow columns are read for it.
 """
 
@@ -14,12 +17,13 @@ from __future__ import annotations
 
 import json
 import re
+import time
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from inferlake.operators.healing import healed_files, healed_parts
-from inferlake.sources.storage import delete, exists, file_names, write_json, write_text
+from inferlake.sources.storage import create_new, delete, exists, file_names, write_json, write_text
 
 MANIFEST_SCHEMA = ("row_id string, rank int, wave bigint, attempt bigint, ok boolean, "
                    "file string, pos bigint")
@@ -89,6 +93,7 @@ def commit(results: DataFrame, root: str, name: str, rows_per_file: int | None =
     from the part's narrow columns.
     """
     spark = results.sparkSession
+    write_text(spark, f"{root}/_begun/{name}", "begun")
     if ranks is None:
         write_part(results, root, name, rows_per_file)
         write_manifest(spark, root, name)
@@ -106,6 +111,19 @@ def _write_log(spark: SparkSession, root: str, name: str, attempt: int | None, c
     return cells
 
 
+def new_attempt(spark: SparkSession, root: str) -> int:
+    """A number, near the time in milliseconds, that no other launch of the run has."""
+    attempt = time.time_ns() // 1_000_000
+    while not create_new(spark, f"{root}/_folded/{attempt}.open", "open"):
+        attempt += 1
+    return attempt
+
+
+def fold_log(spark: SparkSession, root: str, attempt: int, entries: list[dict]) -> None:
+    """One file in place of the log entries of a launch that has ended; ``entries`` are all of them."""
+    write_text(spark, f"{root}/_folded/{attempt}.json", "".join(json.dumps(e) + "\n" for e in entries))
+
+
 def log_part(spark: SparkSession, root: str, name: str) -> list[dict]:
     """The log entry of a part that has none, from its narrow columns; a row per wave and shard."""
     part = spark.read.parquet(f"{root}/{name}")
@@ -133,8 +151,11 @@ def read_log(spark: SparkSession, root: str) -> DataFrame:
             log_part(spark, root, name)
     if not names:
         return spark.createDataFrame([], LOG_SCHEMA)
+    folded = {n.removesuffix(".json") for n in file_names(spark, f"{root}/_folded") if n.endswith(".json")}
+    single = [n for n in names if n.split("-")[1] not in folded]
+    paths = [f"{root}/_folded/{attempt}.json" for attempt in sorted(folded)] + [f"{root}/_log/{n}.json" for n in single]
     kept = spark.createDataFrame([(n,) for n in names], "part string")      # one row for each commit
-    return spark.read.schema(LOG_SCHEMA).json(f"{root}/_log").join(kept, "part", "left_semi")
+    return spark.read.schema(LOG_SCHEMA).json(paths).join(kept, "part", "left_semi")
 
 
 def log_counts(spark: SparkSession, root: str) -> DataFrame:

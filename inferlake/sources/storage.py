@@ -27,6 +27,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Full paths that match a glob; for patterns with few matches."""
+    fs, jpath = _open(spark, pattern)
+    return [s.getPath().toString() for s in fs.globStatus(jpath) or []]
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, jpath = _open(spark, path)
     out = fs.create(jpath, True)
