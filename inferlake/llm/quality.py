@@ -37,6 +37,8 @@ MAX_LANGUAGES = 1000
 #: Least lengths, and the distances beyond which a text is rejected.
 CLASS_MIN_CHARS, CLASS_LIMIT = 200, 0.25
 COMMON_MIN_WORDS, COMMON_LIMIT = 50, 0.20
+#: Bytes of texts that are measured at once; the arrays of a slice take some 100 times as much.
+MEASURED_BYTES = 1 << 18
 #: Distinct words that a task holds before it hands them on.
 HELD_WORDS = 150_000
 
@@ -192,7 +194,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter, classes = _Counter(), {}
     for batch in batches:
         langs = batch.column(1).to_pylist()
-        for texts in slices(batch.column(0)):
+        for texts in slices(batch.column(0), MEASURED_BYTES):
             found = words(texts)
             number: dict[str, int] = {}
             of_text = np.array([number.setdefault(_language(x), len(number)) for x in
@@ -342,22 +344,26 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[
     given, small = (reference, None) if reference else references(docs, text, lang)
     keep = docs.columns if keep is None else keep
     fields = [docs.schema[name] for name in keep]
+    # The text travels once: as a column that is kept, or else beside these.
+    first = 1 if text in keep else 2
+    text_at = first + keep.index(text) if text in keep else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
-            langs = batch.column(1).to_pylist()
+            langs = batch.column(0).to_pylist()
             joined = "QR_classes" in batch.schema.names
             parts = []
-            for t in slices(batch.column(0)):
+            for t in slices(batch.column(text_at), MEASURED_BYTES):
                 own = langs[t.first_row:t.first_row + len(t)]
                 parts.append(measure(t, own, joined_reference(own, batch.slice(t.first_row, len(t))) if joined else given))
             if parts:
                 added = [pa.array(np.concatenate(x), from_pandas=True) for x in zip(*parts)]
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[2:2 + len(keep)], *added], names=[*keep, *(f.name for f in ADDED)])
+                    [*batch.columns[first:first + len(keep)], *added], names=[*keep, *(f.name for f in ADDED)])
 
-    source = docs.select(F.col(text).alias("QR_text"), F.col(lang).cast("string").alias("QR_lang"), *keep)
+    beside = [] if text in keep else [F.col(text).alias("QR_text")]
+    source = docs.select(F.col(lang).cast("string").alias("QR_lang"), *beside, *keep)
     schema = T.StructType([*fields, *ADDED])
     if small is None:
         return source.mapInArrow(run, schema)
