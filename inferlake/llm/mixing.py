@@ -9,8 +9,8 @@ part, so that every source meets its target to the word.
 
 Defined results: a null text has size 0 and is taken 0 times; a null source is a source of
 its own, after all others; equal rows and equal ids are dealt one by one; an empty table
-gives an empty plan; a budget above all caps stops at the caps. Extra columns are kept,
-whatever their names, as the plan's own columns are added under ``MIX_*`` names.
+gives an empty plan; a budget above all caps stops at the caps. Extra columns are kept, whatever their names, but
+for those that have the name of a column that the plan adds (``MIX_*`` below); ``mix`` keeps these, too.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import staged
+from .tables import free_name, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document's place in its source's order is a hash, cut into this many intervals:
@@ -29,7 +29,8 @@ INTERVAL_DIGITS = 3
 #: The columns that ``mixing_plan`` adds.
 SIZE, SOURCE_SIZE, TARGET, WHOLE, PART = (
     "MIX_size", "MIX_source_size", "MIX_target", "MIX_whole", "MIX_part")
-_KEY, _PLACE, _CUT = "MIX_source", "MIX_place", "MIX_cut"
+_KEY, _PLACE, _CUT, _EXTRA, _COPY = "MIX_source", "MIX_place", "MIX_cut", "MIX_extra", "MIX_copy"
+_ADDED, _OWN = (SIZE, SOURCE_SIZE, TARGET, WHOLE, PART), (_KEY, _PLACE, _CUT, _EXTRA, _COPY)
 
 
 def word_count(text: str | Column) -> Column:
@@ -42,6 +43,12 @@ def _key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("t"))
 
 
+def _aside(docs: DataFrame) -> dict[str, str]:
+    """Other names for the input columns that have a name of this module."""
+    names = {c.lower() for c in (*_ADDED, *_OWN)}
+    return {c: free_name(docs, f"MIX_aside_{k}") for k, c in enumerate(docs.columns) if c.lower() in names}
+
+
 def source_ranks(sizes: DataFrame) -> DataFrame:
     """Number the sources from 0 in key order, without bringing them all into one task."""
     parts = staged(
@@ -93,6 +100,9 @@ def mixing_plan(docs: DataFrame, text: str = "text", source: str = "source", doc
     ``budget_halves / 2`` times all sizes. ``MIX_whole`` counts whole copies, ``MIX_part``
     the first words of one more copy.
     """
+    aside = _aside(docs)
+    docs = docs.withColumnsRenamed(aside)
+    text, source, doc_id = (aside.get(c, c) for c in (text, source, doc_id))
     sized = docs.withColumns({
         SIZE: word_count(text), _KEY: _key(source),
         _PLACE: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))})
@@ -122,18 +132,20 @@ def mixing_plan(docs: DataFrame, text: str = "text", source: str = "source", doc
     before = F.sum(SIZE).over(order.rowsBetween(Window.unboundedPreceding, -1))
     left = F.col(f"{_CUT}.left") - F.coalesce(before, F.lit(0))
     extra = F.least(F.greatest(left, F.lit(0)), F.col(SIZE))
-    sorted_rows = at_cut.withColumn("MIX_extra", extra)
+    sorted_rows = at_cut.withColumn(_EXTRA, extra)
     other = dealt.filter(~F.coalesce(inside, F.lit(False))).withColumn(
-        "MIX_extra", F.when(interval < F.col(f"{_CUT}.cut"), F.col(SIZE)).otherwise(0).cast("long"))
-    full = (F.col("MIX_extra") == F.col(SIZE)) & (F.col(SIZE) > 0)
+        _EXTRA, F.when(interval < F.col(f"{_CUT}.cut"), F.col(SIZE)).otherwise(0).cast("long"))
+    full = (F.col(_EXTRA) == F.col(SIZE)) & (F.col(SIZE) > 0)
     both = other.unionByName(sorted_rows)
+    added = {c.lower() for c in _ADDED}
     return both.withColumns({
         WHOLE: F.col(f"{_CUT}.repeats") + full.cast("long"),
-        PART: F.when(full, F.lit(0)).otherwise(F.col("MIX_extra")).cast("long"),
-    }).drop(_KEY, _PLACE, _CUT, "MIX_extra")
+        PART: F.when(full, F.lit(0)).otherwise(F.col(_EXTRA)).cast("long"),
+    }).drop(_KEY, _PLACE, _CUT, _EXTRA, *(a for c, a in aside.items() if c.lower() in added)).withColumnsRenamed(
+        {a: c for c, a in aside.items() if c.lower() not in added})
 
 
-def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", **options) -> DataFrame:
     """The mixed documents, each copy a row with its text as it was.
 
     The document at which a source's words run out is taken whole if at least half of it is
@@ -141,8 +153,11 @@ def mix(docs: DataFrame, text: str = "text", **options) -> DataFrame:
     """
     last = ((F.col(PART) > 0) & (2 * F.col(PART) >= F.col(SIZE))).cast("int")
     copies = F.col(WHOLE).cast("int") + last
-    return (mixing_plan(docs, text, **options).filter(copies > 0)
-            .withColumn("MIX_copy", F.explode(F.sequence(F.lit(1), copies))).select(*docs.columns))
+    aside = _aside(docs)
+    text, source, doc_id = (aside.get(c, c) for c in (text, source, doc_id))
+    plan = mixing_plan(docs.withColumnsRenamed(aside), text, source, doc_id, **options)
+    return (plan.filter(copies > 0).withColumn(_COPY, F.explode(F.sequence(F.lit(1), copies)))
+            .select(*(F.col(aside.get(c, c)).alias(c) for c in docs.columns)))
 
 
 def taken() -> Column:

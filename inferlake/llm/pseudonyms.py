@@ -15,8 +15,12 @@ they were. Dates and social security numbers are permuted again until they are v
 (cycle walking, at most ``WALKS`` steps: a date needs more with a probability under 1e-20).
 
 Defined results: a null text stays null, an empty one empty; what isn't valid stays as it is;
-equal rows get equal results; an empty table gives an empty result. Extra columns are kept; the
-operator's own are ``PII_found`` (values replaced, by kind) and ``PII_text``.
+equal rows get equal results; an empty table gives an empty result. Extra columns are kept, whatever their
+names; the operator's own are ``PII_found`` (values replaced, by kind) and ``PII_text``, which replace input
+columns of these names. A key that is null fails the query.
+
+The key reaches the tasks as a column that a one-row table gives; it is no part of the plan, so neither
+``explain()`` nor the event log shows it.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import free_name
+
 ROUNDS = 8
 WALKS = 64
 FIRST_DAY, DAYS = "1900-01-01", 73049
@@ -44,8 +50,9 @@ KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def _quoted(text: str) -> str:
-    return "r'" + text.replace("'", "\\'") + "'"
+def _quoted(pattern: str) -> str:
+    """A pattern (without quotes) as an SQL string."""
+    return f"r'{pattern}'"
 
 
 def _bind(value: str, name: str, body: str) -> str:
@@ -120,23 +127,29 @@ def pseudonym(match: str, key: str) -> str:
     return f"CASE {cases} END"
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """``docs`` with ``PII_text`` and ``PII_found`` (a struct with a count for each kind)."""
-    column = f"`{text}`"
+def pseudonymise(docs: DataFrame, key: str | DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` with ``PII_text`` and ``PII_found`` (a struct with a count for each kind).
+
+    ``key`` is the secret itself, or a table with one row and one column that holds it.
+    """
+    secret = key if isinstance(key, DataFrame) else docs.sparkSession.createDataFrame([(key,)], "key string")
+    key_at, matches, made = (free_name(docs, name) for name in ("PII_key", "PII_matches", "PII_made"))
+    column = "`" + text.replace("`", "``") + "`"
     pattern = _quoted("|".join(f"(?:{p})" for p in PATTERNS.values()))
-    key_sql = _quoted(key)
-    found = docs.withColumn("PII_matches", F.expr(
-        f"CASE WHEN {column} rlike '[0-9@]' THEN regexp_extract_all({column}, {pattern}, 0) ELSE array() END"))
+    found = docs.withColumns({
+        key_at: F.coalesce(secret.scalar(), F.raise_error(F.lit("no key for the pseudonyms"))),
+        matches: F.expr(
+            f"CASE WHEN {column} rlike '[0-9@]' THEN regexp_extract_all({column}, {pattern}, 0) ELSE array() END")})
     result = "named_struct('kind', p.kind, 'to', coalesce(p.made, m), 'valid', p.made IS NOT NULL)"
-    made = found.withColumn("PII_made", F.expr(f"transform(PII_matches, m -> {_bind(pseudonym('m', key_sql), 'p', result)})"))
+    filled = found.withColumn(made, F.expr(f"transform({matches}, m -> {_bind(pseudonym('m', key_at), 'p', result)})"))
     # The text between matches, one piece more than there are matches.
-    joined = (f"array_join(flatten(zip_with(split({column}, {pattern}, -1), PII_made, "
+    joined = (f"array_join(flatten(zip_with(split({column}, {pattern}, -1), {made}, "
               "(p, m) -> array(p, coalesce(m.to, '')))), '')")
-    counts = F.struct(*(F.expr(f"cast(size(filter(PII_made, m -> m.valid AND m.kind = '{k}')) AS long)").alias(k) for k in KINDS))
-    return made.withColumns({
-        "PII_text": F.expr(f"CASE WHEN size(PII_matches) > 0 THEN {joined} ELSE {column} END"),
+    counts = F.struct(*(F.expr(f"cast(size(filter({made}, m -> m.valid AND m.kind = '{k}')) AS long)").alias(k) for k in KINDS))
+    return filled.withColumns({
+        "PII_text": F.expr(f"CASE WHEN size({matches}) > 0 THEN {joined} ELSE {column} END"),
         "PII_found": counts,
-    }).drop("PII_matches", "PII_made")
+    }).drop(key_at, matches, made)
 
 
 def found_in_total(found: str | Column = "PII_found") -> Column:

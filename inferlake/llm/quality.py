@@ -14,7 +14,7 @@ language is a language of its own; every language has its own reference. Those w
 most ``2 * MAX_LANGUAGES`` whatever the data; those of the others are joined to their documents by language. A language
 that a reference given by the caller lacks gets null distances and the base rules only;
 equal counts rank words by their hash; equal rows get equal results; an empty table gives an empty result. Extra columns
-are kept; the operator's own are named ``QR_*``.
+are kept, whatever their names; the operator's own are those of ``ADDED``, which replace input columns of these names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import staged
+from .tables import free_name, staged
 from .words import Texts, Words, keep_only, mix, slices, span_hashes, window_hashes, words, _LOWER
 
 MIN_WORDS = 10
@@ -298,13 +298,13 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
 
 
 def joined_reference(langs: list, rows: pa.RecordBatch) -> Reference:
-    """Reference of the languages of some documents, from the columns joined to them."""
+    """Reference of the languages of some documents, from the last columns of ``rows``: counts by class, total, words."""
     first: dict[str, int] = {}
     for k, x in enumerate(langs):
         first.setdefault(_language(x), k)
     common, classes = {}, {}
     for name, k in first.items():
-        by_class, total, ranked = (rows.column(c)[k].as_py() for c in ("QR_classes", "QR_total", "QR_ranked"))
+        by_class, total, ranked = (c[k].as_py() for c in rows.columns[-3:])
         common[name] = [(x["word"], x["n"]) for x in ranked or ()], total
         classes[name] = np.zeros(len(CLASSES))
         for x in by_class:
@@ -342,17 +342,17 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[
             reference: Reference | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with the ``QR_*`` columns."""
     given, small = (reference, None) if reference else references(docs, text, lang)
-    keep = docs.columns if keep is None else keep
+    own = {f.name.lower() for f in ADDED}
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in own]
     fields = [docs.schema[name] for name in keep]
     # The text travels once: as a column that is kept, or else beside these.
     first = 1 if text in keep else 2
     text_at = first + keep.index(text) if text in keep else 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], joined: bool = False) -> Iterator[pa.RecordBatch]:
         keep_only()
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            joined = "QR_classes" in batch.schema.names
             parts = []
             for t in slices(batch.column(text_at), MEASURED_BYTES):
                 own = langs[t.first_row:t.first_row + len(t)]
@@ -362,13 +362,17 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[first:first + len(keep)], *added], names=[*keep, *(f.name for f in ADDED)])
 
-    beside = [] if text in keep else [F.col(text).alias("QR_text")]
-    source = docs.select(F.col(lang).cast("string").alias("QR_lang"), *beside, *keep)
+    lang_at, text_alone, name_at = (free_name(docs, c) for c in ("QR_lang", "QR_text", "QR_name"))
+    beside = [] if text in keep else [F.col(text).alias(text_alone)]
+    source = docs.select(F.col(lang).cast("string").alias(lang_at), *beside, *keep)
     schema = T.StructType([*fields, *ADDED])
     if small is None:
         return source.mapInArrow(run, schema)
-    name = _name(F.col("QR_lang"))
+    name = _name(F.col(lang_at))
     large = name.isin([x for x in given.number if x is not None])
-    of_small = source.filter(~large).withColumn("QR_name", name).join(small, "QR_name").select(
-        *(source[c] for c in source.columns), "QR_classes", "QR_total", "QR_ranked")
-    return source.filter(large).mapInArrow(run, schema).union(of_small.mapInArrow(run, schema))
+    small = small.select(F.col("QR_name").alias(name_at), *(
+        F.col(c).alias(free_name(docs, c)) for c in ("QR_classes", "QR_total", "QR_ranked")))
+    of_small = source.filter(~large).withColumn(name_at, name).join(small, name_at).select(
+        *source.columns, *small.columns[1:])
+    return source.filter(large).mapInArrow(run, schema).union(
+        of_small.mapInArrow(lambda batches: run(batches, True), schema))
