@@ -10,9 +10,11 @@ distance decides each window.
 Items are handed to the tasks in blocks of about ``BLOCK_CHARS`` characters, one pass over
 the documents for each block, so nothing sent to a task grows with the number of items.
 
-Defined results: null and empty texts match nothing; items under ``MIN_CHARS``
-characters in normal form (null and empty ones, too) are no evidence of a leak and match
-nothing; equal items are each reported; equal rows are each reported; of several
+An item under ``MIN_CHARS`` characters in normal form may stand in a text by chance. It has no errors to
+spare and is found where it stands as whole words; ``matches`` reports it as ``weak``, and ``drop_contaminated``
+keeps such documents unless told otherwise.
+
+Defined results: null and empty texts match nothing; null and empty items match nothing; equal items are each reported; equal rows are each reported; of several
 passages the one with the least distance counts, then the first; an empty table on either
 side gives an empty result. Extra columns are kept by ``drop_contaminated`` only.
 """
@@ -83,12 +85,12 @@ def best_end(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 class Matcher:
     """All items of a block, ready to be looked for."""
 
-    def __init__(self, items: list[tuple[object, str]], rate: float):
+    def __init__(self, items: list[tuple[object, str]], rate: float, weak: bool = True):
         by_text: dict[str, list] = {}
         for item_id, text in items:
             by_text.setdefault(normal(text), []).append(item_id)
-        self.items = [(text, ids, budget(len(text), rate)) for text, ids in sorted(by_text.items())
-                      if len(text) >= MIN_CHARS]
+        self.items = [(text, ids, budget(len(text), rate) if len(text) >= MIN_CHARS else 0)
+                      for text, ids in sorted(by_text.items()) if text and (weak or len(text) >= MIN_CHARS)]
         self.masks: dict[int, tuple[dict, dict]] = {}
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (text, _, errors) in enumerate(self.items):
@@ -107,15 +109,21 @@ class Matcher:
         return self.masks[k]
 
     def find(self, text: str | None) -> list[tuple]:
-        """(item id, distance, begin, end) in the normal form, the best of each item."""
+        """(item id, distance, begin, end, weak) in the normal form, the best of each item."""
         if not self.items or not text:
             return []
         body = normal(text)
         diagonals: dict[int, list[int]] = {}
+        short: dict[int, int] = {}
         for end, (length, places) in self.automaton.iter(body):
+            begin = end + 1 - length
             for k, offset in places:
-                diagonals.setdefault(k, []).append(end + 1 - length - offset)
-        out = []
+                if len(self.items[k][0]) >= MIN_CHARS:
+                    diagonals.setdefault(k, []).append(begin - offset)
+                elif body[begin - 1:begin] in ("", " ") and body[end + 1:end + 2] in ("", " "):
+                    short.setdefault(k, begin)
+        out = [(item_id, 0, begin, begin + len(self.items[k][0]), True)
+               for k, begin in sorted(short.items()) for item_id in self.items[k][1]]
         for k, starts in sorted(diagonals.items()):
             item, ids, errors = self.items[k]
             best = None
@@ -127,7 +135,7 @@ class Matcher:
                     back, length = best_end(self._masks(k)[1], len(item), window[:at][::-1])
                     best = distance, begin + at - length, begin + at
             if best:
-                out += [(item_id, *best) for item_id in ids]
+                out += [(item_id, *best, False) for item_id in ids]
         return out
 
 
@@ -156,13 +164,14 @@ def _blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple]]:
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text",
             item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """(doc_id, item_id, distance, begin, end) of each document and each item it holds.
+    """(doc_id, item_id, distance, begin, end, weak) of each document and each item it holds.
 
-    Begin and end count characters of the document's normal form.
+    Begin and end count characters of the document's normal form; ``weak`` marks short items.
     """
     out = T.StructType([
         T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("item_id", items.schema[item_id].dataType),
-        *(T.StructField(n, T.LongType()) for n in ("distance", "begin", "end"))])
+        *(T.StructField(n, T.LongType()) for n in ("distance", "begin", "end")),
+        T.StructField("weak", T.BooleanType())])
     result = docs.sparkSession.createDataFrame([], out)
     item_type = to_arrow_type(out["item_id"].dataType)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -180,20 +189,21 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                     columns = list(zip(*found))
                     yield pa.RecordBatch.from_arrays(
                         [batch.column(0).take(pa.array(ids)), pa.array(columns[0], item_type),
-                         *(pa.array(c, pa.int64()) for c in columns[1:])],
+                         *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4])],
                         names=[f.name for f in out.fields])
         result = result.unionByName(source.mapInArrow(run, out))
     return result
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id",
-                      item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs`` that hold no item; every column is kept, and no row is moved."""
+                      item_text: str = "text", rate: float = RATE, weak: bool = False) -> DataFrame:
+    """The rows of ``docs`` that hold no item (with ``weak``: no short one either); every column is kept, and no
+    row is moved."""
     place = docs.columns.index(text)
     for block in _blocks(items, item_id, item_text):
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             keep_only()
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, weak)
             for batch in batches:
                 clean = [not matcher.find(body.as_py()) for body in batch.column(place)]
                 if any(clean):

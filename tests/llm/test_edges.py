@@ -99,3 +99,13 @@ def test_quality_judges_rare_languages_by_themselves(spark, monkeypatch):
         assert r.asDict() == pytest.approx(together[key].asDict())
     _, table = quality.references(spark.createDataFrame(large + small, schema))
     assert {r["QR_name"] for r in table.collect()} == {"sxx", "t"}
+
+
+def test_short_items_are_weak_evidence(spark):
+    items = spark.createDataFrame([(1, "B  c"), (2, "ne"), (3, "one"), (4, "a b c d"), (5, None), (6, " \n")], "item_id long, text string")
+    found = decontam.matches(edge(spark), items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"], r["begin"], r["end"]) for r in found) == [
+        (6, 3, 0, 0, 3), (7, 3, 0, 0, 3), (8, 1, 0, 2, 5), (8, 4, 0, 0, 7)]
+    assert all(r["weak"] for r in found)
+    assert decontam.drop_contaminated(edge(spark), items).count() == len(rows())
+    assert decontam.drop_contaminated(edge(spark), items, weak=True).count() == len(rows()) - 3
