@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import keep_only
+from .words import keep_only, tidied
 
 RATE = 0.08
 MIN_CHARS = 25
@@ -191,7 +191,7 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
                         [batch.column(0).take(pa.array(ids)), pa.array(columns[0], item_type),
                          *(pa.array(c, pa.int64()) for c in columns[1:4]), pa.array(columns[4])],
                         names=[f.name for f in out.fields])
-        result = result.unionByName(source.mapInArrow(run, out))
+        result = result.unionByName(source.mapInArrow(tidied(run), out))
     return result
 
 
@@ -208,5 +208,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", ite
                 clean = [not matcher.find(body.as_py()) for body in batch.column(place)]
                 if any(clean):
                     yield batch.filter(pa.array(clean))
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

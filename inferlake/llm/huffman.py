@@ -30,7 +30,7 @@ from inferlake.session import shared_path
 
 from .packing import pack, unpack
 from .tables import release, staged
-from .words import keep_only, slices, tidy
+from .words import keep_only, slices, tidied
 from .wordbpe import encoder
 
 LIMIT = 18
@@ -144,7 +144,6 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None, doc_id: str, tex
                     pa.array(np.searchsorted(cuts, keys, "left").astype(np.int32)), ids, pa.array(counts),
                     pa.array([pack(flat[e - c:e]) for e, c in zip(ends.tolist(), counts.tolist())], pa.binary())],
                     names=["part", "doc_id", "n", "ids"])
-        tidy()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = place = before = None
@@ -165,9 +164,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int | None, doc_id: str, tex
                           T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
     then = T.StructType([first["part"], T.StructField("place", T.LongType()), first["doc_id"],
                          T.StructField("before", T.LongType()), first["n"], first["ids"]])
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(encode, first)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(encode), first)
     return (rows.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "n", "ids")
-            .mapInArrow(number, then))
+            .mapInArrow(tidied(number), then))
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +195,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
     spark = docs.sparkSession
     rows = staged(tokenized(docs, tokenizer, end, doc_id, text), "token-ids")
     release(spark)
-    counts = rows.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counts = rows.select("ids").mapInArrow(tidied(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts.sort()
     bits = code_lengths(np.array([r["n"] for r in counts], dtype=np.int64))
     spark.createDataFrame([(r["id"], int(b)) for r, b in zip(counts, bits)], "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
@@ -228,10 +227,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None,
                 size += row[6]
         if held:
             yield close()
-        tidy()
 
     (rows.join(starts, "part").select("part", "place", "doc_id", "before", "ids", "first", "n")
-     .mapInArrow(encode, BLOCKS).write.parquet(f"{path}/blocks"))
+     .mapInArrow(tidied(encode), BLOCKS).write.parquet(f"{path}/blocks"))
 
 
 def _codes(spark: SparkSession, path: str) -> Codes:
@@ -249,7 +247,6 @@ def _decoded(batches: Iterator[pa.RecordBatch], codes: Codes) -> Iterator[tuple[
             tokens = codes.decode(payload.as_buffer(), np.frombuffer(offsets.as_buffer(), "<i8"), int(sizes.sum()))
             ends = np.cumsum(sizes)
             yield doc_ids.values, start.as_py() + ends - sizes, ends, tokens.astype("<u4")
-    tidy()
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -266,7 +263,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([doc_ids, pa.array(starts), pa.array(parts, pa.binary())],
                                              names=["doc_id", "start", "ids"])
 
-    return _blocks(spark, path).mapInArrow(run, "doc_id long, start long, ids binary")
+    return _blocks(spark, path).mapInArrow(tidied(run), "doc_id long, start long, ids binary")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -280,7 +277,7 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 [doc_ids, pa.array(starts), pa.array([len(x) for x in parts], pa.int64()),
                  pa.array([zlib.crc32(x) for x in parts], pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return _blocks(spark, path).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return _blocks(spark, path).mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def written_and_read(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:

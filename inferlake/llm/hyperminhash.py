@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from .bitmap import bitmap, passes
 from .components import components
 from .tables import release, staged
-from .words import SHINGLE, keep_only, mix, shingles, slices, words
+from .words import SHINGLE, keep_only, mix, shingles, slices, tidied, words
 
 ROWS, BANDS = 4, 32
 MANTISSA = 10
@@ -223,9 +223,9 @@ def _clusters(nodes: DataFrame) -> DataFrame:
     Bands alone are counted first; nodes travel only with bands that occur twice or more.
     """
     regs = nodes.select("node", "regs")
-    shared = staged(regs.mapInArrow(_bands(None), "band long").groupBy("band").count().filter("count > 1")
+    shared = staged(regs.mapInArrow(tidied(_bands(None)), "band long").groupBy("band").count().filter("count > 1")
                     .select("band"), "near-bands")
-    members = staged(regs.mapInArrow(_bands(bitmap(shared, "band")), "band long, node binary")
+    members = staged(regs.mapInArrow(tidied(_bands(bitmap(shared, "band"))), "band long, node binary")
                      .join(shared, "band", "left_semi"), "near-members")
     low = members.groupBy("band").agg(F.min("node").alias("low"))
     stars = members.join(low, "band").select(F.col("node").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
@@ -240,7 +240,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, doc_id: str, text: st
     # The bitmap spares the texts of all other documents a shuffle.
     ids = bitmap(wanted.select(F.xxhash64("doc").alias("h")), "h")
     sets = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(doc_id).alias("h"))
-            .mapInArrow(_sets_of(ids), _schema(docs, doc_id, "sets")))
+            .mapInArrow(tidied(_sets_of(ids)), _schema(docs, doc_id, "sets")))
     sets = sets.filter("node is not null").select("node", "sets")
     sets = sets.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     blocks = wanted.groupBy("root").agg(
@@ -252,7 +252,7 @@ def links(docs: DataFrame, nodes: DataFrame, percent: int, doc_id: str, text: st
         "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         "node", F.col("own").alias("side"), "regs", "sets")
     return pairs.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(
-        _verify(percent), "a binary, b binary")
+        tidied(_verify(percent)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(narrow.mapInArrow(lambda b: _sets(b, False), _schema(docs, doc_id, "regs")), "near-registers")
+    rows = staged(narrow.mapInArrow(tidied(lambda b: _sets(b, False)), _schema(docs, doc_id, "regs")), "near-registers")
     nodes = staged(rows.filter("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("regs").alias("regs"),
         F.count("*").alias("copies")), "near-nodes")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tables import free_name, staged
-from .words import Texts, Words, keep_only, mix, slices, span_hashes, window_hashes, words, _LOWER
+from .words import Texts, Words, keep_only, mix, slices, span_hashes, tidied, window_hashes, words, _LOWER
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -265,7 +265,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple
     Counts over all documents; what reaches the driver is bounded by ``2 * MAX_LANGUAGES`` languages.
     """
     gathered = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).mapInArrow(
-        _gather, "lang string, word long, class int, n long")
+        tidied(_gather), "lang string, word long, class int, n long")
     counts = gathered.groupBy("lang", "word", "class").agg(F.sum("n").alias("n"))
     counts = staged(counts, "quality-counts")
     totals = counts.groupBy("lang").agg(
@@ -367,12 +367,12 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep: list[
     source = docs.select(F.col(lang).cast("string").alias(lang_at), *beside, *keep)
     schema = T.StructType([*fields, *ADDED])
     if small is None:
-        return source.mapInArrow(run, schema)
+        return source.mapInArrow(tidied(run), schema)
     name = _name(F.col(lang_at))
     large = name.isin([x for x in given.number if x is not None])
     small = small.select(F.col("QR_name").alias(name_at), *(
         F.col(c).alias(free_name(docs, c)) for c in ("QR_classes", "QR_total", "QR_ranked")))
     of_small = source.filter(~large).withColumn(name_at, name).join(small, name_at).select(
         *source.columns, *small.columns[1:])
-    return source.filter(large).mapInArrow(run, schema).union(
-        of_small.mapInArrow(lambda batches: run(batches, True), schema))
+    return source.filter(large).mapInArrow(tidied(run), schema).union(
+        of_small.mapInArrow(tidied(lambda batches: run(batches, True)), schema))

@@ -95,6 +95,14 @@ def tidy() -> None:
         pass
 
 
+def tidied(step):
+    """``step`` (batches to batches), whose process gives its freed memory back when the task ends."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        tidy()   # after the step's own variables are gone
+    return run
+
+
 @dataclass
 class Texts:
     """Bytes of some texts, end to end; text ``i`` is ``data[offsets[i]:offsets[i+1]]``."""
