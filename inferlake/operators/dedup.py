@@ -32,14 +32,14 @@ def content_dedup(df: DataFrame, column: str, id_column: str) -> DataFrame:
 
 def attach_to_all_rows(df: DataFrame, column: str, id_column: str, results: DataFrame,
                        copies: DataFrame, total: int,
-                       hot_copies: int = HOT_COPIES) -> DataFrame:
+                       hot_copies: int = HOT_COPIES, keep_salt: bool = False) -> DataFrame:
     """Every row of ``df`` with the result of its content (``results`` keyed by row_id).
 
     ``copies`` is (row_id, n_copies). Contents above a threshold are salted: their
     result row is repeated once for each ``threshold`` copies, and their source rows spread over
     the repeats by their own id, so about as many meet under a salted key whatever share of the table a content has.
     Of ``total`` rows at most MAX_HOT contents can pass the threshold, so the hot
-    list may be broadcast.
+    list may be broadcast. ``keep_salt`` leaves the salt in the result, to see how rows were spread.
     """
     threshold = max(hot_copies, total // MAX_HOT)
     hot = (copies.where(F.col("n_copies") > threshold)
@@ -53,4 +53,5 @@ def attach_to_all_rows(df: DataFrame, column: str, id_column: str, results: Data
               .withColumn("salt", F.explode(
                   F.sequence(F.lit(0), F.coalesce("spread", F.lit(1)) - 1)))
               .drop("spread"))
-    return keyed.join(salted, ["row_id", "salt"], "left").drop("salt")
+    joined = keyed.join(salted, ["row_id", "salt"], "left")
+    return joined if keep_salt else joined.drop("salt")

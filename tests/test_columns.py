@@ -105,6 +105,17 @@ def test_hot_content_is_spread_and_complete(spark):
     assert {r.id for r in rows} == set(range(3000))
 
 
+def test_no_salted_key_of_a_hot_content_is_large(spark):
+    docs = spark.range(6000).select(
+        "id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    copies = dedup.distinct_contents(docs, "text", "id").select("row_id", "n_copies")
+    results = copies.select("row_id", F.lit("r").alias("response"))
+    for size in (50, 400):
+        joined = dedup.attach_to_all_rows(docs, "text", "id", results, copies, 6000, hot_copies=size, keep_salt=True)
+        keys = joined.groupBy("row_id", "salt").count().agg(F.max("count"), F.sum("count")).first()
+        assert keys[0] <= 2 * size and keys[1] == 6000
+
+
 def test_bad_bodies_are_errors(spark):
     bodies = ["{}", None, "oops", '{"data":[{"embedding":[1.0]}]}', '{"choices":[]}',
               '{"choices":[{"message":{"content":"hi"}}],"usage":{"prompt_tokens":3}}']
