@@ -5,7 +5,8 @@ import pytest
 
 from inferlake import SpecError, ocr
 from inferlake.functions.sizing import resize_plan
-from inferlake.plans import runs
+from inferlake.plans import generations, queries_rows, runs
+from inferlake.sources import pages as page_source
 from inferlake.sources.pages import glob_regex, list_pages, read_group, split_glob
 
 NAMES = ["a.png", "b.jpg", "x/c.png", "x/y/d[1].png", "x/y/e f.png", "x/z.txt"]
@@ -87,6 +88,59 @@ def test_pages_run_resumes_per_page(spark, scans, tmp_path, monkeypatch):
         ocr(spark, "org/dataset", model="tag-stripper", output=out)
 
 
+def test_a_grown_page_run_reads_every_new_page(spark, tmp_path):
+    """Pages of a later generation are found in their group, whatever number its first wave has."""
+    root, out = tmp_path / "scans", str(tmp_path / "out")
+    root.mkdir()
+    for n in range(30):
+        (root / f"{n}.txt").write_text(f"<p>{n}</p>")
+    groups = list_pages(spark, f"{root}/*.txt", "_metadata.file_path").selectExpr("row_id", "pmod(xxhash64(file_path), 3) g")
+    first = [r.row_id for r in groups.where("g < 2").limit(3).collect()]
+    for n in range(30):
+        if f"{n}.txt" not in first:
+            (root / f"{n}.txt").unlink()
+    options = dict(model="tag-stripper", output=out, wave_units=1)
+    ocr(spark, f"{root}/*.txt", **options)
+    for n in range(30, 36):
+        (root / f"{n}.txt").write_text(f"<p>{n}</p>")
+    grown = ocr(spark, f"{root}/*.txt", **options)
+    assert {r.row_id for r in grown.results().collect()} == {*first, *(f"{n}.txt" for n in range(30, 36))}
+    # the waves of the new pages are those that the hash of their paths names
+    units = generations.read_units(spark, out).join(
+        list_pages(spark, f"{root}/*.txt", "_metadata.file_path").select("row_id", "file_path"), "row_id")
+    assert units.where("pmod(xxhash64(file_path), 3) <> pmod(wave, 3)").isEmpty()
+
+
+def test_a_page_wave_lists_its_own_files(spark, scans, tmp_path, monkeypatch):
+    listed = []
+    real = page_source._load
+    monkeypatch.setattr(page_source, "_load", lambda s, paths: listed.append(paths) or real(s, paths))
+    done = ocr(spark, f"{scans}/**/*.png", model="tag-stripper", output=str(tmp_path / "out"), wave_units=1)
+    waves = [p for p in listed if isinstance(p, list)]
+    assert done.results().count() == sum(map(len, waves)) == 4
+    assert len(listed) - len(waves) <= 3                   # the folder, whatever the number of waves
+
+
+def test_folders_are_listed_in_a_few_tasks(spark, tmp_path, monkeypatch):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before, seen = spark.conf.get(key), []
+    real = type(spark.read).load
+    monkeypatch.setattr(type(spark.read), "load", lambda *a, **k: seen.append(int(spark.conf.get(key))) or real(*a, **k))
+    (tmp_path / "a.txt").write_text("a")
+    assert list_pages(spark, f"{tmp_path}/*.txt").count() == 1
+    assert seen == [4 * spark.sparkContext.defaultParallelism] and spark.conf.get(key) == before
+
+
+def test_page_folder_holds_a_file_for_each_id(spark, tmp_path):
+    rows = [(1, "a"), (2, None), (None, "é"), (3, ""), (1, "b\n")]
+    spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    root = queries_rows.page_folder(spark, str(tmp_path))
+    found = list_pages(spark, f"{root}/**/*.txt", "content").collect()
+    got = {r.row_id.split("/")[0].split("=")[1]: bytes(r.content).decode() for r in found}
+    assert len(found) == 4 and sorted(got.pop("1")) == sorted("a\nb\n\n")
+    assert got == {"2": "\n", "3": "\n", "__HIVE_DEFAULT_PARTITION__": "é\n"}
+
+
 @pytest.mark.parametrize("w,h,target", [(3000, 2000, 1540), (100, 1540, 1540), (5, 2, 1), (7, 3, 0),
                                         (1000, 5, 500), (3, 1000, 500)])
 def test_resize_plan_is_half_to_even(spark, w, h, target):
