@@ -2,6 +2,7 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inferlake import SpecError, ocr
 from inferlake.functions.sizing import resize_plan
@@ -131,6 +132,15 @@ def test_folders_are_listed_in_a_few_tasks(spark, tmp_path, monkeypatch):
     assert seen == [4 * spark.sparkContext.defaultParallelism] and spark.conf.get(key) == before
 
 
+def test_a_listing_of_many_files_takes_few_tasks(spark, tmp_path):
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    for n in range(32 * tasks + 64):
+        (tmp_path / f"{n}.txt").write_text("a")
+    listed = list_pages(spark, f"{tmp_path}/*.txt")
+    assert listed.count() == 32 * tasks + 64
+    assert listed.select(F.spark_partition_id()).distinct().count() <= tasks
+
+
 def test_page_folder_holds_a_file_for_each_id(spark, tmp_path):
     rows = [(1, "a"), (2, None), (None, "é"), (3, ""), (1, "b\n")]
     spark.createDataFrame(rows, "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
