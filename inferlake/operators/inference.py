@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 EMBEDDING_RESULT = ("embeddings array<array<float>>, n_texts int, "
                     "prompt_tokens bigint, error string")
+PIECE_BYTES = 4 << 20
 CHAT_RESULT = ("response string, prompt_tokens bigint, "
                "completion_tokens bigint, error string")
 
@@ -42,6 +43,17 @@ def _answers(model, requests: Iterable[dict]) -> Iterator[tuple[dict | None, str
                     yield None, _message(single)
 
 
+def _pieces(batches: Iterable[pa.Array], group: int) -> Iterator[pa.Array]:
+    """Slices of a few megabytes, of whole groups of requests. Spark fills an Arrow batch with up to 64 MB; as Python objects
+    its rows would take many times that. Results are handed on a slice at a time, and Arrow gives memory back after a batch."""
+    for batch in batches:
+        rows = PIECE_BYTES * len(batch) // max(1, batch.nbytes) // group * group or group
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 def _message(exc: Exception) -> str:
     return f"{type(exc).__name__}: {exc}"
 
@@ -66,8 +78,9 @@ def embed_column(texts: Column, name: str, factory: Callable) -> Column:
     @F.arrow_udf(EMBEDDING_RESULT)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
-        for batch in batches:
+        for batch in _pieces(batches, max(1, getattr(model, "group_size", 1))):
             inputs = batch.to_pylist()
+            del batch
             vectors, counts, tokens, errors = [], [], [], []
             answers = _answers(model, ({"model": name, "input": t} for t in inputs))
             for given, (body, error) in zip(inputs, answers):
@@ -98,9 +111,10 @@ def chat_column(content: Column, factory: Callable, to_request: Callable) -> Col
     @F.arrow_udf(CHAT_RESULT)
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = factory()
-        for batch in batches:
-            rows = []
-            for body, error in _answers(model, (to_request(v.as_py()) for v in batch)):
+        for batch in _pieces(batches, max(1, getattr(model, "group_size", 1))):
+            contents, rows = batch.to_pylist(), []
+            del batch
+            for body, error in _answers(model, map(to_request, contents)):
                 row = {"response": None, "prompt_tokens": None, "completion_tokens": None}
                 if error is None:
                     try:

@@ -44,3 +44,28 @@ def test_filter_reaches_the_scan(spark, plan_of):
     plan = plan_of(clean_text(docs.select("doc_id", "text"), "text"))
     assert "PushedFilters: [IsNotNull(text)]" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_large_batches_become_python_objects_a_few_megabytes_at_a_time():
+    import pyarrow as pa
+
+    from inferlake.operators.inference import PIECE_BYTES, _pieces
+
+    batch = pa.array([[f"{n}" * 1000] * 10 for n in range(1000, 2000)], pa.list_(pa.string()))    # 40 MB
+    pieces = list(_pieces(iter([batch, batch.slice(0, 0), batch.slice(0, 3)]), 8))
+    assert max(p.nbytes for p in pieces) <= 1.1 * PIECE_BYTES and all(len(p) % 8 == 0 for p in pieces[:-1])
+    assert [v for p in pieces for v in p.to_pylist()] == [*batch.to_pylist(), *batch.slice(0, 3).to_pylist()]
+
+
+def test_batches_of_several_pieces_give_every_result(spark):
+    from pyspark.sql import functions as F
+
+    from inferlake.models import build
+    from inferlake.operators import inference
+
+    rows = spark.range(64).select("id", F.repeat(F.lit("word "), 100_000).alias("text")).coalesce(1)
+    got = inference.generate_rows(rows, "text", "echo", build("echo")).where("error is null")
+    assert got.select(F.sum("prompt_tokens")).head()[0] == 64 * 500_000
+    units = rows.select("id", F.array("text", "text").alias("texts"))
+    got = inference.embed_units(units, "hash-embedder", build("hash-embedder")).agg(F.sum("n_texts"), F.sum("prompt_tokens")).head()
+    assert tuple(got) == (128, 128 * 100_000)
