@@ -4,7 +4,7 @@ For tokenizers that lower-case, drop white space, and cut words into runs of let
 digits and runs of signs, a text's ids are those of its pieces one after the other. Words of
 plain letters, digits and signs are cut here, with numpy; any other word (apostrophes, special
 tokens, other scripts, controls) goes to the tokenizer whole. Pieces are told apart by
-64-bit hashes; the ids of the pieces seen are held by the Python process, up to ``HELD_BYTES``.
+64-bit hashes; the ids of the pieces seen are held by the Python process in sorted arrays, up to ``HELD_BYTES``.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from tokenizers import Tokenizer
 from .words import Texts, keep_only, process_cache, span_hashes, words, _IN_WORD, _LOWER
 
 HELD_BYTES = 24 << 20
-PIECE_BYTES = 180    # of a piece that is held, besides its ids: the hash, two objects, its share of the table
 SPACE, LETTER, DIGIT, SIGN, WHOLE = range(5)
 
 _KIND = np.full(256, WHOLE, dtype=np.uint8)
@@ -69,16 +68,38 @@ def _cut(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.letters = {b: c for b, c in enumerate(_byte_letters())}
-        self.known: dict[int, bytes] = {}
-        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table of pieces: sorted hashes, and where the ids of each begin and how many they are."""
+        self.hashes, self.begins = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64)
+        self.sizes, self.ids = np.empty(0, dtype=np.int64), np.zeros(1, dtype=np.uint32)
+
+    @property
+    def held(self) -> int:
+        return self.hashes.nbytes + self.begins.nbytes + self.sizes.nbytes + self.ids.nbytes
 
     def _piece(self, piece: bytes, kind: int) -> bytes:
         """Ids of one piece as 32-bit numbers."""
         if kind == WHOLE:
             return array("I", self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids).tobytes()
-        spelled = piece.decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+        spelled = piece.decode("ascii") if piece.isascii() else piece.decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where sorted hashes stand, or belong, in the table; which are in it."""
+        place = np.searchsorted(self.hashes, hashes)
+        there = np.append(self.hashes, np.uint64(0))[place] == hashes
+        return place, there & (place < len(self.hashes))
+
+    def _learn(self, place: np.ndarray, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        self.begins = np.insert(self.begins, place, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes = np.insert(self.sizes, place, sizes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(pieces), np.uint32)])
 
     def encode(self, texts: Texts, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice, and how many each text has; ``end`` closes every text."""
@@ -86,28 +107,28 @@ class WordEncoder:
         hashes = span_hashes(data, starts, ends) ^ (kinds == WHOLE).astype(np.uint64)
         hashes, at, back = np.unique(hashes, return_index=True, return_inverse=True)
         if self.held > HELD_BYTES:
-            self.known.clear()
-            self.held = 0
-        ids = list(map(self.known.get, hashes.tolist()))
-        new = [k for k, x in enumerate(ids) if x is None]
-        if new:
+            self._forget()
+        place, there = self._places(hashes)
+        new = np.flatnonzero(~there)
+        if len(new):
             body, first = data.tobytes(), at[new]
-            for k, h, s, e, kind in zip(new, hashes[new].tolist(), starts[first].tolist(), ends[first].tolist(),
-                                        kinds[first].tolist()):
-                ids[k] = self.known[h] = self._piece(body[s:e], kind)
-                self.held += PIECE_BYTES + len(ids[k])
+            self._learn(place[new], hashes[new], [
+                self._piece(body[s:e], kind)
+                for s, e, kind in zip(starts[first].tolist(), ends[first].tolist(), kinds[first].tolist())])
+            place, _ = self._places(hashes)
         # The end id is one more piece of every text.
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        table = np.frombuffer(b"".join(ids) + (b"" if end is None else np.uint32(end).tobytes()), np.uint32)
-        sizes = np.append(sizes, 0 if end is None else 1)
-        begins = (np.cumsum(sizes) - sizes)
-        order = np.insert(back, np.cumsum(counts), len(ids))
+        sizes = np.append(self.sizes[place], 0 if end is None else 1)
+        begins = np.append(self.begins[place], 0)
+        order = np.insert(back, np.cumsum(counts), len(hashes))
         take = sizes[order]
         upto = np.cumsum(take)
         flat = np.repeat(begins[order] - (upto - take), take)
         flat += np.arange(len(flat))
+        flat = self.ids[flat]
         last = np.cumsum(counts + 1) - 1
-        return table[flat], np.diff(upto[last], prepend=0)
+        if end is not None:
+            flat[upto[last] - 1] = end
+        return flat, np.diff(upto[last], prepend=0)
 
 
 def encoder(path: str) -> WordEncoder:

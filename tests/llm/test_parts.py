@@ -193,3 +193,29 @@ def test_pseudonyms_are_a_permutation(spark):
 def test_invalid_values_stay(spark):
     text = "4111111111111112 256.1.1.1 2021-02-30 000-12-3456 version 4.0. x203-456-7890"
     assert pseudonyms.pseudonymise(spark.createDataFrame([(text,)], "text string"), "k").first()["PII_text"] == text
+
+
+def test_a_table_of_pieces_holds_many_in_little_room():
+    """Random words recur; each is encoded once, as all of them fit into what a process may hold."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from inferlake.llm import wordbpe
+    from inferlake.llm.queries_tokens import TOKENIZER
+    from inferlake.llm.words import slices
+
+    path = public_tokenizers.path(TOKENIZER)
+    made, asked = wordbpe.WordEncoder(path), []
+    real = made._piece
+    made._piece = lambda piece, kind: asked.append(piece) or real(piece, kind)
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghij"))
+    texts = [" ".join("".join(w) for w in letters[rng.integers(0, 10, (40_000, 6))]) for _ in range(5)]
+    texts += ["", "It's <|endoftext|> 12 É  x", None]
+    got = []
+    for _ in range(2):
+        for part in slices(pa.array(texts)):
+            flat, counts = made.encode(part, 1)
+            got += [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])]
+    assert got == 2 * [[*made.tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert len(asked) == len(set(asked)) > 150_000 and made.held < wordbpe.HELD_BYTES
