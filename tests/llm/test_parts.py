@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inferlake.llm import huffman, hyperminhash, pseudonyms, toxicity
+from inferlake.llm import bitmap, huffman, hyperminhash, pseudonyms, toxicity
 from inferlake.llm.components import components
 from inferlake.llm.queries_toxicity import op3_toxicity
 
@@ -68,6 +68,52 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert set(whole.values()) == {0}
 
 
+@pytest.fixture
+def no_small_tables(spark):
+    """Tables are joined as if none were small enough to be sent to all tasks."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def moved_rows(plan, column):
+    """Rows that the exchanges of a plan that has run wrote with ``column``."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return moved_rows(plan.executedPlan(), column)
+    if kind.endswith("QueryStageExec"):
+        return moved_rows(plan.plan(), column)
+    below = plan.children()
+    own = kind == "ShuffleExchangeExec" and f"{column}#" in plan.output().toString()
+    return (plan.metrics().apply("shuffleRecordsWritten").value() if own else 0) + sum(
+        moved_rows(below.apply(k), column) for k in range(below.size()))
+
+
+@pytest.mark.parametrize("bits", [8, 26])
+def test_rows_without_keys(spark, monkeypatch, no_small_tables, bits):
+    monkeypatch.setattr(bitmap, "BITS", bits)  # in 256 bits most rows seem to be among the keys
+    rows = spark.createDataFrame([(k if k % 9 else None, f"t{k}", "x", "y") for k in range(3000)] * 2,
+                                 "doc_id long, text string, bucket string, bits string")
+    keys = spark.range(0, 6000, 5).withColumnRenamed("id", "doc_id")
+    found = bitmap.without(rows, keys, "doc_id")
+    assert found.columns == rows.columns
+    assert sorted(map(str, found.collect())) == sorted(map(str, rows.join(keys, "doc_id", "left_anti").select(rows.columns).collect()))
+    if bits == 26:
+        assert moved_rows(found._jdf.queryExecution().executedPlan(), "text") < 30
+    assert bitmap.without(rows, keys.limit(0), "doc_id").count() == 6000
+    names = rows.withColumn("doc_id", rows.doc_id.cast("string"))
+    assert bitmap.without(names, names.select("doc_id"), "doc_id").count() == rows.filter("doc_id is null").count()
+
+
+def test_near_duplicates_go_where_they_lie(spark, no_small_tables, tmp_path):
+    texts = [" ".join(f"g{k // 3}w{i}" for i in range(40)) for k in range(300)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    kept = hyperminhash.drop_near_duplicates(spark.read.parquet(f"{tmp_path}/docs"), percent=80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 300, 3))
+    assert moved_rows(kept._jdf.queryExecution().executedPlan(), "text") < 10
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 102), (7, 7), (None, 3)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
