@@ -1,5 +1,8 @@
+import glob
 import os
 import re
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +11,7 @@ from inferlake import SpecError, ocr
 from inferlake.functions.sizing import resize_plan
 from inferlake.plans import generations, queries_rows, runs
 from inferlake.sources import pages as page_source
+from inferlake.sources import sinks
 from inferlake.sources.pages import glob_regex, list_pages, read_group, split_glob
 
 NAMES = ["a.png", "b.jpg", "x/c.png", "x/y/d[1].png", "x/y/e f.png", "x/z.txt"]
@@ -122,6 +126,86 @@ def test_a_page_wave_lists_its_own_files(spark, scans, tmp_path, monkeypatch):
     assert len(listed) - len(waves) <= 3                   # the folder, whatever the number of waves
 
 
+def test_small_page_waves_run_side_by_side(spark, tmp_path, monkeypatch):
+    (tmp_path / "scans").mkdir()
+    for n in range(12):
+        (tmp_path / f"scans/{n}.txt").write_text(f"<p>{n}</p>")
+    met, real = threading.Barrier(2), sinks.commit
+    first = iter([True, True])      # two commits wait for each other
+
+    def commit(*args):
+        if next(first, False):
+            met.wait(60)
+        return real(*args)
+
+    monkeypatch.setattr(sinks, "commit", commit)
+    out = str(tmp_path / "out")
+    done = ocr(spark, f"{tmp_path}/scans/*.txt", model="tag-stripper", output=out, world=2, wave_units=3)
+    monkeypatch.undo()
+    assert {r.row_id: r.markdown for r in done.results().collect()} == {f"{n}.txt": str(n) for n in range(12)}
+    status = done.status()
+    assert status.complete() and status.storage.head().orphans == 0
+    stats = status.shards.select("stats.*").collect()
+    assert sum(r.rows_processed for r in stats) == 12 == sum(r.rows_total for r in stats)
+    assert status.telemetry.agg(F.sum("ok")).head()[0] == 12
+    assert len(glob.glob(f"{out}/_manifest/ids-*/part-*")) == len(glob.glob(f"{out}/part-*"))     # a task for each sidecar
+
+
+def test_a_failed_wave_lets_the_others_end(spark, tmp_path, monkeypatch):
+    (tmp_path / "scans").mkdir()
+    for n in range(12):
+        (tmp_path / f"scans/{n}.txt").write_text(f"<p>{n}</p>")
+    real, calls, ended = sinks.commit, iter(range(100)), []
+
+    def commit(*args):
+        if next(calls) == 0:
+            raise RuntimeError("lost")
+        result = real(*args)
+        ended.append(args[2])
+        return result
+
+    monkeypatch.setattr(sinks, "commit", commit)
+    options = dict(model="tag-stripper", output=str(tmp_path / "out"), wave_units=3)
+    with pytest.raises(RuntimeError):
+        ocr(spark, f"{tmp_path}/scans/*.txt", **options)
+    assert set(sinks.committed_parts(spark, options["output"])) == set(ended)      # none is under way any more
+    monkeypatch.undo()
+    done = ocr(spark, f"{tmp_path}/scans/*.txt", **options)
+    assert done.status().complete() and done.results().count() == 12
+    assert set(ended) <= set(sinks.committed_parts(spark, options["output"]))
+
+
+def test_a_launch_lists_the_page_folder_once(spark, scans, tmp_path, monkeypatch):
+    listed = []
+    real = page_source._load
+    monkeypatch.setattr(page_source, "_load", lambda s, paths: listed.append(paths) or real(s, paths))
+    ocr(spark, f"{scans}/**/*.png", model="tag-stripper", output=str(tmp_path / "out"), wave_units=1)
+    assert len([p for p in listed if isinstance(p, str)]) == 1
+
+
+def test_waves_share_the_cores(spark, tmp_path):
+    paths = [str(tmp_path / f"{n} [{n}].txt") for n in range(1_300)]
+    for n, path in enumerate(paths):
+        with open(path, "w") as page:
+            page.write(f"<p>{n}</p>")
+    cores = spark.sparkContext.defaultParallelism
+    for at_once, tasks in ((1, 2 * cores), (4, cores // 2), (100, 3)):
+        read = read_group(spark, f"{tmp_path}/*.txt", 1, 0, paths, at_once)
+        assert read.count() == 1_300 and read.select(F.spark_partition_id()).distinct().count() == tasks
+
+
+def test_listings_side_by_side_put_the_setting_back(spark, tmp_path):
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    paths = []
+    for n in range(40):
+        (tmp_path / f"{n}.txt").write_text("a")
+        paths.append(str(tmp_path / f"{n}.txt"))
+    with ThreadPoolExecutor(4) as pool:
+        counts = list(pool.map(lambda _: page_source._load(spark, paths).count(), range(12)))
+    assert counts == [40] * 12 and spark.conf.get(key) == before
+
+
 def test_folders_are_listed_in_a_few_tasks(spark, tmp_path, monkeypatch):
     key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before, seen = spark.conf.get(key), []
